@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers every query module."""
 
-from worthrank.plans import ranking_queries  # noqa: F401
+from worthrank.plans import prepare_queries, ranking_queries, validation_queries  # noqa: F401
 from worthrank.plans.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]
