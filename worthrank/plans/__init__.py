@@ -1,6 +1,7 @@
 """Registered queries. Importing this package registers every query module."""
 
-from worthrank.plans import model_queries, prepare_queries, ranking_queries, validation_queries  # noqa: F401
+from worthrank.plans import (io_queries, model_queries, prepare_queries, ranking_queries,  # noqa: F401
+                             validation_queries)
 from worthrank.plans.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]
