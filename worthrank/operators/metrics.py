@@ -11,8 +11,10 @@ rows in the group, ``n`` = ranked rows:
 * means = unweighted averages over groups (NULL P@N values are skipped)
 
 Plan: one ranking scan (``rank_within``) -> one partially aggregated ``groupBy(groups)``. R-Pr
-needs R on each relevant row, so only the relevant rows are joined to the per-group R (one row per
-group; AQE broadcasts it when its measured size allows and splits skewed partitions otherwise).
+needs R on each relevant row. With the window strategy R is a second window aggregate over the
+same partitioning (no extra shuffle). With the range strategy only the relevant rows are joined
+to the per-group R (one row per group; AQE broadcasts it when its measured size allows and splits
+skewed partitions otherwise).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import MAIN_THRESHOLDS, argmax2, is_positive, softmax2
-from worthrank.operators.ranking import OrderSpec, rank_within
+from worthrank.operators.ranking import DEFAULT_WINDOW_MAX_ROWS, OrderSpec, choose_strategy, rank_within
 
 
 def _tie_spec(tie_cols: OrderSpec) -> list[tuple[str, str]]:
@@ -32,16 +34,21 @@ def _tie_spec(tie_cols: OrderSpec) -> list[tuple[str, str]]:
 
 def rank_items(df: DataFrame, groups: Sequence[str], *, score_col: str = "score",
                tie_cols: OrderSpec = ("pos",), label_col: str = "label", keep: Sequence[str] = (),
-               strategy: str = "auto") -> DataFrame:
-    """W1 + W2: ``rank`` (stable descending score) and ``cum_hits`` per group, plus ``rel``.
+               strategy: str = "auto", with_totals: bool = False) -> DataFrame:
+    """W1 + W2: ``rank`` (stable descending score) and ``cum_hits`` per group, plus ``rel``
+    (and ``tot_rel`` = R when ``with_totals`` and the window strategy is used).
 
     Only the grouping, ordering and label columns (and ``keep``) travel through the sort.
     """
     ties = _tie_spec(tie_cols)
     cols = list(dict.fromkeys([*groups, score_col, *[t for t, _ in ties], *keep]))
     base = df.select(*cols, is_positive(label_col).cast("int").alias("rel"))
+    if strategy == "auto":
+        strategy = choose_strategy(base, groups, DEFAULT_WINDOW_MAX_ROWS)
+    # the group's positive count R rides along for free in the window plan
+    totals = ("rel",) if (strategy == "window" and with_totals) else ()
     out = rank_within(base, groups, [(score_col, "desc"), *ties], ranks=("row_number",),
-                      sums=("rel",), strategy=strategy)
+                      sums=("rel",), totals=totals, strategy=strategy)
     return out.withColumnRenamed("row_number", "rank").withColumnRenamed("cum_rel", "cum_hits")
 
 
@@ -64,14 +71,18 @@ def metrics_from_ranked(ranked: DataFrame, groups: Sequence[str],
     ]
     aggs += [F.sum(F.when(rel & (rank <= n), 1).otherwise(0)).cast("bigint").alias(f"_hits_{n}")
              for n in thresholds]
-    per = ranked.groupBy(*groups).agg(*aggs)
-
-    # R-Precision: hits within the first R, from the relevant rows only.
-    rel_rows = ranked.filter(rel).select(*groups, "rank")
-    r_hits = (rel_rows.join(per.select(*groups, "n_rel"), groups)
-              .groupBy(*groups)
-              .agg(F.sum(F.when(F.col("rank") <= F.col("n_rel"), 1).otherwise(0)).cast("bigint").alias("_r_hits")))
-    per = per.join(r_hits, groups, "left")
+    if "tot_rel" in ranked.columns:
+        # R is on every row already: R-Precision hits fall out of the same aggregation
+        aggs.append(F.sum(F.when(rel & (rank <= F.col("tot_rel")), 1).otherwise(0)).cast("bigint").alias("_r_hits"))
+        per = ranked.groupBy(*groups).agg(*aggs)
+    else:
+        per = ranked.groupBy(*groups).agg(*aggs)
+        # R-Precision: hits within the first R, from the relevant rows only.
+        rel_rows = ranked.filter(rel).select(*groups, "rank")
+        r_hits = (rel_rows.join(per.select(*groups, "n_rel"), groups)
+                  .groupBy(*groups)
+                  .agg(F.sum(F.when(F.col("rank") <= F.col("n_rel"), 1).otherwise(0)).cast("bigint").alias("_r_hits")))
+        per = per.join(r_hits, groups, "left")
 
     out = [*groups, "n", "n_rel",
            F.when(F.col("n_rel") > 0, F.col("_ap_sum") / F.col("n_rel")).otherwise(F.lit(0.0)).alias("ap"),
@@ -88,7 +99,7 @@ def ranking_metrics(df: DataFrame, groups: Sequence[str], *, score_col: str = "s
                     thresholds: Sequence[int] = MAIN_THRESHOLDS, strategy: str = "auto") -> DataFrame:
     """A9 ``evaluate``: per-group n, n_rel, ap, rr, r_prec, p_<N>."""
     ranked = rank_items(df, groups, score_col=score_col, tie_cols=tie_cols, label_col=label_col,
-                        strategy=strategy)
+                        strategy=strategy, with_totals=True)
     return metrics_from_ranked(ranked, groups, thresholds)
 
 

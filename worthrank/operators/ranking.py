@@ -67,13 +67,16 @@ def rank_within(
     *,
     ranks: Sequence[str] = ("row_number",),
     sums: Sequence[str] = (),
+    totals: Sequence[str] = (),
     strategy: str = "auto",
     window_max_rows: int = DEFAULT_WINDOW_MAX_ROWS,
 ) -> DataFrame:
     """Add rank columns and inclusive running sums (``cum_<col>``) within ``groups`` ordered by ``order``.
 
     ``order`` lists column names (ascending) or ``(name, 'asc'|'desc')`` pairs. Give a total order
-    when ``row_number`` must be deterministic. Rank columns are BIGINT.
+    when ``row_number`` must be deterministic. Rank columns are BIGINT. ``totals`` adds whole-group
+    sums (``tot_<col>``): free with the window strategy (same partitioning); with the range
+    strategy a per-group partial aggregate joined back on the group key.
     """
     groups = list(groups)
     order_n = _norm_order(order)
@@ -85,9 +88,18 @@ def rank_within(
     if strategy == "auto":
         strategy = choose_strategy(df, groups, window_max_rows)
     if strategy == "window":
-        return _rank_window(df, groups, order_n, ranks, sums)
+        out = _rank_window(df, groups, order_n, ranks, sums)
+        if totals:
+            w = Window.partitionBy(*groups) if groups else Window.partitionBy()
+            for t in totals:
+                out = out.withColumn(f"tot_{t}", F.sum(t).over(w))
+        return out
     if strategy == "range":
-        return _rank_range(df, groups, order_n, ranks, sums)
+        out = _rank_range(df, groups, order_n, ranks, sums)
+        if totals:
+            tot = out.groupBy(*groups).agg(*[F.sum(t).alias(f"tot_{t}") for t in totals])
+            out = out.join(tot, groups) if groups else out.join(tot, how="left")
+        return out
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
