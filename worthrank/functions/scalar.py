@@ -133,8 +133,9 @@ def hms(seconds: str | Column) -> Column:
 
 
 def word_count(text: str | Column) -> Column:
-    """Whitespace-separated word count; empty or blank text has 0 words."""
-    t = F.trim(_c(text))
+    """Word count with Python ``str.split()`` semantics: runs of any whitespace separate words,
+    blank text has 0 words (F13)."""
+    t = strip(text)
     return F.when(t.isNull(), F.lit(None)).when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))
 
 

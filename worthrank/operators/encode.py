@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worthrank.functions.scalar import binarize, dot, linear, strip
+from worthrank.functions.scalar import binarize, dot, linear, word_count
 from worthrank.operators.ranking import rank_within
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -24,9 +24,8 @@ def tokens(text: str | Column) -> Column:
 
 
 def word_count_expr(text: str | Column) -> Column:
-    """F13 word count with Python ``str.split()`` semantics (any whitespace run)."""
-    s = strip(text)
-    return F.when(s.isNull(), None).when(s == "", 0).otherwise(F.size(F.split(s, r"\s+")))
+    """F13 word count (see ``functions.scalar.word_count``)."""
+    return word_count(text)
 
 
 def build_vocabulary(df: DataFrame, text_col: str, strategy: str = "auto") -> DataFrame:
