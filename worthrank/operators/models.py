@@ -85,6 +85,9 @@ def score(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def score_with_pandas(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], keep: Sequence[str]) -> DataFrame:
     """M4 extension point: bring-your-own scorer over Arrow batches (``mapInPandas``); the
     function maps a pandas batch to a Series of scores."""
+    from worthrank.session import ship_package
+
+    ship_package(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worthrank.session import checkpoint_dir
+from worthrank.session import checkpoint_dir, ship_package
 
 RANK_KINDS = ("row_number", "rank", "dense_rank")
 DEFAULT_WINDOW_MAX_ROWS = 2_000_000
@@ -273,6 +273,7 @@ def _compose(carry: _State | None, summ: dict, groups, order_names, sums) -> _St
 def _rank_range(df, groups, order_n, ranks, sums) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
+    ship_package(spark)
     order_names = [n for n, _ in order_n]
     ordered = df.orderBy(*_sort_cols(groups, order_n)).checkpoint(eager=True)
 
