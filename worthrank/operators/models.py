@@ -24,7 +24,7 @@ from worthrank.functions.scalar import binarize, hash_key, margin
 from worthrank.operators.metrics import best_by
 from worthrank.operators.prepare import weight_columns
 
-NUM_HASH_FEATURES = 1 << 18
+NUM_HASH_FEATURES = 1 << 16
 
 
 def random_scores(df: DataFrame, id_col: str, seed: int = 42, out: str = "score") -> DataFrame:
@@ -35,7 +35,7 @@ def random_scores(df: DataFrame, id_col: str, seed: int = 42, out: str = "score"
 
 def ngram_pipeline(text_col: str = "text", label_col: str = "label", weight_col: str | None = "weight",
                    n: int = 2, num_features: int = NUM_HASH_FEATURES, reg: float = 0.0,
-                   max_iter: int = 50) -> Pipeline:
+                   max_iter: int = 20) -> Pipeline:
     """M2: lower-cased word tokens + word n-grams -> hashed term frequencies -> IDF -> logistic
     regression. Everything is a built-in JVM stage."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True,
@@ -122,6 +122,19 @@ def select_best(train: DataFrame, val: DataFrame, candidates: Sequence[dict], ma
     return models[best["candidate"]], table
 
 
+def training_loss(model) -> DataFrame:
+    """The objective per optimiser iteration of a fitted logistic model (or of the last
+    stage of a pipeline model) and, per row, the running mean loss. Bounded by maxIter."""
+    lr = model.stages[-1] if hasattr(model, "stages") else model
+    history = list(lr.summary.objectiveHistory)
+    spark = lr.summary.predictions.sparkSession
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "iteration int, loss double")
+    from pyspark.sql import Window
+
+    w = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("mean_loss", F.avg("loss").over(w))
+
+
 def load_model(path: str) -> PipelineModel:
     """A saved pipeline model."""
     return PipelineModel.load(path)

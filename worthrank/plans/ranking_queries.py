@@ -161,4 +161,21 @@ def q_first_relevant_rank(spark, sf_dir):
                           F.coalesce(F.lit(1.0) / F.col("first_hit_rank"), F.lit(0.0)).alias("rr")))
 
 
-__all__ = ["metrics_from_ranked"]
+REPORT_COLS = ["ap", "rr", "r_prec", *[f"p_{n}" for n in MAIN_THRESHOLDS]]
+_MEAN_NAME = {"ap": "map", "rr": "mrr", "r_prec": "mean_r_prec"}
+
+
+@register("metric_report", f"""WITH {ranked_sql(G1_SQL.format(label='quality'), G1_ORDER)},
+m AS ({per_topic_sql()})
+SELECT CAST(topic_id AS VARCHAR) AS doc_id, {', '.join(f"printf('%.4f', {c}) AS {c}" for c in REPORT_COLS)} FROM m
+UNION ALL
+SELECT 'AVERAGED', {', '.join(f"printf('%.4f', AVG({c})) AS {c}" for c in REPORT_COLS)} FROM m""",
+          "K7: per-document metric report with the averaged row, 4-decimal text (G1)")
+def q_metric_report(spark, sf_dir):
+    from worthrank.sinks.writers import metric_report
+
+    per = ranking_metrics(labelled_documents(spark, sf_dir, "quality"), ["topic_id"], tie_cols=("pos",))
+    return metric_report(per, mean_metrics(per), REPORT_COLS, doc_col="topic_id")
+
+
+__all__ = ["metrics_from_ranked", "_MEAN_NAME"]

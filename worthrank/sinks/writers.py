@@ -2,6 +2,9 @@
 
 Writers carry ``doc_id`` and use ``partitionBy``: every document's rows land under
 ``doc_id=<id>/`` in parallel, instead of re-cutting one big file by row order on a single machine.
+Before a per-document write the rows are range-partitioned on (document, line): each task holds a
+contiguous key range, so the number of files stays at most documents + tasks (not tasks x
+documents), and a very large document is spread over several tasks instead of one.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ def score_text(col: str = "score") -> "F.Column":
 def write_ranking_2019(df: DataFrame, path: str, id_col: str = "line_number", score_col: str = "score",
                        doc_col: str = "doc_id", mode: str = "overwrite") -> None:
     """K1 + K4: ``id TAB score`` lines, no header, one directory per document."""
-    (df.select(doc_col, F.col(id_col).cast("string").alias("id"), score_text(score_col).alias("score"))
+    (df.repartitionByRange(doc_col, id_col)
+     .select(doc_col, F.col(id_col).cast("string").alias("id"), score_text(score_col).alias("score"))
      .write.mode(mode).partitionBy(doc_col).option("sep", "\t").option("quote", "").csv(path))
 
 
@@ -58,7 +62,8 @@ def write_ranking(df: DataFrame, path: str, corpus: str, **kw) -> str | None:
 def write_transcripts(df: DataFrame, path: str, doc_col: str = "doc_id", mode: str = "overwrite") -> None:
     """Transcript lines in the quoted dialect (statements with tabs, quotes or newlines are
     quoted, quotes doubled), one directory per document."""
-    (df.select(doc_col, "line_number", "speaker", "statement", "label")
+    (df.repartitionByRange(doc_col, "line_number")
+     .select(doc_col, "line_number", "speaker", "statement", "label")
      .write.mode(mode).partitionBy(doc_col).option("sep", "\t").option("quote", '"').option("escape", '"')
      .csv(path))
 
@@ -93,12 +98,14 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return log.withColumn("elapsed", hms(secs)).orderBy(F.desc("run_ts"))
 
 
-def metric_report(per_doc: DataFrame, means: DataFrame, metric_cols: Sequence[str]) -> DataFrame:
-    """K7: per-document rows then the averaged row, values as 4-decimal text."""
-    docs = per_doc.select(F.col("doc_id").cast("string").alias("doc_id"),
-                          *[F.format_string("%.4f", F.col(c)).alias(c) for c in metric_cols])
+def metric_report(per_doc: DataFrame, means: DataFrame, metric_cols: Sequence[str],
+                  doc_col: str = "doc_id") -> DataFrame:
+    """K7: per-document rows then the averaged row, values as 4-decimal text (rounded half to
+    even on the exact binary value, like Python's ``'{:.4f}'``)."""
+    docs = per_doc.select(F.col(doc_col).cast("string").alias("doc_id"),
+                          *[F.format_number(F.col(c), 4).alias(c) for c in metric_cols])
     mean_map = {"ap": "map", "rr": "mrr", "r_prec": "mean_r_prec"}
     avg = means.select(F.lit("AVERAGED").alias("doc_id"),
-                       *[F.format_string("%.4f", F.col(mean_map.get(c, f"mean_{c}"))).alias(c)
+                       *[F.format_number(F.col(mean_map.get(c, f"mean_{c}")), 4).alias(c)
                          for c in metric_cols])
     return docs.unionByName(avg)
