@@ -99,6 +99,26 @@ def score_with_pandas(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]
     return df.mapInPandas(run, schema)
 
 
+def training_frame(train: DataFrame) -> DataFrame:
+    """Training rows spread over the cluster's default parallelism and persisted (memory and
+    disk) for an iterative fit: a global split or a single-file source can leave them in one
+    partition, and every optimiser pass would then run on one core. One shuffle of the training
+    rows buys all cores for every pass; lost blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
+
+    n = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_persisted(estimator, train: DataFrame):
+    """Fit on ``training_frame(train)``, unpersisting afterwards."""
+    frame = training_frame(train)
+    try:
+        return estimator.fit(frame)
+    finally:
+        frame.unpersist()
+
+
 def accuracy(scored: DataFrame, label_col: str = "label") -> DataFrame:
     """A10 on a scored frame, one row."""
     return scored.agg(F.avg((F.col("prediction") == F.col(label_col)).cast("double")).alias("accuracy"))
@@ -108,7 +128,7 @@ def select_best(train: DataFrame, val: DataFrame, candidates: Sequence[dict], ma
                 keep: Sequence[str], label_col: str = "label"):
     """M5 + A15: fit every candidate setting on the (cached) training rows, measure validation
     accuracy, keep the best; ties go to the earliest candidate. Returns (best_model, table)."""
-    train = train.cache()
+    train = training_frame(train)
     models, rows = [], []
     for i, params in enumerate(candidates):
         m = make_estimator(**params).fit(train)

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worthrank.operators.metrics import ranking_metrics
-from worthrank.operators.models import (corpus_weights, embedding_features, frozen_head, load_model,
-                                        ngram_pipeline, score, select_best, with_weights)
+from worthrank.operators.models import (corpus_weights, embedding_features, fit_persisted, frozen_head,
+                                        load_model, ngram_pipeline, score, select_best, with_weights)
 from worthrank.operators.prepare import exact_split
 from worthrank.plans.registry import register, round6
 from worthrank.session import scratch_path
@@ -46,19 +46,6 @@ def fit_ngram_baseline(spark, sf_dir):
     return model, g
 
 
-def fit_persisted(estimator, train):
-    """Fit with the training rows persisted for the duration of the fit: the feature stages and
-    the optimiser's passes then read them once instead of re-deriving split, weights and
-    tokens per pass (memory and disk; lost blocks are recomputed from lineage)."""
-    from pyspark import StorageLevel
-
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return estimator.fit(train)
-    finally:
-        train.unpersist()
-
-
 @register("ngram_baseline", None,
           "M2 M4 T1 A2 A9: hashed word n-grams + IDF + class-weighted logistic regression, "
           "scored and evaluated per topic (rows only)")
@@ -96,7 +83,9 @@ def q_staged_training(spark, sf_dir):
           "X1: a fitted model scoring the documents table read as a stream (file sink, rows only)")
 def q_stream_score(spark, sf_dir):
     model, _ = fit_ngram_baseline(spark, sf_dir)
-    stream = read_table_stream(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # spread each micro-batch over the cores before the (text-heavy) feature stages
+    stream = (read_table_stream(spark, sf_dir, "documents").select("doc_id", "source", "text")
+              .repartition(spark.sparkContext.defaultParallelism))
     out = run_to_files(score_stream(stream, model, ["doc_id", "source"]), "stream-score", "append")
     return spark.read.parquet(out)
 
