@@ -19,6 +19,7 @@ Two physical strategies compute the same result:
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -111,7 +112,24 @@ def largest_group_rows(df: DataFrame, groups: Sequence[str]) -> int:
     return int(row["m"] or 0)
 
 
+_FORCED: list[str] = []
+
+
+@contextmanager
+def forced_strategy(strategy: str):
+    """Make every ``auto`` decision inside the block use ``strategy`` (tests, benchmarks)."""
+    if strategy not in ("window", "range"):
+        raise ValueError(strategy)
+    _FORCED.append(strategy)
+    try:
+        yield
+    finally:
+        _FORCED.pop()
+
+
 def choose_strategy(df: DataFrame, groups: Sequence[str], window_max_rows: int) -> str:
+    if _FORCED:
+        return _FORCED[-1]
     return "window" if largest_group_rows(df, groups) <= window_max_rows else "range"
 
 
