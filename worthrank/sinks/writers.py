@@ -26,6 +26,13 @@ RUN_LOG_SCHEMA = T.StructType([
 ])
 
 
+def _write_partitions(df: DataFrame) -> int:
+    """Tasks for a per-document write: the session's shuffle partition count, given explicitly so
+    AQE does not merge the range partitions by byte size - writing many small per-document files
+    is bound by files per task, not by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def score_text(col: str = "score") -> "F.Column":
     """Scores as written: rounded half-to-even to 5 decimals, ``%.5f``."""
     return fixed(round_half_even(col, SCORE_DECIMALS), SCORE_DECIMALS)
@@ -34,7 +41,7 @@ def score_text(col: str = "score") -> "F.Column":
 def write_ranking_2019(df: DataFrame, path: str, id_col: str = "line_number", score_col: str = "score",
                        doc_col: str = "doc_id", mode: str = "overwrite") -> None:
     """K1 + K4: ``id TAB score`` lines, no header, one directory per document."""
-    (df.repartitionByRange(doc_col, id_col)
+    (df.repartitionByRange(_write_partitions(df), doc_col, id_col)
      .select(doc_col, F.col(id_col).cast("string").alias("id"), score_text(score_col).alias("score"))
      .write.mode(mode).partitionBy(doc_col).option("sep", "\t").option("quote", "").csv(path))
 
@@ -62,7 +69,7 @@ def write_ranking(df: DataFrame, path: str, corpus: str, **kw) -> str | None:
 def write_transcripts(df: DataFrame, path: str, doc_col: str = "doc_id", mode: str = "overwrite") -> None:
     """Transcript lines in the quoted dialect (statements with tabs, quotes or newlines are
     quoted, quotes doubled), one directory per document."""
-    (df.repartitionByRange(doc_col, "line_number")
+    (df.repartitionByRange(_write_partitions(df), doc_col, "line_number")
      .select(doc_col, "line_number", "speaker", "statement", "label")
      .write.mode(mode).partitionBy(doc_col).option("sep", "\t").option("quote", '"').option("escape", '"')
      .csv(path))
