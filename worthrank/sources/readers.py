@@ -147,7 +147,7 @@ def read_predictions_2020(spark: SparkSession, paths: str | Sequence[str]) -> Da
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str = "auto",
                doc_from: str = "file") -> DataFrame:
-    """Raw lines with their 1-based position in the file: ``doc_id, path, pos, line``.
+    """Raw lines with their 1-based position in the document: ``doc_id, path, pos, line``.
 
     A text file may be split over several tasks; the file order is recovered from
     (file, split start, row order within the split) and numbered per file with the skew-safe
@@ -159,12 +159,15 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str =
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
         F.col("value").alias("line"))
-    numbered = rank_within(raw, ["path"], ["_block", "_seq"], strategy=strategy)
     if doc_from == "partition":
-        doc = F.regexp_extract("path", r"/doc_id=([^/]+)/[^/]*$", 1)
+        # a document is a ``doc_id=...`` directory that may hold several part files; the part
+        # files of a range-partitioned write are in line order by name
+        raw = raw.withColumn("doc_id", F.regexp_extract("path", r"/doc_id=([^/]+)/[^/]*$", 1))
+        numbered = rank_within(raw, ["doc_id"], ["path", "_block", "_seq"], strategy=strategy)
     else:
-        doc = F.regexp_replace("_name", r"\.[^.]*$", "")
-    return numbered.select(doc.alias("doc_id"), "path", F.col("row_number").alias("pos"), "line")
+        raw = raw.withColumn("doc_id", F.regexp_replace("_name", r"\.[^.]*$", ""))
+        numbered = rank_within(raw, ["path"], ["_block", "_seq"], strategy=strategy)
+    return numbered.select("doc_id", "path", F.col("row_number").alias("pos"), "line")
 
 
 def parse_gold_2019(lines: DataFrame) -> DataFrame:
