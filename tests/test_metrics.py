@@ -139,3 +139,16 @@ def test_leaderboard_golden_divisibility():
         for v in values:
             k = v * 7 * n
             assert abs(k - round(k)) < 7 * n * 5e-5
+
+
+def test_gold_relevant_counts_and_strict(spark):
+    # a repeated positive prediction counts twice against one gold positive: AP can exceed 1
+    rows = [("d", 1, 0.9, 1, 1), ("d", 1, 0.8, 2, 1), ("d", 2, 0.1, 3, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    relevant = spark.createDataFrame([("d", 1)], "topic_id string, n_rel long")
+    m = ranking_metrics(df, ["topic_id"], relevant=relevant).first()
+    assert m["n_rel"] == 1 and m["ap"] == pytest.approx(2.0) and m["r_prec"] == 1.0
+    plain = ranking_metrics(df, ["topic_id"]).first()
+    assert plain["n_rel"] == 2 and plain["ap"] == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        ranking_metrics(df, ["topic_id"], strict=True).first()

@@ -58,9 +58,16 @@ def precision_curve(ranked: DataFrame) -> DataFrame:
 
 
 def metrics_from_ranked(ranked: DataFrame, groups: Sequence[str],
-                        thresholds: Sequence[int] = MAIN_THRESHOLDS) -> DataFrame:
-    """A3-A9 from a ranked frame (``rank``, ``cum_hits``, ``rel``): one row per group."""
+                        thresholds: Sequence[int] = MAIN_THRESHOLDS,
+                        relevant: DataFrame | None = None) -> DataFrame:
+    """A3-A9 from a ranked frame (``rank``, ``cum_hits``, ``rel``): one row per group.
+
+    ``relevant`` (``groups..., n_rel``) gives R from the gold labels - one per gold key - instead
+    of counting relevant ranked rows; the two differ only when predictions repeat a key (the
+    2020 scorer counts a repeated positive twice against one R, so AP can exceed 1)."""
     groups = list(groups)
+    if relevant is not None:
+        ranked = ranked.drop("tot_rel")
     rel = F.col("rel") == 1
     rank = F.col("rank")
     aggs = [
@@ -77,6 +84,9 @@ def metrics_from_ranked(ranked: DataFrame, groups: Sequence[str],
         per = ranked.groupBy(*groups).agg(*aggs)
     else:
         per = ranked.groupBy(*groups).agg(*aggs)
+        if relevant is not None:
+            per = (per.drop("n_rel").join(relevant.select(*groups, F.col("n_rel").cast("bigint")), groups, "left")
+                   .withColumn("n_rel", F.coalesce("n_rel", F.lit(0).cast("bigint"))))
         # R-Precision: hits within the first R, from the relevant rows only.
         rel_rows = ranked.filter(rel).select(*groups, "rank")
         r_hits = (rel_rows.join(per.select(*groups, "n_rel"), groups)
@@ -96,11 +106,20 @@ def metrics_from_ranked(ranked: DataFrame, groups: Sequence[str],
 
 def ranking_metrics(df: DataFrame, groups: Sequence[str], *, score_col: str = "score",
                     tie_cols: OrderSpec = ("pos",), label_col: str = "label",
-                    thresholds: Sequence[int] = MAIN_THRESHOLDS, strategy: str = "auto") -> DataFrame:
-    """A9 ``evaluate``: per-group n, n_rel, ap, rr, r_prec, p_<N>."""
+                    thresholds: Sequence[int] = MAIN_THRESHOLDS, strategy: str = "auto",
+                    relevant: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """A9 ``evaluate``: per-group n, n_rel, ap, rr, r_prec, p_<N>.
+
+    ``strict=True`` raises where the reference's scorer fails: a document with fewer ranked lines
+    than a cut-off N (P@N undefined; NULL otherwise)."""
     ranked = rank_items(df, groups, score_col=score_col, tie_cols=tie_cols, label_col=label_col,
-                        strategy=strategy, with_totals=True)
-    return metrics_from_ranked(ranked, groups, thresholds)
+                        strategy=strategy, with_totals=relevant is None)
+    out = metrics_from_ranked(ranked, groups, thresholds, relevant)
+    if strict:
+        short = out.filter(F.col("n") < max(thresholds)).select(*groups, "n").first()
+        if short is not None:
+            raise ValueError(f"P@{max(thresholds)} undefined: {short.asDict()} has fewer ranked lines")
+    return out
 
 
 def mean_metrics(per_group: DataFrame, thresholds: Sequence[int] = MAIN_THRESHOLDS) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worthrank.operators.metrics import ranking_metrics
+from worthrank.operators.prepare import dedupe_last
 from worthrank.plans.ranking_queries import PER_TOPIC_SELECT, per_topic_sql
 from worthrank.plans.registry import register, round6
 from worthrank.plans.validation_queries import NUMBERED_G1_SQL, TWEET_ID_BASE, numbered_g1
@@ -117,7 +118,11 @@ def q_file_based_evaluation(spark, sf_dir):
     pred = read_predictions_2019(spark, pred_path, doc_from="partition")
     check_coverage(gold.select("doc_id", "line_number"), pred.select("doc_id", "line_number"),
                    ["doc_id", "line_number"], strict=True)
-    joined = pred.join(gold.select("doc_id", "line_number", "label"), ["doc_id", "line_number"])
+    # gold as a dict: the last line per (document, line number) wins (D1); R counts its positives
+    gold_last = dedupe_last(gold, ["doc_id", "line_number"], ["pos"], ["label"])
+    joined = pred.join(gold_last.select("doc_id", "line_number", "label"), ["doc_id", "line_number"])
+    relevant = gold_last.groupBy(F.col("doc_id").alias("topic_id")).agg(
+        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("n_rel"))
     per = ranking_metrics(joined.withColumnRenamed("doc_id", "topic_id"), ["topic_id"],
-                          tie_cols=("line_number",))
+                          tie_cols=("line_number",), relevant=relevant)
     return round6(per)
