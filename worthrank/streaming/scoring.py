@@ -53,7 +53,9 @@ def score_stream(stream: DataFrame, model, keep: list[str]) -> DataFrame:
 def window_counts(stream: DataFrame, ts_col: str, key_col: str, positive: F.Column,
                   window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
     """Tumbling event-time window counts per key. ``TIMESTAMP_NTZ`` input is cast to
-    ``TIMESTAMP`` (watermarks need it); window bounds come back as wall-clock ``TIMESTAMP_NTZ``."""
+    ``TIMESTAMP`` (watermarks need it); window bounds come back as wall-clock ``TIMESTAMP_NTZ``.
+    Run it in ``append``/``update`` mode for a long-lived stream: the watermark then drops late
+    rows and evicts closed windows; ``complete`` keeps every window's state."""
     s = stream.withColumn("_event_time", F.col(ts_col).cast("timestamp")).withWatermark("_event_time", watermark)
     agg = s.groupBy(F.window("_event_time", window).alias("w"), F.col(key_col)).agg(
         F.count(F.lit(1)).alias("n"), F.sum(positive.cast("int")).cast("bigint").alias("n_positive"))
