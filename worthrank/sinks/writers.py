@@ -27,10 +27,10 @@ RUN_LOG_SCHEMA = T.StructType([
 
 
 def _write_partitions(df: DataFrame) -> int:
-    """Tasks for a per-document write: the session's shuffle partition count, given explicitly so
-    AQE does not merge the range partitions by byte size - writing many small per-document files
-    is bound by files per task, not by bytes."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks for a per-document write: one per core of the cluster (default parallelism), given
+    explicitly so AQE does not merge the range partitions by byte size - writing many small
+    per-document files is bound by files per task, not by bytes."""
+    return int(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def score_text(col: str = "score") -> "F.Column":
