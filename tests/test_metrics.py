@@ -152,3 +152,10 @@ def test_gold_relevant_counts_and_strict(spark):
     assert plain["n_rel"] == 2 and plain["ap"] == pytest.approx(1.0)
     with pytest.raises(ValueError):
         ranking_metrics(df, ["topic_id"], strict=True).first()
+
+
+def test_custom_thresholds(spark):
+    df = spark.createDataFrame(_doc("a", [0, 1, 1, 0, 1]), SCHEMA)
+    m = ranking_metrics(df, ["topic_id"], thresholds=(2, 4, 7)).first()
+    assert m["p_2"] == 0.5 and m["p_4"] == 0.5 and m["p_7"] is None
+    assert "p_50" not in m.asDict()

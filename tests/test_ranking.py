@@ -54,3 +54,25 @@ def test_auto_picks_window_for_small_groups(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 3)
     assert choose_strategy(df, ["g"], 1000) == "window"
     assert choose_strategy(df, ["g"], 10) == "range"
+
+
+def test_range_strategy_spreads_a_hot_group(spark):
+    """A group holding 90% of the rows is scanned by many tasks, not one (the window plan would
+    put it in a single partition); its numbering is still one consecutive sequence. AQE only
+    merges range partitions below its advisory size, so coalescing is off for this tiny input."""
+    df = spark.range(50000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("g"), (F.col("id") % 7).cast("string")))
+        .otherwise(F.lit("hot")).alias("g"),
+        (F.col("id") * 7919 % 50000).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = rank_within(df, ["g"], ["k"], strategy="range")
+        hot = out.filter(F.col("g") == "hot")
+        parts = hot.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 4
+        r = hot.agg(F.min("row_number"), F.max("row_number"), F.count(F.lit(1)), F.countDistinct("row_number")).first()
+        assert (r[0], r[1], r[2], r[3]) == (1, 45000, 45000, 45000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
