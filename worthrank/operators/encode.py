@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import binarize, dot, linear, word_count
 from worthrank.operators.ranking import rank_within
+from worthrank.session import checkpoint_dir
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 PAD_ID = 0
@@ -54,8 +55,10 @@ def encode(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> D
 
 def truncate_and_pad(enc: DataFrame, max_len: int = 512) -> DataFrame:
     """Truncate to ``max_len`` ids, pad with 0 to the longest row of the whole set, and build
-    the attention mask. The longest length is a scalar subquery (one aggregate job)."""
-    trunc = enc.withColumn("input_ids", F.slice("ids", 1, max_len))
+    the attention mask. The encoded rows are checkpointed once (shared checkpoint directory), so
+    the longest-length scalar subquery and the padding read them instead of encoding twice."""
+    checkpoint_dir(enc.sparkSession)
+    trunc = enc.withColumn("input_ids", F.slice("ids", 1, max_len)).checkpoint(eager=True)
     pad_len = trunc.select(F.max(F.size("input_ids"))).scalar()
     missing = pad_len - F.size("input_ids")
     return (trunc.withColumn("pad_len", pad_len.cast("int"))
@@ -87,5 +90,6 @@ def centroid_head(emb: DataFrame, label_col: str = "label", vec_col: str = "embe
 def apply_linear_head(df: DataFrame, head: DataFrame, vec_col: str = "embedding", out: str = "z") -> DataFrame:
     """F9 on every row: the one-row head is attached as scalar-subquery columns, then
     ``z = w . x + b`` runs as a JVM higher-order expression."""
-    with_head = df.withColumn("_w", head.select("w").scalar()).withColumn("_b", head.select("b").scalar())
+    h = head.select(F.struct("w", "b").alias("h")).scalar()
+    with_head = df.withColumn("_w", h["w"]).withColumn("_b", h["b"])
     return with_head.withColumn(out, linear(vec_col, "_w", "_b")).drop("_w", "_b")

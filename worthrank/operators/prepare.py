@@ -36,9 +36,10 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def weight_columns(df: DataFrame, label_col: str = "label") -> tuple[Column, Column]:
-    """(w0, w1) as scalar-subquery Columns usable on any frame."""
-    w = class_weights(df, label_col)
-    return w.select("w0").scalar(), w.select("w1").scalar()
+    """(w0, w1) as Columns usable on any frame: fields of one struct-valued scalar subquery, so
+    the class counts are aggregated once however often the weights are referenced."""
+    w = class_weights(df, label_col).select(F.struct("w0", "w1").alias("w")).scalar()
+    return w["w0"], w["w1"]
 
 
 def with_class_weight(df: DataFrame, label_col: str = "label", out: str = "weight") -> DataFrame:

@@ -12,6 +12,7 @@ from worthrank.operators.validate import (coverage_violations, file_validity, li
                                           line_violations_2020, manifest_check, split_output_check)
 from worthrank.plans.ranking_queries import G1_SQL
 from worthrank.plans.registry import register
+from worthrank.session import checkpoint_dir
 from worthrank.sources.testdata import labelled_documents, table
 
 TWEET_ID_BASE = 1_200_000_000_000_000_000  # 19-digit ids, inside the 17-23 digit grammar
@@ -174,7 +175,9 @@ s AS (SELECT COUNT(m.gold_path) AS n_gold, COUNT(m.pred_path) AS n_pred, COUNT(D
 SELECT s.*, (n_gold = n_pred AND n_distinct_pred = n_pred AND n_bad_files = 0) AS valid FROM s""",
           "V3 J4 A16 U4: gold/prediction file lists paired by position, counts, repeats, format")
 def q_manifest_check(spark, sf_dir):
-    lines = lines_2019(spark, sf_dir)
+    # the line table feeds three checks: materialise it once in the shared checkpoint directory
+    checkpoint_dir(spark)
+    lines = lines_2019(spark, sf_dir).checkpoint(eager=True)
     gold = (table(spark, sf_dir, "documents").select("source").distinct()
             .withColumn("gold_path", F.concat(F.lit("gold/"), F.col("source"), F.lit(".tsv"))))
     gold = rank_within(gold, [], ["source"]).withColumnRenamed("row_number", "pos").select("pos", "gold_path")
