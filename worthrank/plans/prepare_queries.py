@@ -61,11 +61,14 @@ def q_corpus_profile(spark, sf_dir):
 
 
 @register("unlabelled_rows", """
-SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-          "J7: left enrichment join, rows without a label object kept with NULLs")
+SELECT d.doc_id, d.source, CAST(l.quality AS DOUBLE) AS quality, CAST(l.toxic AS DOUBLE) AS toxic
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+          "J7: left enrichment join, rows without a label object kept with NULLs (labels as DOUBLE, "
+          "so a missing label reads the same - NULL/NaN - in every client)")
 def q_unlabelled_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+    j = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return j.select("doc_id", "source", F.col("quality").cast("double"), F.col("toxic").cast("double"))
 
 
 @register("train_val_split", f"""
@@ -120,13 +123,14 @@ def q_ratio_sample(spark, sf_dir):
 
 @register("combined_corpora", """
 SELECT 'documents' AS corpus, CAST(d.source AS VARCHAR) AS doc_id, d.doc_id AS item_id, length(d.text) AS text_len,
-       CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label
+       CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS DOUBLE) AS label
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 UNION ALL
-SELECT 'conversations', CAST(conv_id AS VARCHAR), turn, length(text), NULL FROM conversations
+SELECT 'conversations', CAST(conv_id AS VARCHAR), turn, length(text), CAST(NULL AS DOUBLE) FROM conversations
 UNION ALL
-SELECT 'benchmark', 'benchmark', item_id, length(text), NULL FROM benchmark""",
-          "U1 U2: corpora projected to one shape and concatenated by name")
+SELECT 'benchmark', 'benchmark', item_id, length(text), CAST(NULL AS DOUBLE) FROM benchmark""",
+          "U1 U2: corpora projected to one shape and concatenated by name (label DOUBLE: NULL for "
+          "unlabelled corpora)")
 def q_combined_corpora(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     a = project_corpus(d, "documents", F.col("source"), F.col("doc_id"), F.col("text"), F.col("quality"))
@@ -135,4 +139,5 @@ def q_combined_corpora(spark, sf_dir):
     bm = table(spark, sf_dir, "benchmark")
     e = project_corpus(bm, "benchmark", F.lit("benchmark"), F.col("item_id"), F.col("text"), None)
     u = union_corpora([a, b, e])
-    return u.select("corpus", "doc_id", "item_id", F.length("text").cast("bigint").alias("text_len"), "label")
+    return u.select("corpus", "doc_id", "item_id", F.length("text").cast("bigint").alias("text_len"),
+                    F.col("label").cast("double"))
