@@ -85,3 +85,32 @@ def test_run_log_and_formats(spark, scratch):
     r = df.select(hms("s").alias("h"), word_count("t").alias("w"), split_file_name("p").alias("f")).first()
     assert (r["h"], r["w"], r["f"]) == ("0:00:06", 2, "20181015_60_min_out.tsv")
     assert split_paths(" a.tsv , b.tsv,") == ["a.tsv", "b.tsv"]
+
+
+def test_debate_and_curated_readers(spark, scratch):
+    from worthrank.sources.readers import read_curated_json, read_debate_sentences
+
+    _write(os.path.join(scratch, "crowd.csv"),
+           'Sentence_id,Text,Speaker,Speaker_title,Speaker_party,File_id,Length,Line_number,Sentiment,Verdict\n'
+           '1,"We cut taxes, ""big"" time",A,Senator,R,f1,5,1,0.2,1\n'
+           '2,Thank you,B,Governor,D,f1,2,2,-0.1,-1\n')
+    d = read_debate_sentences(spark, os.path.join(scratch, "crowd.csv")).orderBy("Sentence_id").collect()
+    assert d[0]["Text"] == 'We cut taxes, "big" time' and d[0]["Verdict"] == 1 and d[1]["Verdict"] == -1
+    _write(os.path.join(scratch, "all.csv"),
+           'Sentence_id,Text,Speaker,Speaker_title,Speaker_party,File_id,Length,Line_number,Sentiment,Speaker_role\n'
+           '7,Hello,C,,,f2,1,1,0.0,Moderator\n')
+    a = read_debate_sentences(spark, os.path.join(scratch, "all.csv"), all_sentences=True).first()
+    assert a["Speaker_role"] == "Moderator" and "Verdict" not in a.asDict()
+    _write(os.path.join(scratch, "ratio.json"),
+           '[{"sentence_id": 3, "label": 1, "text": "a claim"},\n {"sentence_id": 4, "label": 0, "text": "no"}]')
+    j = read_curated_json(spark, os.path.join(scratch, "ratio.json")).orderBy("sentence_id").collect()
+    assert [(r["sentence_id"], r["label"], r["text"]) for r in j] == [(3, 1, "a claim"), (4, 0, "no")]
+
+
+def test_scalar_text_helpers(spark):
+    from worthrank.functions.scalar import fixed, strip_cr, to_double, to_int
+
+    df = spark.createDataFrame([("12\r", " 3.5 ", "x", 0.123456)], "a string, b string, c string, d double")
+    r = df.select(strip_cr("a").alias("a"), to_int("a").alias("ai"), to_double("b").alias("b"),
+                  to_int("c").alias("c"), fixed("d", 3).alias("d")).first()
+    assert (r["a"], r["ai"], r["b"], r["c"], r["d"]) == ("12", 12, 3.5, None, "0.123")

@@ -78,3 +78,10 @@ def test_manifest_and_split_checks(spark):
     ok = {r["doc_no"]: r["ok"] for r in split_output_check(orig, prod).collect()}
     assert ok == {1: True, 2: False, 3: False}
     assert F is not None
+
+
+def test_repeated_files(spark):
+    from worthrank.operators.validate import repeated_files
+
+    m = spark.createDataFrame([("p1",), ("p2",), ("p1",)], "pred_path string")
+    assert [(r["pred_path"], r["times"]) for r in repeated_files(m).collect()] == [("p1", 2)]
