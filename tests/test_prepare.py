@@ -68,3 +68,15 @@ def test_dedupe_last_wins(spark):
     df = spark.createDataFrame([("k", 1, 0), ("k", 3, 1), ("k", 2, 0), ("j", 1, 1)], "key string, pos int, label int")
     got = {r["key"]: (r["pos"], r["label"]) for r in dedupe_last(df, ["key"], ["pos"], ["label"]).collect()}
     assert got == {"k": (3, 1), "j": (1, 1)}
+
+
+def test_hash_split_is_narrow_and_close_to_the_fraction(spark):
+    from worthrank.operators.prepare import hash_split
+
+    df = spark.range(20000).withColumnRenamed("id", "doc_id")
+    s = hash_split(df, "doc_id", 0.2)
+    n_val = s.filter("split = 'val'").count()
+    assert abs(n_val - 4000) < 4 * (20000 * 0.2 * 0.8) ** 0.5
+    assert "Exchange" not in s._jdf.queryExecution().executedPlan().toString()
+    again = hash_split(df, "doc_id", 0.2).filter("split = 'val'").count()
+    assert again == n_val

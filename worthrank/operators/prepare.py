@@ -60,6 +60,15 @@ def exact_split(df: DataFrame, id_col: str, val_fraction: float = 0.2, key: Colu
             .drop("_key", "row_number"))
 
 
+def hash_split(df: DataFrame, id_col: str, val_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """T1 fast mode: ``val`` when a keyed hash of the id falls below the fraction. Narrow (no sort,
+    no shuffle) and deterministic; the validation share is ``val_fraction`` in expectation rather
+    than exactly ``ceil(val_fraction * N)``."""
+    u = (F.xxhash64(F.lit(seed), F.col(id_col)) % F.lit(1_000_000_007)).cast("double")
+    u = F.abs(u) / F.lit(1_000_000_007.0)
+    return df.withColumn("split", F.when(u < F.lit(val_fraction), F.lit("val")).otherwise(F.lit("train")))
+
+
 def predefined_split(df: DataFrame, path_col: str, rules: Sequence[tuple[str, str]],
                      default: str = "train") -> DataFrame:
     """Split named by the source path; ``rules`` are ``(split, regex)`` tried in order."""
