@@ -16,9 +16,11 @@ from worthrank.plans.ranking_queries import PER_TOPIC_SELECT, per_topic_sql
 from worthrank.plans.registry import register, round6
 from worthrank.plans.validation_queries import NUMBERED_G1_SQL, TWEET_ID_BASE, numbered_g1
 from worthrank.session import scratch_path
-from worthrank.sinks.writers import (write_ranking, write_ranking_2020, write_transcripts, write_tweets)
-from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, read_lines, read_predictions_2019,
-                                       read_predictions_2020, read_transcripts, read_tweets)
+from worthrank.functions.scalar import binarize, word_count
+from worthrank.sinks.writers import (write_debate_sentences, write_ranking, write_ranking_2020, write_transcripts,
+                                     write_tweets)
+from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, read_debate_sentences, read_lines,
+                                       read_predictions_2019, read_predictions_2020, read_transcripts, read_tweets)
 from worthrank.sources.testdata import table
 
 
@@ -126,3 +128,29 @@ def q_file_based_evaluation(spark, sf_dir):
     per = ranking_metrics(joined.withColumnRenamed("doc_id", "topic_id"), ["topic_id"],
                           tie_cols=("line_number",), relevant=relevant)
     return round6(per)
+
+
+@register("source_sink_roundtrip", r"""
+SELECT d.doc_id AS sentence_id, d.source AS speaker,
+       CAST(CASE WHEN regexp_replace(d.text, '^\s+|\s+$', '', 'g') = '' THEN 0
+            ELSE len(regexp_split_to_array(regexp_replace(d.text, '^\s+|\s+$', '', 'g'), '\s+')) END AS INTEGER) AS length,
+       CASE WHEN l.quality = 1 THEN 1 WHEN l.toxic = 1 THEN -1 ELSE 0 END AS verdict,
+       CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label,
+       CAST(length(d.text) AS BIGINT) AS text_len
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+          "S4 P2 F13 K-sink: debate sentences (comma CSV, quoted dialect, three-valued verdict) "
+          "written and read back, verdict binarised")
+def q_source_sink_roundtrip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    sentences = d.select(
+        F.col("doc_id").alias("Sentence_id"), F.col("text").alias("Text"), F.col("source").alias("Speaker"),
+        F.lit(None).cast("string").alias("Speaker_title"), F.col("lang").alias("Speaker_party"),
+        F.col("source").alias("File_id"), word_count("text").alias("Length"),
+        F.col("doc_id").cast("int").alias("Line_number"), F.lit(0.0).alias("Sentiment"),
+        F.when(F.col("quality") == 1, 1).when(F.col("toxic") == 1, -1).otherwise(0).alias("Verdict"))
+    path = scratch_path(spark, "debates")
+    write_debate_sentences(sentences, path)
+    back = read_debate_sentences(spark, path)
+    return back.select(F.col("Sentence_id").alias("sentence_id"), F.col("Speaker").alias("speaker"),
+                       F.col("Length").alias("length"), F.col("Verdict").alias("verdict"),
+                       binarize("Verdict").alias("label"), F.length("Text").cast("bigint").alias("text_len"))

@@ -83,6 +83,14 @@ def write_tweets(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .csv(path))
 
 
+def write_debate_sentences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Headered comma-separated debate sentences in the quoted dialect (the S4 layout)."""
+    cols = ["Sentence_id", "Text", "Speaker", "Speaker_title", "Speaker_party", "File_id", "Length",
+            "Line_number", "Sentiment", "Verdict"]
+    (df.select(*cols).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .csv(path))
+
+
 def save_model(model, path: str) -> str:
     """K5: persist a fitted MLlib model, replacing the previous best."""
     model.write().overwrite().save(path)
