@@ -98,8 +98,12 @@ def rank_within(
     if strategy == "range":
         out = _rank_range(df, groups, order_n, ranks, sums)
         if totals:
-            tot = out.groupBy(*groups).agg(*[F.sum(t).alias(f"tot_{t}") for t in totals])
-            out = out.join(tot, groups) if groups else out.join(tot, how="left")
+            if groups:
+                tot = out.groupBy(*groups).agg(*[F.sum(t).alias(f"tot_{t}") for t in totals])
+                out = out.join(tot, groups)
+            else:  # one global total: a scalar subquery, not a key-less join
+                for t in totals:
+                    out = out.withColumn(f"tot_{t}", out.select(F.sum(t)).scalar())
         return out
     raise ValueError(f"unknown strategy {strategy!r}")
 
