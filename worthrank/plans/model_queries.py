@@ -39,6 +39,20 @@ def q_accuracy_confusion(spark, sf_dir):
     return round6(accuracy_summary(with_probabilities(event_predictions(spark, sf_dir))))
 
 
+@register("accuracy_by_user", "WITH " + G3_SQL + """
+SELECT user_id, COUNT(*) AS n, ROUND(AVG(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       CAST(SUM(prediction) AS BIGINT) AS predicted_positive, CAST(SUM(label) AS BIGINT) AS positives
+FROM q GROUP BY user_id""", "A10 A11 per topic (G3 topic = user): accuracy and predicted positives")
+def q_accuracy_by_user(spark, sf_dir):
+    p = with_probabilities(event_predictions(spark, sf_dir))
+    out = p.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
+        F.sum("prediction").cast("bigint").alias("predicted_positive"),
+        F.sum("label").cast("bigint").alias("positives"))
+    return round6(out)
+
+
 @register("confusion_matrix", "WITH " + G3_SQL + """
 SELECT label, CAST(SUM(CASE WHEN prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pred_0,
        CAST(SUM(CASE WHEN prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pred_1

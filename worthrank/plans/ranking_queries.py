@@ -157,6 +157,22 @@ def q_first_relevant_rank(spark, sf_dir):
                           F.coalesce(F.lit(1.0) / F.col("first_hit_rank"), F.lit(0.0)).alias("rr")))
 
 
+CUTOFFS_2020 = (5, 10, 15, 20, 25, 30)
+
+
+def _metrics_sql_with(fixture: str, order: str, thresholds) -> str:
+    cols = ["ap", "rr", "r_prec", *[f"p_{n}" for n in thresholds]]
+    sel = ", ".join(["topic_id", "n", "n_rel", *[f"ROUND({c}, 6) AS {c}" for c in cols]])
+    return f"WITH {ranked_sql(fixture, order)},\nm AS ({per_topic_sql(thresholds)})\nSELECT {sel} FROM m"
+
+
+@register("ranking_metrics_2020_cutoffs", _metrics_sql_with(G2_SQL, G1_ORDER, CUTOFFS_2020),
+          "A6 with the 2020 task's cut-offs P@5..P@30 (thresholds as a working parameter, G2)")
+def q_ranking_metrics_2020_cutoffs(spark, sf_dir):
+    return round6(ranking_metrics(order_rankings(spark, sf_dir), ["topic_id"], tie_cols=("pos",),
+                                  thresholds=CUTOFFS_2020))
+
+
 REPORT_COLS = ["ap", "rr", "r_prec", *[f"p_{n}" for n in MAIN_THRESHOLDS]]
 
 
