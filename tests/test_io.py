@@ -70,7 +70,7 @@ def test_ranking_write_read_split(spark, scratch):
     assert lines == ["1\t0.12346", "2\t0.00000"]  # half-even: 5e-6 -> 0.00000
     back = read_predictions_2019(spark, out, doc_from="partition")
     assert back.count() == 3
-    assert write_ranking(df, os.path.join(scratch, "cb"), "claimbuster") is None
+    assert write_ranking(df, os.path.join(scratch, "cb"), "debates") is None
 
 
 def test_run_log_and_formats(spark, scratch):

@@ -32,7 +32,7 @@ def q_ranking_file_rows(spark, sf_dir):
     n = numbered_g1(spark, sf_dir)
     path = scratch_path(spark, "rank2019")
     write_ranking(n.select(F.col("topic_id").alias("doc_id"), F.col("ln").alias("line_number"), "score"),
-                  path, "clef19")
+                  path, "transcripts")
     back = read_predictions_2019(spark, path, doc_from="partition")
     return back.select("doc_id", "line_number", "score")
 
@@ -111,7 +111,7 @@ def q_file_based_evaluation(spark, sf_dir):
                                F.concat(F.lit("sentence "), F.col("item_id")).alias("statement"), "label"),
                       gold_path)
     write_ranking(n.select(F.col("topic_id").alias("doc_id"), F.col("ln").alias("line_number"), "score"),
-                  pred_path, "clef19")
+                  pred_path, "transcripts")
     gold = parse_gold_2019(read_lines(spark, gold_path, doc_from="partition"))
     pred_lines = read_lines(spark, pred_path, doc_from="partition")
     bad = line_violations_2019(pred_lines).first()

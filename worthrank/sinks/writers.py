@@ -54,14 +54,14 @@ def write_ranking_2020(df: DataFrame, path: str, run_id: str = DEFAULT_RUN_ID, m
 
 
 def write_ranking(df: DataFrame, path: str, corpus: str, **kw) -> str | None:
-    """P8 + K3: choose the ranking format by corpus; the debate-sentence corpus writes none."""
-    if corpus == "clef19":
+    """P8 + K3: choose the ranking format by corpus: transcripts (line number, score), tweets (topic, id, score, run id); the debate-sentence corpus writes none."""
+    if corpus == "transcripts":
         write_ranking_2019(df, path, **kw)
         return path
-    if corpus == "clef20":
+    if corpus == "tweets":
         write_ranking_2020(df, path, **kw)
         return path
-    if corpus == "claimbuster":
+    if corpus == "debates":
         return None
     raise ValueError(f"unknown corpus {corpus!r}")
 
