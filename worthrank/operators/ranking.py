@@ -77,7 +77,8 @@ def rank_within(
     ``order`` lists column names (ascending) or ``(name, 'asc'|'desc')`` pairs. Give a total order
     when ``row_number`` must be deterministic. Rank columns are BIGINT. ``totals`` adds whole-group
     sums (``tot_<col>``): free with the window strategy (same partitioning); with the range
-    strategy a per-group partial aggregate joined back on the group key.
+    strategy a per-group partial aggregate joined back on the group key (AQE broadcasts it by
+    measured size), or a scalar subquery when there are no groups.
     """
     groups = list(groups)
     order_n = _norm_order(order)
