@@ -108,3 +108,15 @@ def test_group_totals(spark, strategy):
     assert got == {("a", 1): 1, ("a", 2): 1, ("b", 1): 2, ("b", 2): 2}
     glob = rank_within(df, [], ["g", "pos"], totals=("rel",), strategy=strategy).select("tot_rel").distinct().collect()
     assert [r[0] for r in glob] == [3]
+
+
+def test_window_limit_from_session(spark):
+    from worthrank.operators.ranking import WINDOW_MAX_ROWS_CONF, choose_strategy
+
+    df = spark.range(100).withColumn("g", F.col("id") % 2)
+    spark.conf.set(WINDOW_MAX_ROWS_CONF, "10")
+    try:
+        assert choose_strategy(df, ["g"]) == "range"
+    finally:
+        spark.conf.unset(WINDOW_MAX_ROWS_CONF)
+    assert choose_strategy(df, ["g"]) == "window"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import MAIN_THRESHOLDS, argmax2, is_positive, softmax2
-from worthrank.operators.ranking import DEFAULT_WINDOW_MAX_ROWS, OrderSpec, choose_strategy, rank_within
+from worthrank.operators.ranking import OrderSpec, choose_strategy, rank_within
 
 
 def _tie_spec(tie_cols: OrderSpec) -> list[tuple[str, str]]:
@@ -44,7 +44,7 @@ def rank_items(df: DataFrame, groups: Sequence[str], *, score_col: str = "score"
     cols = list(dict.fromkeys([*groups, score_col, *[t for t, _ in ties], *keep]))
     base = df.select(*cols, is_positive(label_col).cast("int").alias("rel"))
     if strategy == "auto":
-        strategy = choose_strategy(base, groups, DEFAULT_WINDOW_MAX_ROWS)
+        strategy = choose_strategy(base, groups)
     # the group's positive count R rides along for free in the window plan
     totals = ("rel",) if (strategy == "window" and with_totals) else ()
     out = rank_within(base, groups, [(score_col, "desc"), *ties], ranks=("row_number",),

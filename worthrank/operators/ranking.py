@@ -13,7 +13,8 @@ Two physical strategies compute the same result:
   partition counts. Pass 2 re-scans each partition with its carry-in state. Both passes are
   vectorised numpy over Arrow batches inside ``mapInPandas`` and hold one batch at a time.
 * ``auto``   - measure the largest group with a partial aggregation; ``window`` if it holds at most
-  ``window_max_rows`` rows, else ``range``.
+  ``window_max_rows`` rows (argument, else session setting ``worthrank.rank.windowMaxRows``, else
+  2M), else ``range``.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def rank_within(
     sums: Sequence[str] = (),
     totals: Sequence[str] = (),
     strategy: str = "auto",
-    window_max_rows: int = DEFAULT_WINDOW_MAX_ROWS,
+    window_max_rows: int | None = None,
 ) -> DataFrame:
     """Add rank columns and inclusive running sums (``cum_<col>``) within ``groups`` ordered by ``order``.
 
@@ -132,10 +133,21 @@ def forced_strategy(strategy: str):
         _FORCED.pop()
 
 
-def choose_strategy(df: DataFrame, groups: Sequence[str], window_max_rows: int) -> str:
+WINDOW_MAX_ROWS_CONF = "worthrank.rank.windowMaxRows"
+
+
+def window_limit(df: DataFrame, window_max_rows: int | None = None) -> int:
+    """The largest group the window strategy may sort in one task: the argument, else the session
+    setting ``worthrank.rank.windowMaxRows``, else 2,000,000 rows."""
+    if window_max_rows is not None:
+        return int(window_max_rows)
+    return int(df.sparkSession.conf.get(WINDOW_MAX_ROWS_CONF, str(DEFAULT_WINDOW_MAX_ROWS)))
+
+
+def choose_strategy(df: DataFrame, groups: Sequence[str], window_max_rows: int | None = None) -> str:
     if _FORCED:
         return _FORCED[-1]
-    return "window" if largest_group_rows(df, groups) <= window_max_rows else "range"
+    return "window" if largest_group_rows(df, groups) <= window_limit(df, window_max_rows) else "range"
 
 
 # ----------------------------------------------------------------------------- window strategy
