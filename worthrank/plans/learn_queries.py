@@ -16,7 +16,8 @@ from worthrank.plans.registry import register, round6
 from worthrank.session import scratch_path
 from worthrank.sinks.writers import save_model
 from worthrank.sources.testdata import table
-from worthrank.streaming.scoring import read_table_stream, run_to_files, score_stream, window_counts
+from worthrank.streaming.scoring import (linear_head_stream, read_table_stream, run_to_files, score_stream,
+                                        window_counts)
 
 
 def labelled_texts(spark, sf_dir):
@@ -102,3 +103,28 @@ def q_stream_window_counts(spark, sf_dir):
     back = spark.read.parquet(out)
     return back.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                        "event_type", "n", "n_positive")
+
+
+@register("stream_linear_head_score", """
+WITH e AS (SELECT vec_id, label, CASE WHEN label = 1 THEN 1 ELSE 0 END AS cls, embedding FROM embeddings),
+x AS (SELECT vec_id, label, cls, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM e),
+c AS (SELECT dim, AVG(CASE WHEN cls = 1 THEN CAST(v AS DOUBLE) END) AS m1,
+             AVG(CASE WHEN cls = 0 THEN CAST(v AS DOUBLE) END) AS m0 FROM x GROUP BY dim),
+w AS (SELECT dim, m1 - m0 AS w, (m1 + m0) / 2 AS mid FROM c),
+b AS (SELECT -SUM(w * mid) AS b FROM w),
+z AS (SELECT x.vec_id, x.cls, SUM(CAST(x.v AS DOUBLE) * w.w) AS dotp FROM x JOIN w ON x.dim = w.dim
+      GROUP BY x.vec_id, x.cls)
+SELECT vec_id, cls AS label, ROUND(dotp + (SELECT b FROM b), 6) AS z,
+       CASE WHEN dotp + (SELECT b FROM b) > 0 THEN 1 ELSE 0 END AS prediction
+FROM z""", "X1 F9 T7: a linear head fitted in batch (class centroids) scoring the embeddings read as a "
+          "stream (file sink)")
+def q_stream_linear_head_score(spark, sf_dir):
+    from worthrank.functions.scalar import binarize
+    from worthrank.operators.encode import centroid_head
+
+    head = centroid_head(table(spark, sf_dir, "embeddings"), "label").first()  # one row: w[dim], b
+    stream = read_table_stream(spark, sf_dir, "embeddings")
+    scored = linear_head_stream(stream, head).select("vec_id", binarize("label").alias("label"), "z")
+    out = run_to_files(scored, "stream-head", "append")
+    back = spark.read.parquet(out)
+    return round6(back.withColumn("prediction", F.when(F.col("z") > 0, 1).otherwise(0)))

@@ -72,3 +72,12 @@ def window_counts(stream: DataFrame, ts_col: str, key_col: str, positive: F.Colu
     agg = s.groupBy(F.window("_event_time", window).alias("w"), F.col(key_col)).agg(
         F.count(F.lit(1)).alias("n"), F.sum(positive.cast("int")).cast("bigint").alias("n_positive"))
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key_col, "n", "n_positive")
+
+
+def linear_head_stream(stream: DataFrame, head_row, vec_col: str = "embedding", out: str = "z") -> DataFrame:
+    """X1 with a linear head fitted in batch: its weights (one value per embedding dimension, so
+    bounded by the vector width, not the data) travel to the stream as literals."""
+    from worthrank.functions.scalar import linear
+
+    w = F.array(*[F.lit(float(x)) for x in head_row["w"]])
+    return stream.withColumn(out, linear(vec_col, w, F.lit(float(head_row["b"]))))
