@@ -114,3 +114,17 @@ def test_scalar_text_helpers(spark):
     r = df.select(strip_cr("a").alias("a"), to_int("a").alias("ai"), to_double("b").alias("b"),
                   to_int("c").alias("c"), fixed("d", 3).alias("d")).first()
     assert (r["a"], r["ai"], r["b"], r["c"], r["d"]) == ("12", 12, 3.5, None, "0.123")
+
+
+def test_prediction_parsers_keep_file_order(spark, scratch):
+    from worthrank.sources.readers import parse_predictions_2019, parse_predictions_2020
+
+    _write(os.path.join(scratch, "run.tsv"),
+           "covid\t1237160250513522688\t0.5\tModel_1\ncovid\t1237160250513522689\t0.5\tModel_1\n"
+           "covid\t1237160250513522690\t0.9\tModel_1")
+    p = parse_predictions_2020(read_lines(spark, os.path.join(scratch, "run.tsv"))).orderBy("pos").collect()
+    assert [(r["pos"], str(r["tweet_id"])[-3:], r["score"], r["n_fields"]) for r in p] == \
+        [(1, "688", 0.5, 4), (2, "689", 0.5, 4), (3, "690", 0.9, 4)]
+    _write(os.path.join(scratch, "d.tsv"), "1\t0.25\n2\tx")
+    q = parse_predictions_2019(read_lines(spark, os.path.join(scratch, "d.tsv"))).orderBy("pos").collect()
+    assert [(r["line_number"], r["score"]) for r in q] == [(1, 0.25), (2, None)]

@@ -186,3 +186,22 @@ def parse_gold_2020(lines: DataFrame) -> DataFrame:
                          strip(F.get(f, 1)).try_cast(TWEET_ID).alias("tweet_id"),
                          strip(F.get(f, 5)).try_cast("int").alias("label"))
             .filter(F.col("topic_id").isNull() | (F.col("topic_id") != "topic_id")))
+
+
+def parse_predictions_2019(lines: DataFrame) -> DataFrame:
+    """S9 with the line position kept (ties keep file order): ``doc_id, pos, line_number, score,
+    n_fields`` from raw lines."""
+    f = F.split(strip("line"), "\t")
+    return lines.select("doc_id", "pos", strip(F.get(f, 0)).try_cast("int").alias("line_number"),
+                        strip(F.get(f, 1)).try_cast("double").alias("score"), F.size(f).alias("n_fields"))
+
+
+def parse_predictions_2020(lines: DataFrame) -> DataFrame:
+    """S10 with the line position kept: in 2020 rankings equal scores keep physical file order,
+    which a CSV read does not guarantee across splits. ``doc_id, pos, topic_id, tweet_id, score,
+    run_id, n_fields`` from raw lines."""
+    f = F.split(strip("line"), "\t")
+    return lines.select("doc_id", "pos", F.get(f, 0).alias("topic_id"),
+                        strip(F.get(f, 1)).try_cast(TWEET_ID).alias("tweet_id"),
+                        strip(F.get(f, 2)).try_cast("double").alias("score"),
+                        strip(F.get(f, 3)).alias("run_id"), F.size(f).alias("n_fields"))
