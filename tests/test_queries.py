@@ -53,7 +53,7 @@ def test_rows_only_queries_run(spark, name):
 RANGE_QUERIES = ["ranking_metrics", "order_ranking_metrics", "supplier_ranking_metrics", "precision_curve",
                  "segment_by_restart", "split_output_check", "train_val_split", "weighted_resample",
                  "ratio_sample", "leaderboard", "format_violations_2019", "manifest_check", "encode_pad",
-                 "run_log_newest_first", "file_based_evaluation"]
+                 "run_log_newest_first", "file_based_evaluation", "file_based_evaluation_2020"]
 
 
 @pytest.mark.parametrize("name", RANGE_QUERIES)

@@ -19,7 +19,8 @@ from worthrank.session import scratch_path
 from worthrank.functions.scalar import binarize, word_count
 from worthrank.sinks.writers import (write_debate_sentences, write_ranking, write_ranking_2020, write_transcripts,
                                      write_tweets)
-from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, read_debate_sentences, read_lines,
+from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, parse_gold_2020, parse_predictions_2020,
+                                       read_debate_sentences, read_lines,
                                        read_predictions_2019, read_predictions_2020, read_transcripts, read_tweets)
 from worthrank.sources.testdata import table
 
@@ -154,3 +155,55 @@ def q_source_sink_roundtrip(spark, sf_dir):
     return back.select(F.col("Sentence_id").alias("sentence_id"), F.col("Speaker").alias("speaker"),
                        F.col("Length").alias("length"), F.col("Verdict").alias("verdict"),
                        binarize("Verdict").alias("label"), F.length("Text").cast("bigint").alias("text_len"))
+
+
+FILE_EVAL_2020_SQL = f"""
+WITH g AS (SELECT d.source AS topic_id, {TWEET_ID_BASE} + d.doc_id AS tid, l.toxic AS label,
+                  CAST(printf('%.5f', round_even(CAST(d.n_chars % 97 AS DOUBLE) / 97.0, 5)) AS DOUBLE) AS score
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+f AS (SELECT g.*, row_number() OVER (ORDER BY topic_id, tid) AS pos FROM g),
+r AS (SELECT 'run_2020' AS topic_id, label,
+             row_number() OVER (ORDER BY score DESC, pos ASC) AS rnk,
+             SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (ORDER BY score DESC, pos ASC
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER () AS r_tot
+      FROM f),
+m AS ({per_topic_sql()})
+SELECT {PER_TOPIC_SELECT} FROM m"""
+
+
+@register("file_based_evaluation_2020", FILE_EVAL_2020_SQL,
+          "S3 S8 S10 V2 V4 J1 A9 (2020): gold tweets and one sorted run written as files, read back raw "
+          "with their global line position, checked, joined by tweet id and scored as one ranking "
+          "(ties in file order, R from the gold file)")
+def q_file_based_evaluation_2020(spark, sf_dir):
+    from worthrank.operators.validate import check_coverage, line_violations_2020
+
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    tweets = d.select(F.col("source").alias("topic_id"),
+                      (F.lit(TWEET_ID_BASE) + F.col("doc_id")).cast(TWEET_ID).alias("tweet_id"),
+                      F.concat(F.lit("https://example.org/status/"), F.col("doc_id")).alias("tweet_url"),
+                      # one line per tweet, as in the task's gold files
+                      F.regexp_replace("text", r"[\t\r\n]+", " ").alias("tweet_text"),
+                      F.lit(1).alias("claim"), F.col("toxic").alias("check_worthiness"),
+                      ((F.col("n_chars") % 97).cast("double") / 97.0).alias("score"))
+    base = scratch_path(spark, "eval2020")
+    gold_path, run_path = f"{base}/gold_2020", f"{base}/run_2020"
+    write_tweets(tweets, gold_path)
+    # the run file lists tweets by topic and id; equal scores keep that physical order
+    write_ranking_2020(tweets.orderBy("topic_id", "tweet_id"), run_path)
+    gold = parse_gold_2020(read_lines(spark, gold_path, doc_from="directory"))
+    run_lines = read_lines(spark, run_path, doc_from="directory")
+    bad = line_violations_2020(run_lines).first()
+    if bad is not None:
+        raise ValueError(f"bad ranking line: {bad.asDict()}")
+    pred = parse_predictions_2020(run_lines)
+    check_coverage(gold.select("tweet_id"), pred.select("tweet_id"), ["tweet_id"], strict=True)
+    gold_last = dedupe_last(gold, ["tweet_id"], ["pos"], ["label"])
+    joined = pred.join(gold_last.select("tweet_id", "label"), "tweet_id")
+    relevant = gold_last.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("n_rel")).select(
+        F.lit("run_2020").alias("topic_id"), "n_rel")
+    # one ranking per run file (the directory); the topic field of the lines is not a group here
+    per = ranking_metrics(joined.drop("topic_id").withColumnRenamed("doc_id", "topic_id"), ["topic_id"],
+                          tie_cols=("pos",), relevant=relevant)
+    return round6(per)

@@ -159,10 +159,12 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str =
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
         F.col("value").alias("line"))
-    if doc_from == "partition":
-        # a document is a ``doc_id=...`` directory that may hold several part files; the part
-        # files of a range-partitioned write are in line order by name
-        raw = raw.withColumn("doc_id", F.regexp_extract("path", r"/doc_id=([^/]+)/[^/]*$", 1))
+    if doc_from in ("partition", "directory"):
+        # a document is a directory (``doc_id=...`` or the output directory of one write) that may
+        # hold several part files; the part files of a range-partitioned or sorted write are in
+        # line order by name
+        pattern = r"/doc_id=([^/]+)/[^/]*$" if doc_from == "partition" else r"/([^/]+)/[^/]*$"
+        raw = raw.withColumn("doc_id", F.regexp_extract("path", pattern, 1))
         numbered = rank_within(raw, ["doc_id"], ["path", "_block", "_seq"], strategy=strategy)
     else:
         raw = raw.withColumn("doc_id", F.regexp_replace("_name", r"\.[^.]*$", ""))
