@@ -201,9 +201,11 @@ def q_file_based_evaluation_2020(spark, sf_dir):
     check_coverage(gold.select("tweet_id"), pred.select("tweet_id"), ["tweet_id"], strict=True)
     gold_last = dedupe_last(gold, ["tweet_id"], ["pos"], ["label"])
     joined = pred.join(gold_last.select("tweet_id", "label"), "tweet_id")
-    relevant = gold_last.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("n_rel")).select(
-        F.lit("run_2020").alias("topic_id"), "n_rel")
     # one ranking per run file (the directory); the topic field of the lines is not a group here
-    per = ranking_metrics(joined.drop("topic_id").withColumnRenamed("doc_id", "topic_id"), ["topic_id"],
-                          tie_cols=("pos",), relevant=relevant)
+    ranked_input = joined.drop("topic_id").withColumnRenamed("doc_id", "topic_id")
+    # R = positives of the gold file, attached to the run keys found in the data (a scalar
+    # subquery, so the metrics join stays an equi-join on a real key)
+    gold_positives = gold_last.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0))).scalar()
+    relevant = ranked_input.select("topic_id").distinct().withColumn("n_rel", gold_positives)
+    per = ranking_metrics(ranked_input, ["topic_id"], tie_cols=("pos",), relevant=relevant)
     return round6(per)
