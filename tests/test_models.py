@@ -63,3 +63,31 @@ def test_stream_window_counts_match_batch(spark):
              .groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").count())
     assert got.count() == batch.count()
     assert got.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_watermark_drops_late_rows_in_append_mode(spark):
+    """In append mode a row arriving after its window was closed by the watermark is dropped,
+    and a window still open at the end of the input is held back."""
+    import datetime as dt
+    import os
+    import tempfile
+    import time
+
+    src = tempfile.mkdtemp(prefix="worthrank-stream-")
+    base = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp_ntz, event_type string, value double"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, name))
+        time.sleep(1.1)  # file order = micro-batch order
+
+    t = lambda h, m: base + dt.timedelta(hours=h, minutes=m)
+    put("a", [(i, t(h, 30), "view", 1.0) for i, h in enumerate(range(6))])   # batch 0: watermark becomes 04:30
+    put("b", [(50, t(5, 45), "view", 1.0)])                                    # batch 1: closes 00:00-04:00 windows
+    put("c", [(100, t(1, 5), "view", 1.0), (101, t(10, 5), "view", 1.0)])     # batch 2: 01:05 is late
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(src))
+    out = run_to_files(window_counts(stream, "ts", "event_type", F.col("value") > 0), "test-late", "append")
+    got = {r["window_start"].hour: r["n"] for r in spark.read.parquet(out).collect()}
+    assert got.get(1) == 1      # the late row did not reopen the closed 01:00 window
+    assert 10 not in got        # the last window is still open when the input ends
