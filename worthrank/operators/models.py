@@ -125,20 +125,30 @@ def accuracy(scored: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def select_best(train: DataFrame, val: DataFrame, candidates: Sequence[dict], make_estimator,
-                keep: Sequence[str], label_col: str = "label"):
-    """M5 + A15: fit every candidate setting on the (cached) training rows, measure validation
-    accuracy, keep the best; ties go to the earliest candidate. Returns (best_model, table)."""
+                keep: Sequence[str], label_col: str = "label", parallelism: int = 4):
+    """M5 + A15: fit every candidate setting on the persisted training rows, measure validation
+    accuracy, keep the best; ties go to the earliest candidate. Independent fits run as concurrent
+    Spark jobs (like ``TrainValidationSplit(parallelism=...)``); results do not depend on it.
+    Returns (best_model, table)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     train = training_frame(train)
-    models, rows = [], []
-    for i, params in enumerate(candidates):
+
+    def fit_one(i_params):
+        i, params = i_params
         m = make_estimator(**params).fit(train)
         acc = accuracy(score(m, val, [*keep, label_col]), label_col).first()["accuracy"]
-        models.append(m)
-        rows.append((i, float(acc if acc is not None else 0.0), str(params)))
+        return m, (i, float(acc if acc is not None else 0.0), str(params))
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(candidates)))) as pool:
+            results = list(pool.map(fit_one, enumerate(candidates)))
+    finally:
+        train.unpersist()
+    models = [m for m, _ in results]
     spark = train.sparkSession
-    table = spark.createDataFrame(rows, "candidate int, val_acc double, params string")
+    table = spark.createDataFrame([r for _, r in results], "candidate int, val_acc double, params string")
     best = best_by(table, "val_acc", "candidate").first()
-    train.unpersist()
     return models[best["candidate"]], table
 
 
