@@ -30,9 +30,13 @@ def word_count_expr(text: str | Column) -> Column:
 
 
 def build_vocabulary(df: DataFrame, text_col: str, strategy: str = "auto") -> DataFrame:
-    """(token, count, id): id 1 is the most frequent token; 0 is reserved for padding."""
+    """(token, count, id): id 1 is the most frequent token; 0 is reserved for padding.
+
+    The token counts (one row per distinct token) are checkpointed once, so the strategy probe and
+    the ranking read them instead of exploding and counting the whole corpus twice."""
+    checkpoint_dir(df.sparkSession)
     counts = (df.select(F.explode(tokens(text_col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("count"))).checkpoint(eager=True)
     ranked = rank_within(counts, [], [("count", "desc"), ("token", "asc")], strategy=strategy)
     return ranked.withColumnRenamed("row_number", "id")
 
