@@ -8,9 +8,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from worthrank.llm.common import table
+from worthrank.llm.common import held_out, table
+from worthrank.llm.langid import identify, learn_references
+from worthrank.llm.mixing import mix
 from worthrank.llm.packing import pack_pieces, token_pieces
+from worthrank.llm.quality import judge
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -30,3 +34,50 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), RANKS_PATH, PATTERN, SEQUENCE_LENGTH)
     return pack_pieces(pieces, SEQUENCE_LENGTH)
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    references = learn_references(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), references).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+LLM_SQL["op4_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sr
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE (sr - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS most,
+         CAST(sum(source_size) OVER () * 1.5 AS DOUBLE) AS budget FROM s),
+l AS (
+  SELECT *, (budget - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS own_level
+  FROM w WINDOW b AS (ORDER BY CAST(most AS DOUBLE) / weight, sr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT *, least(CAST(most AS DOUBLE), weight * (SELECT arg_min(own_level, CAST(most AS DOUBLE) / weight) FROM l
+         WHERE own_level * weight < most)) AS target FROM l),
+q AS (
+  SELECT d.doc_id, d.size, d.k, t.source_size, t.target, t.sr, t.weight, t.budget, p.again,
+         (CAST(sum(d.size) OVER (PARTITION BY t.sr, p.again ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING)
+               + p.again * t.source_size AS DOUBLE)) / t.weight AS finish
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) p(again)),
+r AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, sr, again, k, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM r GROUP BY doc_id, size, source_size, target
+"""
