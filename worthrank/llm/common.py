@@ -34,6 +34,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
 
 
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with this package made importable in the Python workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into smaller ones, so that a task holds few texts as Python objects."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worthrank.llm.common import text_batches
+from worthrank.llm.common import map_arrow, text_batches
 
 #: Code points beyond this count as no letters (the last assigned letters lie below it).
 CODE_LIMIT = 0x33400
@@ -200,4 +200,4 @@ def identify(docs: DataFrame, references: dict[str, str], text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

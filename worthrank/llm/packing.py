@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worthrank.llm.common import materialise, text_batches
+from worthrank.llm.common import map_arrow, materialise, text_batches
+from worthrank.session import ship_package
 
 END_ID = 0
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -65,7 +66,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECE_SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, PIECE_SCHEMA)
 
 
 class OpenBins:
@@ -121,6 +122,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024,
     bucket is chosen by a hash of the piece, so buckets stay near ``bucket_pieces`` rows whatever the
     sources or copies. sequence_id holds the bucket in its upper bits: it depends on the data alone,
     not on the task that packs, so a retried task gives the same result. An empty table gives none."""
+    ship_package(pieces.sparkSession)
     held = materialise(pieces, "pieces")
     buckets = max(1, -(-held.count() // bucket_pieces))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")

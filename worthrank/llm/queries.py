@@ -10,11 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worthrank.llm.ann import build_index, search
 from worthrank.llm.common import held_out, table
+from worthrank.llm.html_text import extract
 from worthrank.llm.langid import identify, learn_references
 from worthrank.llm.mixing import mix
 from worthrank.llm.packing import pack_pieces, token_pieces
 from worthrank.llm.quality import judge
+from worthrank.llm.toxicity import fit, score
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -81,3 +84,24 @@ r AS (
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
 FROM r GROUP BY doc_id, size, source_size, target
 """
+
+
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index, centre = build_index(vectors, k=20)
+    return search(index, centre, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    scored = score(docs, model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
