@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,3 +46,10 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's context cleaner delete the shuffle files of finished steps now. It does so when the
+    driver's garbage collector finds that nothing refers to them, which otherwise may take many minutes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

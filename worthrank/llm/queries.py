@@ -18,6 +18,7 @@ from worthrank.llm.line_dedup import dedup_lines
 from worthrank.llm.mixing import mix
 from worthrank.llm.packing import pack_pieces, token_pieces
 from worthrank.llm.quality import judge
+from worthrank.llm.substring_dedup import dedup_passages
 from worthrank.llm.toxicity import fit, score
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,9 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM d GROUP BY doc_id
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
