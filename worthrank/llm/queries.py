@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from worthrank.llm.ann import build_index, search
 from worthrank.llm.common import held_out, table
 from worthrank.llm.html_text import extract
+from worthrank.llm.jaccard_join import link_documents
 from worthrank.llm.langid import identify, learn_references
 from worthrank.llm.line_dedup import dedup_lines
 from worthrank.llm.mixing import mix
@@ -134,3 +135,8 @@ FROM d GROUP BY doc_id
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
