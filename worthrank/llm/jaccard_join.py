@@ -8,9 +8,9 @@ part's shingles are also XORed into a 64-bit word, and documents of a band that
 candidates. Candidates whose sketches lie too far apart are dropped, the rest is verified on the shingles.
 
 Groups of copies aren't expanded into pairs. Equal sets are one class from the start. Of the documents that
-agree in a word, small groups are compared in full and large ones with their smallest document; when the
+agree in a word, small groups are compared in full and large ones with one of their documents; when the
 links found are known, the large groups that still span several components are compared in full across
-components, in blocks. So no link that could join two components is left out.
+components, in blocks; a document leaves its most frequent groups out as far as it must meet its links in others. So no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from worthrank.llm.common import map_arrow, materialise, release_shuffles
@@ -125,9 +125,11 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def part_words(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every part of every band that a row is compared in."""
+def part_words(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) for every part of every band that a row is compared in, and by row and ``_slot`` of the band how
+    many keys it shares at least with any set that it links with. The slot is in a key's lowest two bits."""
     rows_out, keys_out = [], []
+    shared = np.zeros((len(sets.size), 4), np.int64)
     found = {int(n): bands(int(n)) for n in np.unique(sets.size) if n}
     for k in range(3):
         band, parts, differ = (np.array([found[n][k][i] if n and len(found[n]) > k else 0 for n in sets.size.tolist()], np.int64) for i in range(3))
@@ -143,26 +145,43 @@ def part_words(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray]:
         filled = np.bincount(at, minlength=len(word)) > 0
         owner = np.repeat(np.arange(len(parts)), parts)
         empty = np.bincount(owner[~filled], minlength=len(parts))
+        slot = _slot(band)
+        used = np.flatnonzero(parts)
+        shared[used, slot[used]] = np.clip(parts - differ - empty, 0, 2**15 - 1)[used]
         # a set with as many empty parts as two similar sets may have equal ones is also found by its empty parts
         keep = filled | (empty >= parts - differ)[owner]
         number = (np.arange(len(word)) - base[owner]).astype(np.uint64)
         keys = scramble(np.where(filled, word, _EMPTY) + number * _PART + band[owner].astype(np.uint64) * _CLASS)
+        keys = keys & ~np.uint64(3) | slot[owner].astype(np.uint64)
         rows_out.append(owner[keep])
         keys_out.append(keys[keep])
     if not rows_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows_out), np.concatenate(keys_out)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), shared
+    return np.concatenate(rows_out), np.concatenate(keys_out), shared
 
 
+def _slot(band: np.ndarray) -> np.ndarray:
+    """A number below 4 that differs for the bands of one set."""
+    return (band & 1) | ((band >> 1) & 1) << 1
+
+
+#: Four counts of up to 15 bits in one number.
+_SLOT_PLACE = np.array([1 << (15 * k) for k in range(4)], np.int64)
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 PACKED_SCHEMA = "bucket int, kind int, keys binary, a binary, b binary"
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-EDGES, MEMBERS, KEYS, LARGE = 0, 1, 2, 3
+EDGES, MEMBERS, SHARED, KEYS, LARGE = 0, 1, 2, 3, 4
+
+
+def _by_key(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The order by key and, within a key, by one of sixteen shuffles of the documents that the key chooses. So the
+    first documents of the large groups that a document is in, which it is compared with, differ."""
+    return np.lexsort((docs, scramble(docs.view(np.uint64) + (keys & np.uint64(15)) * _PART), keys))
 
 
 def _groups(keys: np.ndarray, docs: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (a, b) of the groups of equal keys, (key, doc) of the large groups, and which entries stand for
-    their group: all of a small one, the smallest document of a large one. Entries come sorted by key and document."""
+    their group: all of a small one, the first document of a large one. Entries come in the order of ``_by_key``."""
     at = runs_of(keys)
     count = np.diff(np.append(at, len(keys)))
     group = np.repeat(np.arange(len(at)), count)
@@ -182,15 +201,16 @@ def _groups(keys: np.ndarray, docs: np.ndarray, large: np.ndarray) -> tuple[np.n
 
 
 def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed rows of candidate pairs (EDGES: documents a, b) and of the members of large groups (MEMBERS: key a,
-    document b), both as little-endian 64-bit numbers."""
+    """Packed rows of candidate pairs (EDGES: documents a, b), of the members of large groups (MEMBERS: key a,
+    document b) and of the keys that documents share with any that they link with (SHARED: document a, counts by slot
+    b), all as little-endian 64-bit numbers."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 1):
             ids = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-            row, keys = part_words(ShingleSets(part.column(1)))
+            row, keys, shared = part_words(ShingleSets(part.column(1)))
             of = ids[row]
-            order = np.lexsort((of, keys))
+            order = _by_key(keys, of)
             keys, of = keys[order], of[order]
             same = np.append(False, (keys[1:] == keys[:-1]) & (of[1:] == of[:-1])) if len(keys) else np.zeros(0, bool)
             keys, of = keys[~same], of[~same]
@@ -205,6 +225,7 @@ def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str
                 rows += _keyed_rows(kind, keys[use], of[use], bits)
             if len(a):
                 rows.append((int(a[0]) % 2**bits, EDGES, None, *_pairs(a, b)))
+            rows.append((int(ids[0]) % 2**bits, SHARED, None, ids.astype("<i8").tobytes(), (shared @ _SLOT_PLACE).astype("<i8").tobytes()))
             if len(m_keys):
                 rows.append((int(m_docs[0]) % 2**bits, MEMBERS, None, m_keys.astype("<u8").tobytes(), m_docs.astype("<i8").tobytes()))
             yield _batch(rows, _PACKED)
@@ -216,7 +237,7 @@ def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str
             if not held:
                 return []
             keys, of, large = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.lexsort((of, keys))
+            order = _by_key(keys, of)
             a, b, m_keys, m_docs, _ = _groups(keys[order], of[order], large[order])
             rows = [(EDGES, *_pairs(a, b))] if len(a) else []
             return rows + ([(MEMBERS, m_keys.astype("<u8").tobytes(), m_docs.astype("<i8").tobytes())] if len(m_keys) else [])
@@ -227,7 +248,7 @@ def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str
                 if own != bucket:
                     out += close()
                     bucket, held = own, []
-                if kind in (EDGES, MEMBERS):
+                if kind in (EDGES, MEMBERS, SHARED):
                     out.append((kind, a, b))
                 else:
                     of = np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4"))
@@ -344,6 +365,20 @@ def _across(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
+def rare_members(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """The (key, doc_id) rows but for each document's most frequent keys, one fewer in a band than it shares with any
+    document that it links with. The rarest key that two linked documents share is among neither's dropped
+    ones, so they still meet; unrelated documents that share a frequent passage mostly don't."""
+    counts = members.groupBy("key").agg(F.count("*").alias("g"))
+    slot = F.col("key").bitwiseAND(F.lit(3)).cast("int")
+    place = Window.partitionBy("doc_id", "slot").orderBy(F.col("g").desc(), "key")
+    least = F.lit(0).cast("long")
+    for k in range(4):
+        least = F.when(F.col("slot") == k, F.shiftright(F.col("shared"), 15 * k).bitwiseAND(F.lit(2**15 - 1))).otherwise(least)
+    return (members.join(counts, "key").withColumn("slot", slot).withColumn("place", F.row_number().over(place))
+            .join(shared, "doc_id").where(F.col("place") >= least).select("key", "doc_id"))
+
+
 def _open_groups(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs across components in the large groups that span several, compared by sketch in blocks of members."""
     rooted = members.join(classes, "doc_id").join(roots, F.col("cid") == F.col("id"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"), "n", "sketch").dropDuplicates(["key", "cid"])
@@ -355,25 +390,39 @@ def _open_groups(members: DataFrame, classes: DataFrame, roots: DataFrame) -> Da
            .join(classes.where("doc_id = cid").select("cid", "n", "sketch"), "cid")
            .select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "cid", "root", "n", "sketch"))
 
-    def compare(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        for x in range(len(held)):
-            for y in range(x + 1, len(held)):
-                i, a, r, n, s = held[x]
-                j, b, t, m, z = held[y]
-                if r != t and 4 * min(n, m) >= 3 * max(n, m) and distance(s, z) <= (n + m) // 7:
-                    yield min(a, b), max(a, b)
+    def compare(held: list[tuple]) -> list[tuple[int, int]]:
+        """Pairs across roots whose sizes and sketches allow a link. A block pair compares its two blocks, or one with itself."""
+        if not held:
+            return []
+        i, ids, roots_, sizes = (np.array([h[k] for h in held]) for k in range(4))
+        sketches = [np.frombuffer(h[4], np.uint64) for h in held]
+        width = min(map(len, sketches))
+        flat = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches])
+        roots_of, counts = np.unique(roots_, return_counts=True)
+        frequent = roots_of[counts.argmax()]
+        found = []
+        for x in np.flatnonzero(roots_ != frequent):  # every pair across roots has one outside the most frequent root
+            other = (roots_ != roots_[x]) & (4 * np.minimum(sizes, sizes[x]) >= 3 * np.maximum(sizes, sizes[x]))
+            other &= (roots_ == frequent) | (ids > ids[x])
+            if i.min() != i.max():
+                other &= i != i[x]
+            y = np.flatnonzero(other)
+            far = np.bitwise_count(flat[y] ^ flat[x]).sum(axis=1)
+            y = y[far <= (sizes[y] + sizes[x]) // 7]
+            found += [(min(ids[x], k), max(ids[x], k)) for k in ids[y].tolist()]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for key, p, q, i, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: set[tuple[int, int]] = set()
+            for key, p, q, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, p, q) != at:
-                    out += compare(held)
+                    out.update(compare(held))
                     at, held = (key, p, q), []
-                held.append((i, *rest))
-            yield _edges(out)
-        yield _edges(list(compare(held)))
+                held.append(rest)
+            yield _edges(sorted(out))
+        yield _edges(sorted(compare(held)))
 
     dealt = own.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return map_arrow(dealt, run, "a long, b long")
@@ -414,7 +463,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = _across(pending, materialise(components(links), "roots"))
     links = links.unionByName(materialise(_linked(rest, sets), "links"))
     roots = materialise(components(links), "roots")
-    members = unpack_pairs(found, MEMBERS, ("key", "doc_id"))
+    members = rare_members(unpack_pairs(found, MEMBERS, ("key", "doc_id")).distinct(), unpack_pairs(found, SHARED, ("doc_id", "shared")).dropDuplicates(["doc_id"]))
     more = materialise(_open_groups(members, classes, roots).distinct(), "pairs")
     if not more.isEmpty():
         wanted = more.select(F.col("a").alias("doc_id")).unionByName(more.select(F.col("b").alias("doc_id"))).distinct()
