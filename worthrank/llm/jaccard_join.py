@@ -28,7 +28,6 @@ from worthrank.llm.common import map_arrow, materialise, release_shuffles
 from worthrank.llm.shingles import Words, byte_slices, packed6, runs_of, scramble, unpacked6
 
 SHINGLE = 5
-SMALL_GROUP = 8
 BLOCK = 1024
 _PART = np.uint64(0xD6E8FEB86659FD93)
 _CLASS = np.uint64(0xA0761D6478BD642F)
@@ -179,16 +178,16 @@ def _by_key(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.lexsort((docs, scramble(docs.view(np.uint64) + (keys & np.uint64(15)) * _PART), keys))
 
 
-def _groups(keys: np.ndarray, docs: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _groups(keys: np.ndarray, docs: np.ndarray, large: np.ndarray, small_group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (a, b) of the groups of equal keys, (key, doc) of the large groups, and which entries stand for
     their group: all of a small one, the first document of a large one. Entries come in the order of ``_by_key``."""
     at = runs_of(keys)
     count = np.diff(np.append(at, len(keys)))
     group = np.repeat(np.arange(len(at)), count)
-    is_large = (count > SMALL_GROUP) | (np.logical_or.reduceat(large, at) if len(at) else np.zeros(0, bool))
+    is_large = (count > small_group) | (np.logical_or.reduceat(large, at) if len(at) else np.zeros(0, bool))
     inside = is_large[group]
     a, b = [docs[at[group]][inside]], [docs[inside]]
-    for step in range(1, SMALL_GROUP):
+    for step in range(1, small_group):
         i = np.arange(len(keys) - step) if len(keys) > step else np.zeros(0, np.int64)
         i = i[(group[i] == group[i + step]) & ~inside[i]]
         a.append(docs[i])
@@ -200,7 +199,7 @@ def _groups(keys: np.ndarray, docs: np.ndarray, large: np.ndarray) -> tuple[np.n
     return a[other], b[other], keys[inside], docs[inside], ~inside | first
 
 
-def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, bits: int, small_group: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed rows of candidate pairs (EDGES: documents a, b), of the members of large groups (MEMBERS: key a,
     document b) and of the keys that documents share with any that they link with (SHARED: document a, counts by slot
     b), all as little-endian 64-bit numbers."""
@@ -216,8 +215,8 @@ def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str
             keys, of = keys[~same], of[~same]
             at = runs_of(keys)
             count = np.diff(np.append(at, len(keys)))
-            big = np.repeat(count > SMALL_GROUP, count)  # of groups that are large within the slice only the smallest goes on
-            a, b, m_keys, m_docs, _ = _groups(keys[big], of[big], np.zeros(int(big.sum()), bool))
+            big = np.repeat(count > small_group, count)  # of groups that are large within the slice only the smallest goes on
+            a, b, m_keys, m_docs, _ = _groups(keys[big], of[big], np.zeros(int(big.sum()), bool), small_group)
             first = np.zeros(len(keys), bool)
             first[at] = True
             rows = []
@@ -238,7 +237,7 @@ def candidates(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str
                 return []
             keys, of, large = (np.concatenate([h[k] for h in held]) for k in range(3))
             order = _by_key(keys, of)
-            a, b, m_keys, m_docs, _ = _groups(keys[order], of[order], large[order])
+            a, b, m_keys, m_docs, _ = _groups(keys[order], of[order], large[order], small_group)
             rows = [(EDGES, *_pairs(a, b))] if len(a) else []
             return rows + ([(MEMBERS, m_keys.astype("<u8").tobytes(), m_docs.astype("<i8").tobytes())] if len(m_keys) else [])
 
@@ -432,13 +431,15 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 1_500_000) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 1_500_000,
+                   small_group: int = 8) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``.
 
     Sets are of five-word shingles, words cut at ASCII white space and A-Z in lower case; fewer words are one
     shingle; null or empty texts, or texts without words, have none and no link. Two documents link when 100 *
     intersection >= 75 * union; component_id is the smallest id reachable by links, the own id included. Shingles
-    are told apart by 64-bit hashes, of which 48 bits are compared in verification. Rows with a null id get a null component; rows that share
+    are told apart by 64-bit hashes, of which 48 bits are compared in verification. Groups of up to ``small_group``
+    documents are compared in full at once; the result doesn't depend on it. Rows with a null id get a null component; rows that share
     an id must have equal texts, else one of the sets stands for the id. Other columns are ignored."""
     spark = docs.sparkSession
     signed = materialise(signatures(docs, id_col, text_col), "signatures")
@@ -448,7 +449,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialise(some.join(names, ["s1", "s2"]).select("doc_id", "cid", "n", "sketch"), "classes")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1.0, 0.9 * shingles / bucket_keys))))
-    found = materialise(candidates(docs, bits, id_col, text_col), "candidates")
+    found = materialise(candidates(docs, bits, small_group, id_col, text_col), "candidates")
     release_shuffles(spark)
     of = classes.select("doc_id", "cid")
     pairs = unpack_pairs(found, EDGES, ("x", "y")).distinct()
