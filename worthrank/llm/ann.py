@@ -75,32 +75,54 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray,
-                  own: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, slack: float) -> list[tuple[int, int, float]]:
-    """(query id, id, exact product) of the best ``k`` vectors of a block, found through their codes."""
-    dims = vectors.shape[1]
+                  own: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, exact products) of the best ``k`` vectors of a block, found through their codes."""
+    dims, first = vectors.shape[1], min(k, len(ids))
     signs = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1
-    turned = (queries @ turn).astype(np.float32)
     # <q, x> = <q, centre> + norm * <q, unit residual>; the last is estimated by <q, code> / <unit residual, code>
-    scale = (norm / own / np.sqrt(dims)).astype(np.float32)
-    estimate = (turned @ signs.T) * scale + (queries @ centre)[:, None].astype(np.float32)
+    scale = norm / own / np.sqrt(dims)
+    estimate = (queries @ turn).astype(np.float32) @ (signs * scale[:, None].astype(np.float32)).T
+    centred = queries @ centre
+    by_id = np.argsort(ids)
+    itself = by_id[np.minimum(np.searchsorted(ids, query_ids, sorter=by_id), len(ids) - 1)]
+    met = np.flatnonzero(ids[itself] == query_ids)
+    estimate[met, itself[met]] = -np.inf  # a query isn't its own neighbour
+    # the exact products of some vectors with high estimates, the best of each of many parts of the block, give a score
+    # that the k-th best vector has at least
+    parts = min(len(ids), max(4 * first, 64))
+    cuts = np.linspace(0, len(ids), parts + 1).astype(int)[:-1]
+    peaks = np.maximum.reduceat(estimate, cuts, axis=1)
+    likely = np.argpartition(peaks, parts - first, axis=1)[:, parts - first :]
+    level = np.take_along_axis(peaks, likely, axis=1).min(axis=1)
     # an estimate errs by norm * |q| * sqrt(1 / own² - 1) * slack / sqrt(dims - 1) at most, but for rare cases
     spread = norm * np.sqrt(np.maximum(1 / own**2 - 1, 0)) * slack / np.sqrt(max(dims - 1, 1)) + 1e-6 * (norm + 1)
-    error = np.linalg.norm(queries, axis=1)[:, None].astype(np.float32) * spread.astype(np.float32)
-    least = min(k + 1, len(ids))  # one more, as a query may meet itself
-    found = []
-    for i in range(len(queries)):
-        low = estimate[i] - error[i]
-        bound = np.partition(low, len(ids) - least)[len(ids) - least]
-        near = np.flatnonzero(estimate[i] + error[i] >= bound)
-        near = near[ids[near] != query_ids[i]]
-        exact = np.array([np.dot(queries[i], vectors[j]) for j in near])
+    spread = spread.astype(np.float32)
+    length = np.linalg.norm(queries, axis=1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, query in enumerate(queries):
+        own_estimate = estimate[i]
+        near = np.flatnonzero(own_estimate >= level[i]) if np.isfinite(level[i]) else np.zeros(0, np.int64)
+        if len(near) >= first:
+            floor = np.partition(_products(vectors[near], query), len(near) - first)[len(near) - first]
+            near = np.flatnonzero(own_estimate + spread * np.float32(length[i]) >= np.float32(floor - centred[i] - 1e-5 * (length[i] + abs(floor))))
+        else:
+            near = np.flatnonzero(np.isfinite(own_estimate))
+        exact = _products(vectors[near], query)
+        if len(near) > k:  # with all ties of the k-th
+            top = np.flatnonzero(exact >= np.partition(exact, len(near) - k)[len(near) - k])
+            near, exact = near[top], exact[top]
         order = np.lexsort((ids[near], -exact))[:k]
-        found.extend((int(query_ids[i]), int(ids[near[j]]), float(exact[j])) for j in order)
-    return found
+        found.append((np.full(len(order), query_ids[i]), ids[near[order]], exact[order]))
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+
+
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products, all summed in the same order, so that equal vectors have equal ones."""
+    return np.einsum("ij,j->i", vectors, query)
 
 
-def search(index: DataFrame, centre: np.ndarray, queries: DataFrame, k: int = 20, slack: float = 3.0, block_rows: int = 4096,
-           block_queries: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17) -> DataFrame:
+def search(index: DataFrame, centre: np.ndarray, queries: DataFrame, k: int = 20, slack: float = 1.9, block_rows: int = 8192,
+           block_queries: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every usable query row: its ``k`` nearest, nearest first, ties
     to the smaller id, without itself; all candidates if there are fewer.
 
@@ -123,14 +145,12 @@ def search(index: DataFrame, centre: np.ndarray, queries: DataFrame, k: int = 20
         def cell(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
                 return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in x["code"]])
-            found = []
-            for at in range(0, len(q), 256):
-                part = q.iloc[at : at + 256]
-                found += best_of_block(np.stack(part["vector"].to_numpy()), part["query_id"].to_numpy(), np.stack(x["vector"].to_numpy()),
-                                       x["vec_id"].to_numpy(), codes, x["norm"].to_numpy(), x["own"].to_numpy(), centre,
-                                       rotation(len(centre), seed), k, slack)
-            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            codes = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
+            vectors, asked_vectors = np.stack(x["vector"].to_numpy()), np.stack(q["vector"].to_numpy())
+            turn = rotation(len(centre), seed)
+            found = [best_of_block(asked_vectors[at : at + 256], q["query_id"].to_numpy()[at : at + 256], vectors, x["vec_id"].to_numpy(),
+                                   codes, x["norm"].to_numpy(), x["own"].to_numpy(), centre, turn, k, slack) for at in range(0, len(q), 256)]
+            return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
         found = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInPandas(cell, schema)
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

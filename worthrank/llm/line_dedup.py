@@ -122,8 +122,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, batches: int = 4, fan_ou
     # every hash is in one run, with the document that keeps the line; a hash that many documents have is one skewed
     # key of a plain join, which adaptive execution splits
     later = keys.join(state.table(), ["k1", "k2"]).where(F.col("doc_id") != F.col("first"))
-    lost = materialise(later.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("lost")), "lost-lines")
-    joined = docs.join(lost.withColumnRenamed("doc_id", "lost_id"), F.col(id_col).cast("long") == F.col("lost_id"), "left").drop("lost_id")
+    lost = materialise(later.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__lost")), "lost-lines")
+    joined = docs.join(lost.withColumnRenamed("doc_id", "__lost_id"), F.col(id_col).cast("long") == F.col("__lost_id"), "left").drop("__lost_id")
     at, lost_at = docs.columns.index(text_col), len(docs.columns)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit("").alias("kept_text")).schema
 

@@ -179,10 +179,10 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     repeats = materialise(match(map_arrow(near, windows, PACKED_SCHEMA), partitions, earlier_only=True, short=False), "repeated-windows")
     release_shuffles(spark)
-    gone = repeats.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("keys").alias("gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("gone_id"), "left").drop("gone_id")
+    gone = repeats.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_list("keys").alias("__gone"))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left").drop("__gone_id")
     width = len(docs.columns)
-    joined = joined.select("*", F.col(text_col).cast("string").cast("binary").alias("bytes"))
+    joined = joined.select("*", F.col(text_col).cast("string").cast("binary").alias("__bytes"))
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
