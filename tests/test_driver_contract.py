@@ -15,9 +15,8 @@ E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
 assert E.entry(spark).count() > 0
-from worthrank.operators.ranking import forced_strategy
-with forced_strategy("range"):
-    n = E.queries()["segment_by_restart"](spark, "/root/testdata/sf0.001").count()
+spark.conf.set("worthrank.rank.partitions", "5")
+n = E.queries()["segment_by_restart"](spark, "/root/testdata/sf0.001").count()
 print("ROWS", n)
 """
 

@@ -41,7 +41,7 @@ def test_read_lines_keeps_file_order_across_splits(spark, scratch):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     try:
-        for strategy in ("window", "range"):
+        for strategy in ("window", "two_level"):
             lines = read_lines(spark, os.path.join(scratch, "*.tsv"), strategy=strategy)
             bad = lines.filter(F.split("line", "\t")[0].cast("long") != F.col("pos")).count()
             assert bad == 0 and lines.count() == n + 2

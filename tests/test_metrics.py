@@ -21,7 +21,7 @@ def _by_topic(df):
     return {r["topic_id"]: r.asDict() for r in df.collect()}
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
+@pytest.mark.parametrize("strategy", ["window", "two_level"])
 def test_hand_worked_cases(spark, strategy):
     rows = (_doc("a", [1, 0, 1, 0]) + _doc("b", [0, 0, 1]) + _doc("c", [0, 0]) + _doc("d", [1, 1])
             + _doc("tie", [0, 1], scores=[0.5, 0.5]))
@@ -85,7 +85,7 @@ def _random_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,strategy", [(1, "window"), (1, "range"), (7, "range"), (11, "window")])
+@pytest.mark.parametrize("seed,strategy", [(1, "window"), (1, "two_level"), (7, "two_level"), (11, "window")])
 def test_against_sequential(spark, seed, strategy):
     rows = _random_rows(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)

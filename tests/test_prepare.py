@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import binarize
 from worthrank.operators.prepare import (class_weights, dedupe_last, exact_split, predefined_split,
-                                         ratio_sample, weighted_resample, with_class_weight)
+                                         ratio_sample, seeded_key, weighted_resample, with_class_weight)
 
 
 def _labels(spark, n, n_pos):
@@ -30,14 +30,23 @@ def test_class_weights_bundled_training_balance(spark):
     assert sorted(r["weight"] for r in rows) == pytest.approx([4 / 3, 4 / 3, 4 / 3, 4.0])
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
-def test_exact_split_sizes(spark, strategy):
-    s = exact_split(_labels(spark, 1386, 72), "id", 0.2, strategy=strategy)
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_exact_split_sizes(spark, buckets):
+    s = exact_split(_labels(spark, 1386, 72), "id", 0.2, buckets=buckets)
     counts = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
     assert counts == {"val": 278, "train": 1108}
-    again = exact_split(_labels(spark, 1386, 72), "id", 0.2, strategy="window")
-    assert sorted(s.filter("split = 'val'").select("id").collect()) == \
-        sorted(again.filter("split = 'val'").select("id").collect())
+    val = lambda f: sorted(r["id"] for r in f.filter("split = 'val'").collect())
+    assert val(s) == val(exact_split(_labels(spark, 1386, 72).repartition(9), "id", 0.2))
+    assert val(s) != val(exact_split(_labels(spark, 1386, 72), "id", 0.2, seed=43))
+    assert {r["split"] for r in exact_split(_labels(spark, 10, 2), "id", 0.0).collect()} == {"train"}
+
+
+def test_ids_far_apart_get_different_keys(spark):
+    df = spark.range(2000).select((F.col("id") * 2**31).alias("id"))
+    key = seeded_key(1)("id")
+    assert df.select(key.alias("k")).distinct().count() > 1990
+    a, b = (df.select(seeded_key(s)("id").alias("k")).collect() for s in (1, 2))
+    assert a != b
 
 
 def test_predefined_split(spark):
@@ -46,7 +55,7 @@ def test_predefined_split(spark):
     assert out == ["train", "dev", "test"]
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
+@pytest.mark.parametrize("strategy", ["window", "two_level"])
 def test_weighted_resample(spark, strategy):
     df = _labels(spark, 2000, 100)
     draws = weighted_resample(df, "label", "id", strategy=strategy)

@@ -26,7 +26,7 @@ def test_range_equals_window(spark, seed):
     try:
         kw = dict(ranks=("row_number", "rank", "dense_rank"), sums=("rel",))
         w = rank_within(df, ["g"], [("score", "desc"), ("pos", "asc")], strategy="window", **kw)
-        r = rank_within(df, ["g"], [("score", "desc"), ("pos", "asc")], strategy="range", **kw)
+        r = rank_within(df, ["g"], [("score", "desc"), ("pos", "asc")], strategy="two_level", **kw)
         cols = ["g", "pos", "row_number", "rank", "dense_rank", "cum_rel"]
         a = sorted(tuple(x) for x in w.select(*cols).collect())
         b = sorted(tuple(x) for x in r.select(*cols).collect())
@@ -34,13 +34,13 @@ def test_range_equals_window(spark, seed):
         # ties only on score: rank/dense_rank must also agree
         kw2 = dict(ranks=("rank", "dense_rank"), sums=("rel",))
         w2 = rank_within(df, ["g"], [("score", "desc")], strategy="window", **kw2)
-        r2 = rank_within(df, ["g"], [("score", "desc")], strategy="range", **kw2)
+        r2 = rank_within(df, ["g"], [("score", "desc")], strategy="two_level", **kw2)
         a2 = sorted(repr(tuple(x)) for x in w2.select("g", "score", "rank", "dense_rank").collect())
         b2 = sorted(repr(tuple(x)) for x in r2.select("g", "score", "rank", "dense_rank").collect())
         assert a2 == b2
         # no groups at all: a global numbering
         w3 = rank_within(df, [], [("pos", "asc")], strategy="window", sums=("rel",))
-        r3 = rank_within(df, [], [("pos", "asc")], strategy="range", sums=("rel",))
+        r3 = rank_within(df, [], [("pos", "asc")], strategy="two_level", sums=("rel",))
         assert sorted(tuple(x) for x in w3.select("pos", "row_number", "cum_rel").collect()) == \
             sorted(tuple(x) for x in r3.select("pos", "row_number", "cum_rel").collect())
     finally:
@@ -48,14 +48,6 @@ def test_range_equals_window(spark, seed):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_auto_picks_window_for_small_groups(spark):
-    from worthrank.operators.ranking import choose_strategy
-
-    df = spark.range(100).withColumn("g", F.col("id") % 3)
-    assert choose_strategy(df, ["g"], 1000) == "window"
-    assert choose_strategy(df, ["g"], 10) == "range"
-
-
 def test_range_strategy_spreads_a_hot_group(spark):
     """A group holding 90% of the rows is scanned by many tasks, not one (the window plan would
     put it in a single partition); its numbering is still one consecutive sequence. AQE only
@@ -67,7 +59,7 @@ def test_range_strategy_spreads_a_hot_group(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = rank_within(df, ["g"], ["k"], strategy="range")
+        out = rank_within(df, ["g"], ["k"], strategy="two_level")
         hot = out.filter(F.col("g") == "hot")
         parts = hot.select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts > 4
@@ -86,13 +78,13 @@ def test_range_carries_state_across_arrow_batches(spark):
     try:
         kw = dict(ranks=("row_number", "rank", "dense_rank"), sums=("rel",))
         w = rank_within(df, ["g"], [("score", "desc")], strategy="window", **kw)
-        r = rank_within(df, ["g"], [("score", "desc")], strategy="range", **kw)
+        r = rank_within(df, ["g"], [("score", "desc")], strategy="two_level", **kw)
         cols = ["g", "score", "rank", "dense_rank"]
         assert sorted(repr(tuple(x)) for x in w.select(*cols).collect()) == \
             sorted(repr(tuple(x)) for x in r.select(*cols).collect())
         # row_number / running sums with a total order
         w2 = rank_within(df, ["g"], [("score", "desc"), "pos"], strategy="window", sums=("rel",))
-        r2 = rank_within(df, ["g"], [("score", "desc"), "pos"], strategy="range", sums=("rel",))
+        r2 = rank_within(df, ["g"], [("score", "desc"), "pos"], strategy="two_level", sums=("rel",))
         c2 = ["g", "pos", "row_number", "cum_rel"]
         assert sorted(tuple(x) for x in w2.select(*c2).collect()) == sorted(tuple(x) for x in r2.select(*c2).collect())
     finally:
@@ -100,7 +92,7 @@ def test_range_carries_state_across_arrow_batches(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
+@pytest.mark.parametrize("strategy", ["window", "two_level"])
 def test_group_totals(spark, strategy):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 1, 1), ("b", 2, 1)], "g string, pos long, rel int")
     got = {(r["g"], r["pos"]): r["tot_rel"] for r in
@@ -110,13 +102,31 @@ def test_group_totals(spark, strategy):
     assert [r[0] for r in glob] == [3]
 
 
-def test_window_limit_from_session(spark):
-    from worthrank.operators.ranking import WINDOW_MAX_ROWS_CONF, choose_strategy
-
-    df = spark.range(100).withColumn("g", F.col("id") % 2)
-    spark.conf.set(WINDOW_MAX_ROWS_CONF, "10")
-    try:
-        assert choose_strategy(df, ["g"]) == "range"
-    finally:
-        spark.conf.unset(WINDOW_MAX_ROWS_CONF)
-    assert choose_strategy(df, ["g"]) == "window"
+def _skewed(spark, n=4000):
+    """Nullable BIGINT above 2^53, DECIMAL, leading NULL sums, ties and a hot group."""
+    i = F.col("id")
+    return spark.range(n, numPartitions=7).select(
+        F.when(i % 3 == 0, "hot").when(i % 50 == 1, None).otherwise(F.concat(F.lit("g"), i % 40)).alias("g"), (i * 7919 % 997).alias("k"), i.alias("pos"),
+        F.when(i % 5 > 0, i + 2**60 + 1).alias("big"), F.when(i % 997 > 100, (i % 13).cast("decimal(20,2)")).alias("amount"),
+        F.when(i * 7919 % 997 > 300, (i % 4)).alias("late"))
+
+
+@pytest.mark.parametrize("groups", [["g"], []])
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_two_levels_equal_the_plain_window(spark, groups, n):
+    df = _skewed(spark)
+    order = [("k", "desc"), "pos"]
+    kw = dict(ranks=("row_number", "rank", "dense_rank"), sums=("amount", "late"), totals=("amount", "late"))
+    plain = rank_within(df, groups, order, strategy="window", **kw)
+    two = rank_within(df, groups, order, partitions=n, **kw)
+    assert two.dtypes == plain.dtypes
+    expected = sorted(map(repr, plain.collect()))
+    for moved in (two, two.coalesce(1), two.coalesce(3), two.where("pos % 2 = 0").union(two.where("pos % 2 = 1")), two.repartition(5)):
+        assert sorted(map(repr, moved.collect())) == expected
+    tied = dict(ranks=("rank", "dense_rank"))
+    assert sorted(map(repr, rank_within(df, groups, ["k"], partitions=n, **tied).collect())) == \
+        sorted(map(repr, rank_within(df, groups, ["k"], strategy="window", **tied).collect()))
+
+
+def test_empty_frame(spark):
+    assert rank_within(_skewed(spark).limit(0), ["g"], ["pos"], sums=("late",), totals=("late",)).collect() == []

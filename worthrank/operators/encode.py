@@ -29,11 +29,11 @@ def word_count_expr(text: str | Column) -> Column:
     return word_count(text)
 
 
-def build_vocabulary(df: DataFrame, text_col: str, strategy: str = "auto") -> DataFrame:
+def build_vocabulary(df: DataFrame, text_col: str, strategy: str = "two_level") -> DataFrame:
     """(token, count, id): id 1 is the most frequent token; 0 is reserved for padding.
 
-    The token counts (one row per distinct token) are checkpointed once, so the strategy probe and
-    the ranking read them instead of exploding and counting the whole corpus twice."""
+    The token counts (one row per distinct token) are checkpointed once, so the sampling of the range
+    partitioning reads them instead of exploding and counting the whole corpus twice."""
     checkpoint_dir(df.sparkSession)
     counts = (df.select(F.explode(tokens(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count"))).checkpoint(eager=True)
@@ -57,12 +57,12 @@ def encode(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> D
         "ids", F.coalesce("ids", F.array().cast("array<bigint>")))
 
 
-def truncate_and_pad(enc: DataFrame, max_len: int = 512) -> DataFrame:
-    """Truncate to ``max_len`` ids, pad with 0 to the longest row of the whole set, and build
+def truncate_and_pad(enc: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Truncate to ``max_len`` ids (None keeps all), pad with 0 to the longest row of the whole set, and build
     the attention mask. The encoded rows are checkpointed once (shared checkpoint directory), so
     the longest-length scalar subquery and the padding read them instead of encoding twice."""
     checkpoint_dir(enc.sparkSession)
-    trunc = enc.withColumn("input_ids", F.slice("ids", 1, max_len)).checkpoint(eager=True)
+    trunc = enc.withColumn("input_ids", F.col("ids") if max_len is None else F.slice("ids", 1, max_len)).checkpoint(eager=True)
     pad_len = trunc.select(F.max(F.size("input_ids"))).scalar()
     missing = pad_len - F.size("input_ids")
     return (trunc.withColumn("pad_len", pad_len.cast("int"))

@@ -11,10 +11,7 @@ rows in the group, ``n`` = ranked rows:
 * means = unweighted averages over groups (NULL P@N values are skipped)
 
 Plan: one ranking scan (``rank_within``) -> one partially aggregated ``groupBy(groups)``. R-Pr
-needs R on each relevant row. With the window strategy R is a second window aggregate over the
-same partitioning (no extra shuffle). With the range strategy only the relevant rows are joined
-to the per-group R (one row per group; AQE broadcasts it when its measured size allows and splits
-skewed partitions otherwise).
+needs R on each relevant row, which rides along as a group total of the ranking scan.
 """
 
 from __future__ import annotations
@@ -25,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import MAIN_THRESHOLDS, argmax2, is_positive, softmax2
-from worthrank.operators.ranking import OrderSpec, choose_strategy, rank_within
+from worthrank.operators.ranking import OrderSpec, rank_within
 
 
 def _tie_spec(tie_cols: OrderSpec) -> list[tuple[str, str]]:
@@ -34,21 +31,17 @@ def _tie_spec(tie_cols: OrderSpec) -> list[tuple[str, str]]:
 
 def rank_items(df: DataFrame, groups: Sequence[str], *, score_col: str = "score",
                tie_cols: OrderSpec = ("pos",), label_col: str = "label", keep: Sequence[str] = (),
-               strategy: str = "auto", with_totals: bool = False) -> DataFrame:
+               strategy: str = "two_level", with_totals: bool = False) -> DataFrame:
     """W1 + W2: ``rank`` (stable descending score) and ``cum_hits`` per group, plus ``rel``
-    (and ``tot_rel`` = R when ``with_totals`` and the window strategy is used).
+    (and ``tot_rel`` = R when ``with_totals``).
 
     Only the grouping, ordering and label columns (and ``keep``) travel through the sort.
     """
     ties = _tie_spec(tie_cols)
     cols = list(dict.fromkeys([*groups, score_col, *[t for t, _ in ties], *keep]))
     base = df.select(*cols, is_positive(label_col).cast("int").alias("rel"))
-    if strategy == "auto":
-        strategy = choose_strategy(base, groups)
-    # the group's positive count R rides along for free in the window plan
-    totals = ("rel",) if (strategy == "window" and with_totals) else ()
     out = rank_within(base, groups, [(score_col, "desc"), *ties], ranks=("row_number",),
-                      sums=("rel",), totals=totals, strategy=strategy)
+                      sums=("rel",), totals=("rel",) if with_totals else (), strategy=strategy)
     return out.withColumnRenamed("row_number", "rank").withColumnRenamed("cum_rel", "cum_hits")
 
 
@@ -106,7 +99,7 @@ def metrics_from_ranked(ranked: DataFrame, groups: Sequence[str],
 
 def ranking_metrics(df: DataFrame, groups: Sequence[str], *, score_col: str = "score",
                     tie_cols: OrderSpec = ("pos",), label_col: str = "label",
-                    thresholds: Sequence[int] = MAIN_THRESHOLDS, strategy: str = "auto",
+                    thresholds: Sequence[int] = MAIN_THRESHOLDS, strategy: str = "two_level",
                     relevant: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """A9 ``evaluate``: per-group n, n_rel, ap, rr, r_prec, p_<N>.
 

@@ -100,14 +100,15 @@ def score_with_pandas(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series]
 
 
 def training_frame(train: DataFrame) -> DataFrame:
-    """Training rows spread over the cluster's default parallelism and persisted (memory and
-    disk) for an iterative fit: a global split or a single-file source can leave them in one
+    """Training rows dealt out into partitions whose number follows the rows (one per core at least) and
+    persisted (memory and disk) for an iterative fit: a single-file source can leave them in one
     partition, and every optimiser pass would then run on one core. One shuffle of the training
     rows buys all cores for every pass; lost blocks are recomputed from lineage."""
     from pyspark import StorageLevel
 
-    n = train.sparkSession.sparkContext.defaultParallelism
-    return train.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    from worthrank.session import tasks_for
+
+    return train.repartition(tasks_for(train)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_persisted(estimator, train: DataFrame):

@@ -6,12 +6,13 @@ scalar subqueries (``DataFrame.scalar()``), never with a cross join or a driver
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worthrank.functions.scalar import LCG_M, binarize, class_weight, lcg_key
+from worthrank.functions.scalar import binarize, class_weight
 from worthrank.operators.ranking import rank_within
 
 
@@ -48,16 +49,39 @@ def with_class_weight(df: DataFrame, label_col: str = "label", out: str = "weigh
     return df.withColumn(out, class_weight(label_col, w0, w1))
 
 
-def exact_split(df: DataFrame, id_col: str, val_fraction: float = 0.2, key: Column | None = None,
-                strategy: str = "auto") -> DataFrame:
+#: Keys of the sampling operators lie in [0, KEY_RANGE).
+KEY_RANGE = 1 << 31
+KeyFn = Callable[[Column | str], Column]
+
+
+def seeded_key(seed: int) -> KeyFn:
+    """A pseudo-random number in [0, KEY_RANGE) from a seed and a value."""
+    return lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c) if isinstance(c, str) else c), F.lit(KEY_RANGE))
+
+
+def exact_split(df: DataFrame, id_col: str, val_fraction: float = 0.2, key: KeyFn | None = None, seed: int = 42,
+                buckets: int = 1 << 16) -> DataFrame:
     """An exact-size unstratified split. Rows are ordered by a keyed pseudo-random number
-    (ties by id); the first ``ceil(val_fraction * N)`` are ``val``, the rest ``train``."""
-    key = lcg_key(id_col) if key is None else key
-    keyed = df.withColumn("_key", key)
-    n_val = F.ceil(F.lit(val_fraction) * df.select(F.count(F.lit(1))).scalar())
-    ranked = rank_within(keyed, [], ["_key", id_col], strategy=strategy)
-    return (ranked.withColumn("split", F.when(F.col("row_number") <= n_val, F.lit("val")).otherwise(F.lit("train")))
-            .drop("_key", "row_number"))
+    (ties by id); the first ``ceil(val_fraction * N)`` are ``val``, the rest ``train``.
+
+    Only keys and ids are sorted, and of them only the bucket of keys in which the boundary lies (a histogram
+    of at most ``buckets`` rows finds it). The boundary is one row; the split compares each row with it, so
+    no text is shuffled. Ids must be unique and not null for an exact size. ``key`` replaces the seeded key."""
+    keyed = (key or seeded_key(seed))(id_col).cast("bigint")
+    narrow = df.select(keyed.alias("_key"), F.col(id_col).alias("_id"))
+    bucket = F.floor(F.col("_key") * buckets / KEY_RANGE).cast("int")
+    counts = sorted((r["b"], r["n"]) for r in narrow.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect() if r["b"] is not None)
+    left = math.ceil(round(val_fraction * sum(n for _, n in counts), 9))
+    if left <= 0:
+        return df.withColumn("split", F.lit("train"))
+    for at, n in counts:
+        if n >= left:
+            break
+        left -= n
+    inside = narrow.where(bucket == at).withColumn("_n", F.row_number().over(Window.orderBy("_key", "_id"))).where(F.col("_n") == left)
+    last = inside.select("_key", "_id").first()
+    in_val = (keyed < last["_key"]) | ((keyed == last["_key"]) & (F.col(id_col) <= F.lit(last["_id"])))
+    return df.withColumn("split", F.when(in_val, F.lit("val")).otherwise(F.lit("train")))
 
 
 def hash_split(df: DataFrame, id_col: str, val_fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -80,15 +104,17 @@ def predefined_split(df: DataFrame, path_col: str, rules: Sequence[tuple[str, st
     return df.withColumn("split", expr)
 
 
-def number_within_class(df: DataFrame, label_col: str, id_col: str, strategy: str = "auto") -> DataFrame:
+def number_within_class(df: DataFrame, label_col: str, id_col: str, strategy: str = "two_level",
+                        key: KeyFn | None = None, seed: int = 42) -> DataFrame:
     """0-based index of each row inside its class, in keyed pseudo-random order (ties by id).
-    Two classes mean two huge groups, which the range strategy spreads over many tasks."""
-    keyed = df.withColumn("_key", lcg_key(id_col))
+    Two classes mean two huge groups, which the two-level ranking spreads over many tasks."""
+    keyed = df.withColumn("_key", (key or seeded_key(seed))(id_col))
     ranked = rank_within(keyed, [label_col], ["_key", id_col], strategy=strategy)
     return ranked.withColumn("class_index", F.col("row_number") - 1).drop("_key", "row_number")
 
 
-def weighted_resample(df: DataFrame, label_col: str, id_col: str, strategy: str = "auto") -> DataFrame:
+def weighted_resample(df: DataFrame, label_col: str, id_col: str, strategy: str = "two_level",
+                      key: KeyFn | None = None, seed: int = 42) -> DataFrame:
     """N draws with replacement, P(row) proportional to its class weight N / n_class, so each
     class is drawn with probability 1/2 and uniformly within the class.
 
@@ -98,23 +124,24 @@ def weighted_resample(df: DataFrame, label_col: str, id_col: str, strategy: str
     skew-join handling splits it. Draws of an empty class find no row (weights undefined).
     """
     bins = binarize(label_col)
-    rows = number_within_class(df.withColumn("_cls", bins), "_cls", id_col, strategy=strategy)
+    rows = number_within_class(df.withColumn("_cls", bins), "_cls", id_col, strategy=strategy, key=key, seed=seed)
+    draw = key or seeded_key(seed + 1)  # another stream of numbers than the one that numbers the rows
     sizes = df.groupBy(bins.alias("_cls")).agg(F.count(F.lit(1)).alias("_n_cls"))
-    draws = df.select(F.col(id_col).alias("draw_id"), lcg_key(id_col).alias("_u1"))
-    draws = draws.withColumn("_cls", F.when(F.col("_u1") >= F.lit(LCG_M // 2), 1).otherwise(0))
+    draws = df.select(F.col(id_col).alias("draw_id"), draw(id_col).alias("_u1"))
+    draws = draws.withColumn("_cls", F.when(F.col("_u1") >= F.lit(KEY_RANGE // 2), 1).otherwise(0))
     # two rows at most (one per class): a proven bound for the broadcast
     draws = draws.join(F.broadcast(sizes), "_cls")
-    draws = draws.withColumn("class_index", lcg_key(F.col("_u1")) % F.col("_n_cls"))
+    draws = draws.withColumn("class_index", draw(F.col("_u1")) % F.col("_n_cls"))
     return (draws.join(rows, ["_cls", "class_index"])
             .select("draw_id", *[c for c in df.columns]))
 
 
 def ratio_sample(df: DataFrame, label_col: str, id_col: str, ratio: float,
-                 strategy: str = "auto") -> DataFrame:
+                 strategy: str = "two_level", key: KeyFn | None = None, seed: int = 42) -> DataFrame:
     """T4: keep every positive and the first ``floor(ratio * n1)`` negatives in keyed order."""
     bins = binarize(label_col)
     n_keep = F.floor(F.lit(ratio) * df.select(F.sum(bins)).scalar())
-    numbered = number_within_class(df.withColumn("_cls", bins), "_cls", id_col, strategy=strategy)
+    numbered = number_within_class(df.withColumn("_cls", bins), "_cls", id_col, strategy=strategy, key=key, seed=seed)
     keep = (F.col("_cls") == 1) | (F.col("class_index") < n_keep)
     return numbered.filter(keep).drop("_cls", "class_index")
 

@@ -1,40 +1,30 @@
 """Ranking within groups: row_number / rank / dense_rank and running sums.
 
-Two physical strategies compute the same result:
-
-* ``window`` - ``Window.partitionBy(groups).orderBy(keys)``. One task sorts a whole group, so it is
-  only safe while the largest group is known to be small.
-* ``range``  - skew-safe two-pass scan. The rows are range-partitioned and sorted on
-  ``(groups, keys)`` (a global ``orderBy``), so a hot group is spread over many tasks. The sorted
-  frame is checkpointed to the shared checkpoint directory (stable partitions for both passes and
-  lineage cut for executor loss). Pass 1 summarises every partition in one row (its first and last
-  key and the scan state at its end); the driver composes those P rows into per-partition carry-in
-  states (P = number of partitions, never data rows) exactly as ``zipWithIndex`` does with
-  partition counts. Pass 2 re-scans each partition with its carry-in state. Both passes are
-  vectorised numpy over Arrow batches inside ``mapInPandas`` and hold one batch at a time.
-* ``auto``   - measure the largest group with a partial aggregation; ``window`` if it holds at most
-  ``window_max_rows`` rows (argument, else session setting ``worthrank.rank.windowMaxRows``, else
-  2M), else ``range``.
+One plan, in built-in window and aggregate expressions, whatever the size of the groups. The rows are
+range-partitioned on ``(groups, order)``, so a hot group spans many partitions and ties stay together. The
+partition number becomes a column of the checkpointed frame. Ranks and running sums are computed per
+``(groups, partition)``; the counts and sums of the partitions of those groups that span several, two rows a
+partition at most, are prefix-summed and joined back. As the partition number is data, not a property of the
+task that reads a row, the result survives ``coalesce``, ``union`` and retries.
+
+``strategy="window"`` is the plain ``Window.partitionBy(groups)``, for callers whose groups are small by their
+nature; types, NULLs and values are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass, field
-from typing import Any
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from worthrank.session import checkpoint_dir, ship_package
+from worthrank.session import checkpoint_dir
 
 RANK_KINDS = ("row_number", "rank", "dense_rank")
-DEFAULT_WINDOW_MAX_ROWS = 2_000_000
+#: Session setting: how many range partitions to rank in. Unset, ``spark.sql.shuffle.partitions`` is the most and
+#: adaptive execution merges partitions below its advisory size, so that their number follows the data.
+PARTITIONS_CONF = "worthrank.rank.partitions"
+PART = "_rank_part"
 
 OrderSpec = Sequence[str | tuple[str, str]]
 
@@ -70,303 +60,76 @@ def rank_within(
     ranks: Sequence[str] = ("row_number",),
     sums: Sequence[str] = (),
     totals: Sequence[str] = (),
-    strategy: str = "auto",
-    window_max_rows: int | None = None,
+    strategy: str = "two_level",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add rank columns and inclusive running sums (``cum_<col>``) within ``groups`` ordered by ``order``.
 
     ``order`` lists column names (ascending) or ``(name, 'asc'|'desc')`` pairs. Give a total order
     when ``row_number`` must be deterministic. Rank columns are BIGINT. ``totals`` adds whole-group
-    sums (``tot_<col>``): free with the window strategy (same partitioning); with the range
-    strategy a per-group partial aggregate joined back on the group key (AQE broadcasts it by
-    measured size), or a scalar subquery when there are no groups.
+    sums (``tot_<col>``). ``partitions`` fixes the number of range partitions of the two-level plan.
     """
     groups = list(groups)
     order_n = _norm_order(order)
-    ranks = list(ranks)
-    sums = list(sums)
     for r in ranks:
         if r not in RANK_KINDS:
             raise ValueError(f"unknown rank kind {r!r}")
-    if strategy == "auto":
-        strategy = choose_strategy(df, groups, window_max_rows)
     if strategy == "window":
-        out = _rank_window(df, groups, order_n, ranks, sums)
-        if totals:
-            w = Window.partitionBy(*groups) if groups else Window.partitionBy()
-            for t in totals:
-                out = out.withColumn(f"tot_{t}", F.sum(t).over(w))
-        return out
-    if strategy == "range":
-        out = _rank_range(df, groups, order_n, ranks, sums)
-        if totals:
-            if groups:
-                tot = out.groupBy(*groups).agg(*[F.sum(t).alias(f"tot_{t}") for t in totals])
-                out = out.join(tot, groups)
-            else:  # one global total: a scalar subquery, not a key-less join
-                for t in totals:
-                    out = out.withColumn(f"tot_{t}", out.select(F.sum(t)).scalar())
-        return out
-    raise ValueError(f"unknown strategy {strategy!r}")
-
-
-def largest_group_rows(df: DataFrame, groups: Sequence[str]) -> int:
-    """Rows in the largest group (partial aggregation; the driver receives one number)."""
-    if not groups:
-        return df.count()
-    row = df.groupBy(*groups).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-_FORCED: list[str] = []
-
-
-@contextmanager
-def forced_strategy(strategy: str):
-    """Make every ``auto`` decision inside the block use ``strategy`` (tests, benchmarks)."""
-    if strategy not in ("window", "range"):
-        raise ValueError(strategy)
-    _FORCED.append(strategy)
-    try:
-        yield
-    finally:
-        _FORCED.pop()
-
-
-WINDOW_MAX_ROWS_CONF = "worthrank.rank.windowMaxRows"
-
-
-def window_limit(df: DataFrame, window_max_rows: int | None = None) -> int:
-    """The largest group the window strategy may sort in one task: the argument, else the session
-    setting ``worthrank.rank.windowMaxRows``, else 2,000,000 rows."""
-    if window_max_rows is not None:
-        return int(window_max_rows)
-    return int(df.sparkSession.conf.get(WINDOW_MAX_ROWS_CONF, str(DEFAULT_WINDOW_MAX_ROWS)))
-
-
-def choose_strategy(df: DataFrame, groups: Sequence[str], window_max_rows: int | None = None) -> str:
-    if _FORCED:
-        return _FORCED[-1]
-    return "window" if largest_group_rows(df, groups) <= window_limit(df, window_max_rows) else "range"
+        return _ranked(df, groups, order_n, list(ranks), sums, totals)
+    if strategy != "two_level":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return _rank_two_level(df, groups, order_n, list(ranks), list(sums), list(totals), partitions)
 
 
-# ----------------------------------------------------------------------------- window strategy
-
-def _rank_window(df, groups, order_n, ranks, sums) -> DataFrame:
-    w = Window.orderBy(*_sort_cols([], order_n))
-    if groups:
-        w = Window.partitionBy(*groups).orderBy(*_sort_cols([], order_n))
-    out = df
-    fns = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
-    for r in ranks:
-        out = out.withColumn(r, fns[r]().over(w).cast("bigint"))
+def _ranked(df: DataFrame, groups: Sequence[str], order_n, ranks, sums, totals) -> DataFrame:
+    """Ranks, running sums and sums by plain windows over ``groups``."""
+    whole = Window.partitionBy(*groups)
+    w = whole.orderBy(*_sort_cols([], order_n))
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for s in sums:
-        out = out.withColumn(_cum_name(s), F.sum(s).over(frame))
-    return out
-
-
-# ----------------------------------------------------------------------------- range strategy
-
-@dataclass
-class _State:
-    """Scan state after some prefix of the sorted rows."""
-
-    group: tuple | None = None
-    order: tuple | None = None
-    rn: int = 0
-    rank: int = 0
-    dense: int = 0
-    cums: list = field(default_factory=list)
-
-
-def _isnull(a: np.ndarray) -> np.ndarray:
-    return np.asarray(pd.isna(a), dtype=bool)
-
-
-def _same_value(a: Any, b: Any) -> bool:
-    a_null, b_null = bool(pd.isna(a)), bool(pd.isna(b))
-    if a_null or b_null:
-        return a_null and b_null
-    return bool(a == b)
-
-
-def _same_tuple(a: tuple | None, b: tuple | None) -> bool:
-    if a is None or b is None:
-        return False
-    return all(_same_value(x, y) for x, y in zip(a, b))
-
-
-def _changes(arrays: list[np.ndarray], n: int) -> np.ndarray:
-    """flag[i] = row i differs from row i-1 on any array (nulls equal each other); flag[0] = False."""
-    flag = np.zeros(n, dtype=bool)
-    if n < 2:
-        return flag
-    for a in arrays:
-        nul = _isnull(a)
-        with np.errstate(invalid="ignore"):
-            eq = np.asarray(a[1:] == a[:-1], dtype=bool)
-        same = np.where(nul[1:] | nul[:-1], nul[1:] & nul[:-1], eq)
-        flag[1:] |= ~same
-    return flag
-
-
-def _row_tuple(pdf: pd.DataFrame, names: Sequence[str], i: int) -> tuple:
-    out = []
-    for c in names:
-        v = pdf[c].iloc[i]
-        if isinstance(v, np.generic):
-            v = v.item()
-        out.append(v)
-    return tuple(out)
-
-
-def _scan_batch(pdf: pd.DataFrame, groups, order_names, sums, state: _State | None):
-    """Vectorised scan of one sorted batch given the state before it.
-
-    Returns (rn, rank, dense, cums, new_state, group_change).
-    """
-    n = len(pdf)
-    g_arr = [pdf[c].to_numpy() for c in groups]
-    o_arr = [pdf[c].to_numpy() for c in order_names]
-    idx = np.arange(n)
-    new_g = _changes(g_arr, n)
-    new_t = new_g | _changes(o_arr, n)
-    if state is None or state.group is None:
-        new_g[0] = True
-        new_t[0] = True
-    else:
-        cont_g = _same_tuple(_row_tuple(pdf, groups, 0), state.group)
-        new_g[0] = not cont_g
-        new_t[0] = (not cont_g) or not _same_tuple(_row_tuple(pdf, order_names, 0), state.order)
-    gstart = np.maximum.accumulate(np.where(new_g, idx, -1))
-    cont = gstart < 0
-    gs = np.where(cont, 0, gstart)
-    carry_rn = state.rn if state is not None else 0
-    rn = np.where(cont, carry_rn + idx + 1, idx - gs + 1).astype(np.int64)
-    tstart = np.maximum.accumulate(np.where(new_t, idx, -1))
-    carry_rank = state.rank if state is not None else 0
-    rank = np.where(tstart < 0, carry_rank, rn[np.where(tstart < 0, 0, tstart)]).astype(np.int64)
-    dcount = np.cumsum(new_t).astype(np.int64)
-    carry_dense = state.dense if state is not None else 0
-    dense = np.where(cont, carry_dense + dcount, dcount - dcount[gs] + 1).astype(np.int64)
-    cums = []
-    for j, s in enumerate(sums):
-        v = pdf[s].to_numpy()
-        v = np.where(_isnull(v), 0, v).astype(np.float64 if v.dtype.kind in "fO" else np.int64)
-        cs = np.cumsum(v)
-        before_start = cs[gs] - v[gs]
-        carry_c = state.cums[j] if (state is not None and state.cums) else 0
-        cums.append(np.where(cont, carry_c + cs, cs - before_start))
-    new_state = _State(
-        group=_row_tuple(pdf, groups, n - 1),
-        order=_row_tuple(pdf, order_names, n - 1),
-        rn=int(rn[-1]),
-        rank=int(rank[-1]),
-        dense=int(dense[-1]),
-        cums=[c[-1].item() for c in cums],
-    )
-    # a group boundary inside this batch, or between the previous batch and this one
-    group_change = bool(new_g[1:].any()) or (state is not None and state.group is not None and bool(new_g[0]))
-    return rn, rank, dense, cums, new_state, group_change
-
-
-def _summary_schema(df: DataFrame, groups, order_names, sums) -> T.StructType:
-    fields = [T.StructField("pid", T.LongType()), T.StructField("n", T.LongType())]
-    by_name = {f.name: f for f in df.schema.fields}
-    for prefix, names in (("fg_", groups), ("fo_", order_names), ("lg_", groups), ("lo_", order_names)):
-        for c in names:
-            fields.append(T.StructField(prefix + c, by_name[c].dataType))
-    fields += [T.StructField("single_group", T.BooleanType()), T.StructField("rn", T.LongType()),
-               T.StructField("rank", T.LongType()), T.StructField("dense", T.LongType())]
-    for s in sums:
-        fields.append(T.StructField("c_" + s, _cum_type(by_name[s].dataType)))
-    return T.StructType(fields)
-
-
-def _cum_type(dt: T.DataType) -> T.DataType:
-    return T.DoubleType() if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else T.LongType()
-
-
-def _compose(carry: _State | None, summ: dict, groups, order_names, sums) -> _State:
-    """State after a partition, given the state before it and the partition's local summary."""
-    fg = tuple(summ["fg_" + c] for c in groups)
-    fo = tuple(summ["fo_" + c] for c in order_names)
-    local = _State(group=tuple(summ["lg_" + c] for c in groups),
-                   order=tuple(summ["lo_" + c] for c in order_names),
-                   rn=summ["rn"], rank=summ["rank"], dense=summ["dense"],
-                   cums=[summ["c_" + s] for s in sums])
-    if carry is None or carry.group is None or not _same_tuple(fg, carry.group) or not summ["single_group"]:
-        return local
-    tie_cont = _same_tuple(fo, carry.order)
-    rank = carry.rank if (local.rank == 1 and tie_cont) else carry.rn + local.rank
-    dense = carry.dense + local.dense - (1 if tie_cont else 0)
-    return _State(group=local.group, order=local.order, rn=carry.rn + local.rn, rank=rank,
-                  dense=dense, cums=[a + b for a, b in zip(carry.cums, local.cums)])
+    fns = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
+    return df.select("*", *[fns[r]().over(w).cast("bigint").alias(r) for r in ranks],
+                     *[F.sum(s).over(frame).alias(_cum_name(s)) for s in sums],
+                     *[F.sum(t).over(whole).alias(f"tot_{t}") for t in totals])
 
 
-def _rank_range(df, groups, order_n, ranks, sums) -> DataFrame:
+def _rank_two_level(df, groups, order_n, ranks, sums, totals, partitions) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
-    ship_package(spark)
-    order_names = [n for n, _ in order_n]
-    ordered = df.orderBy(*_sort_cols(groups, order_n)).checkpoint(eager=True)
-
-    summary_schema = _summary_schema(ordered, groups, order_names, sums)
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        first = None
-        single = True
-        n = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            if first is None:
-                first = {c: pdf[c].iloc[0] for c in list(groups) + list(order_names)}
-            _, _, _, _, state, group_change = _scan_batch(pdf, groups, order_names, sums, state)
-            single = single and not group_change
-            n += len(pdf)
-        if state is None:
-            return
-        row = {"pid": TaskContext.get().partitionId(), "n": n}
-        for c in groups:
-            row["fg_" + c] = first[c]
-            row["lg_" + c] = state.group[groups.index(c)]
-        for c in order_names:
-            row["fo_" + c] = first[c]
-            row["lo_" + c] = state.order[order_names.index(c)]
-        row.update(single_group=single, rn=state.rn, rank=state.rank, dense=state.dense)
-        for j, s in enumerate(sums):
-            row["c_" + s] = state.cums[j]
-        yield pd.DataFrame([row])
-
-    # One row per partition reaches the driver: bounded by the partition count, not the data.
-    summaries = sorted((r.asDict() for r in ordered.mapInPandas(summarise, summary_schema).collect()),
-                       key=lambda r: r["pid"])
-    carry_in: dict[int, _State] = {}
-    carry = None
-    for summ in summaries:
-        carry_in[summ["pid"]] = carry
-        carry = _compose(carry, summ, groups, order_names, sums)
-
-    by_name = {f.name: f for f in ordered.schema.fields}
-    out_fields = list(ordered.schema.fields) + [T.StructField(r, T.LongType()) for r in ranks]
-    out_fields += [T.StructField(_cum_name(s), _cum_type(by_name[s].dataType)) for s in sums]
-    out_schema = T.StructType(out_fields)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = carry_in.get(TaskContext.get().partitionId())
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            rn, rank, dense, cums, state, _ = _scan_batch(pdf, groups, order_names, sums, state)
-            out = pdf.copy()
-            vals = {"row_number": rn, "rank": rank, "dense_rank": dense}
-            for r in ranks:
-                out[r] = vals[r]
-            for s, c in zip(sums, cums):
-                out[_cum_name(s)] = c
-            yield out
-
-    return ordered.mapInPandas(scan, out_schema)
+    n = partitions or int(spark.conf.get(PARTITIONS_CONF, "0"))
+    keys = _sort_cols(groups, order_n)
+    spread = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    held = spread.withColumn(PART, F.spark_partition_id()).checkpoint(eager=True)
+    local = _ranked(held, [*groups, PART], order_n, ranks, sums, totals)
+    if held.rdd.getNumPartitions() <= 1:  # every group is whole: nothing to add
+        return local.drop(PART)
+
+    # one row per group and partition; only groups in several partitions, at most two rows a partition, go on
+    whole, before = Window.partitionBy(*groups), Window.partitionBy(*groups).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    source = local if "dense_rank" in ranks else held
+    aggregates = [F.count(F.lit(1)).alias("_n")]
+    if "dense_rank" in ranks:
+        aggregates.append(F.max("dense_rank").alias("_d"))
+    aggregates += [F.sum(c).alias(f"_s{i}") for i, c in enumerate([*sums, *totals])]
+    per = source.groupBy(*groups, PART).agg(*aggregates)
+    offsets = per.withColumn("_spans", F.count(F.lit(1)).over(whole)).where("_spans > 1")
+    named = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    offsets = offsets.select(
+        *named, F.col(PART).alias("_p"), F.sum("_n").over(before).alias("_bn"),
+        *([F.sum("_d").over(before).alias("_bd")] if "dense_rank" in ranks else []),
+        *[F.sum(f"_s{i}").over(before).alias(f"_b{i}") for i in range(len(sums))],
+        *[F.sum(f"_s{len(sums) + i}").over(whole).alias(f"_t{i}") for i in range(len(totals))],
+        F.lit(True).alias("_found"))
+    on = F.col(PART) == F.col("_p")
+    for i, g in enumerate(groups):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = local.join(offsets, on, "left")
+    types = {f.name: f.dataType for f in local.schema.fields}
+
+    def added(own: str, offset: str) -> Column:
+        """Their sum as a window's: NULL only if both are."""
+        return F.coalesce(F.col(own) + F.col(offset), F.col(own), F.col(offset)).cast(types[own]).alias(own)
+
+    return joined.select(
+        *df.columns, *[added(r, "_bd" if r == "dense_rank" else "_bn") for r in ranks],
+        *[added(_cum_name(s), f"_b{i}") for i, s in enumerate(sums)],
+        *[F.when(F.col("_found"), F.col(f"_t{i}")).otherwise(F.col(f"tot_{t}")).cast(types[f"tot_{t}"]).alias(f"tot_{t}") for i, t in enumerate(totals)])

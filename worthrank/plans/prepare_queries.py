@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from worthrank.functions.scalar import binarize
+from worthrank.functions.scalar import binarize, lcg_key
 from worthrank.operators.prepare import (class_weights, exact_split, predefined_split, project_corpus,
                                          ratio_sample, union_corpora, weighted_resample, with_class_weight)
 from worthrank.plans.ranking_queries import G1_SQL
@@ -77,7 +77,7 @@ SELECT doc_id, quality, CASE WHEN k <= CEIL(0.2 * (SELECT COUNT(*) FROM labels))
 FROM r""", "T1: exact-size 80/20 split in keyed pseudo-random order (ceil(0.2 N) validation rows)")
 def q_train_val_split(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return exact_split(lab, "doc_id", 0.2)
+    return exact_split(lab, "doc_id", 0.2, key=lcg_key)
 
 
 SPLIT_RULES = [("test", r"^src1[5-9]$"), ("dev", r"^src1[0-4]$")]
@@ -108,7 +108,7 @@ SELECT d3.draw_id, r.doc_id, r.quality, r.toxic
 FROM d3 JOIN rows r ON d3.cls = r.cls AND d3.class_index = r.class_index""",
           "T3: N weighted draws with replacement, classes drawn 50/50, exact N")
 def q_weighted_resample(spark, sf_dir):
-    return weighted_resample(table(spark, sf_dir, "labels"), "quality", "doc_id")
+    return weighted_resample(table(spark, sf_dir, "labels"), "quality", "doc_id", key=lcg_key)
 
 
 @register("ratio_sample", f"""
@@ -118,7 +118,7 @@ SELECT doc_id, quality, toxic FROM r
 WHERE cls = 1 OR ci < FLOOR(2.0 * (SELECT SUM(cls) FROM l))""",
           "T4: all positives plus floor(2 x positives) negatives in keyed order")
 def q_ratio_sample(spark, sf_dir):
-    return ratio_sample(table(spark, sf_dir, "labels"), "toxic", "doc_id", 2.0)
+    return ratio_sample(table(spark, sf_dir, "labels"), "toxic", "doc_id", 2.0, key=lcg_key)
 
 
 @register("combined_corpora", """

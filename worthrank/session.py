@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/worthrank-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def tasks_for(df: DataFrame, rows_per_task: int = 100_000) -> int:
+    """Tasks for a step that must be dealt out by hand: as many as the rows need, and one per core at least.
+    Counts the rows, so a frame that is dear to compute is materialised first."""
+    return max(int(df.sparkSession.sparkContext.defaultParallelism), -(-df.count() // rows_per_task))
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from worthrank.session import tasks_for
 from worthrank.functions.scalar import DEFAULT_RUN_ID, SCORE_DECIMALS, fixed, hms, round_half_even
 
 RUN_LOG_SCHEMA = T.StructType([
@@ -27,10 +28,10 @@ RUN_LOG_SCHEMA = T.StructType([
 
 
 def _write_partitions(df: DataFrame) -> int:
-    """Tasks for a per-document write: one per core of the cluster (default parallelism), given
-    explicitly so AQE does not merge the range partitions by byte size - writing many small
-    per-document files is bound by files per task, not by bytes."""
-    return int(df.sparkSession.sparkContext.defaultParallelism)
+    """Tasks for a per-document write, by the number of lines and one per core at least, given explicitly so
+    AQE does not merge the range partitions by byte size - writing many small per-document files is
+    bound by files per task, not by bytes."""
+    return tasks_for(df)
 
 
 def score_text(col: str = "score") -> "F.Column":

@@ -145,7 +145,7 @@ def read_predictions_2020(spark: SparkSession, paths: str | Sequence[str]) -> Da
     return _tsv(spark, PRED_2020_SCHEMA, "raw").csv(split_paths(paths))
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str = "auto",
+def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str = "two_level",
                doc_from: str = "file") -> DataFrame:
     """Raw lines with their 1-based position in the document: ``doc_id, path, pos, line``.
 

@@ -25,30 +25,22 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per
     return r.parquet(sf_dir)
 
 
-def run_to_files(stream: DataFrame, name: str, output_mode: str = "append",
-                 state_partitions: int | None = None) -> str:
+def run_to_files(stream: DataFrame, name: str, output_mode: str = "append") -> str:
     """Run a streaming frame until all available input is processed; returns the sink path.
     Append mode uses the file sink; complete mode rewrites the result per micro-batch.
 
     A stateful query keeps one state store per shuffle partition for its whole life (the number
-    is fixed in its checkpoint at the first start); it defaults to the cluster's cores here. The
-    query snapshots the session conf when it starts, so the setting is applied for ``start()``
-    only and the session's own value is restored."""
+    is fixed in its checkpoint at the first start): the session's ``spark.sql.shuffle.partitions``. A caller that
+    wants another number starts the stream from a session of its own (``spark.newSession()``)."""
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    n_state = state_partitions or spark.sparkContext.defaultParallelism
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n_state))
-    try:
-        if output_mode == "append":
-            q = w.format("parquet").option("path", out).outputMode("append").start()
-        else:
-            def write_batch(batch: DataFrame, _epoch: int) -> None:
-                batch.write.mode("overwrite").parquet(out)
-            q = w.foreachBatch(write_batch).outputMode(output_mode).start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    if output_mode == "append":
+        q = w.format("parquet").option("path", out).outputMode("append").start()
+    else:
+        def write_batch(batch: DataFrame, _epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(out)
+        q = w.foreachBatch(write_batch).outputMode(output_mode).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
