@@ -94,6 +94,22 @@ def check_coverage(gold: DataFrame, pred: DataFrame, keys: Sequence[str], strict
     return v
 
 
+def gold_violations(gold: DataFrame, fields: int, id_col: str) -> DataFrame:
+    """Gold lines (as ``parse_gold_2019`` / ``parse_gold_2020`` give them) that aren't ``fields`` fields with an
+    integer id and label: ``doc_id, pos, rule``, the first rule that a line breaks."""
+    rule = (F.when(F.col("n_fields") != fields, "fields").when(F.col(id_col).isNull(), id_col)
+            .when(F.col("label").isNull(), "label"))
+    return gold.select("doc_id", "pos", rule.alias("rule")).where("rule is not null")
+
+
+def check_gold(gold: DataFrame, fields: int, id_col: str) -> DataFrame:
+    """``gold`` itself; raises, as the reference's scorers do, when a line has a wrong shape."""
+    bad = gold_violations(gold, fields, id_col).first()
+    if bad is not None:
+        raise ValueError(f"bad gold line: {bad.asDict()}")
+    return gold
+
+
 def manifest_check(manifest: DataFrame, validity: DataFrame) -> DataFrame:
     """V3 (+J4, A16, U4): equal numbers of gold and prediction files, no prediction file twice,
     and every prediction file well formed. ``manifest`` has ``pos, gold_path, pred_path``;

@@ -57,7 +57,7 @@ def q_transcript_roundtrip(spark, sf_dir):
 
 @register("tweet_roundtrip", f"""
 SELECT d.source AS topic_id, CAST({TWEET_ID_BASE} + d.doc_id AS VARCHAR) AS tweet_id,
-       length(d.text) AS n_chars, l.toxic AS check_worthiness
+       length(d.text) AS n_chars, md5(d.text) AS text_md5, l.toxic AS check_worthiness
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
           "S3: headered tweet TSV with 19-digit DECIMAL(23,0) ids and multi-line texts, round trip")
 def q_tweet_roundtrip(spark, sf_dir):
@@ -71,7 +71,8 @@ def q_tweet_roundtrip(spark, sf_dir):
     write_tweets(tweets, path)
     back = read_tweets(spark, path)
     return back.select("topic_id", F.col("tweet_id").cast("string").alias("tweet_id"),
-                       F.length("tweet_text").cast("bigint").alias("n_chars"), "check_worthiness")
+                       F.length("tweet_text").cast("bigint").alias("n_chars"),
+                       F.md5(F.col("tweet_text").cast("binary")).alias("text_md5"), "check_worthiness")
 
 
 @register("ranking_2020_roundtrip", "WITH " + NUMBERED_G1_SQL + f"""
@@ -88,8 +89,11 @@ def q_ranking_2020_roundtrip(spark, sf_dir):
     return back.select("topic_id", F.col("tweet_id").cast("string").alias("tweet_id"), "score", "run_id")
 
 
+#: A topic is cut into documents of so many lines; the format has room for line numbers up to 9,999.
+DOC_LINES = 9000
+
 FILE_EVAL_SQL = "WITH " + NUMBERED_G1_SQL + """,
-g5 AS (SELECT n.topic_id, n.ln AS pos, n.label, CAST(printf('%.5f', round_even(n.score, 5)) AS DOUBLE) AS score FROM n),
+g5 AS (SELECT n.topic_id || '_' || CAST((n.ln - 1) // """ + str(DOC_LINES) + """ AS VARCHAR) AS topic_id, n.ln AS pos, n.label, CAST(printf('%.5f', round_even(n.score, 5)) AS DOUBLE) AS score FROM n),
 r AS (SELECT g5.*,
              row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, pos ASC) AS rnk,
              SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY score DESC, pos ASC
@@ -103,9 +107,11 @@ m AS (""" + per_topic_sql() + ")\nSELECT " + PER_TOPIC_SELECT + " FROM m"
           "S7 S9 J1 V1 A9: gold transcripts and ranking files written per document, read back "
           "raw, format-checked, joined by (document, line number) and scored")
 def q_file_based_evaluation(spark, sf_dir):
-    from worthrank.operators.validate import check_coverage, line_violations_2019
+    from worthrank.operators.validate import check_coverage, check_gold, line_violations_2019
 
-    n = numbered_g1(spark, sf_dir)
+    before = F.col("ln") - 1
+    n = (numbered_g1(spark, sf_dir).withColumn("topic_id", F.concat_ws("_", "topic_id", F.floor(before / DOC_LINES).cast("string")))
+         .withColumn("ln", before % DOC_LINES + 1))
     gold_path, pred_path = scratch_path(spark, "gold2019"), scratch_path(spark, "pred2019")
     write_transcripts(n.select(F.col("topic_id").alias("doc_id"), F.col("ln").alias("line_number"),
                                F.col("lang").alias("speaker"),
@@ -113,7 +119,7 @@ def q_file_based_evaluation(spark, sf_dir):
                       gold_path)
     write_ranking(n.select(F.col("topic_id").alias("doc_id"), F.col("ln").alias("line_number"), "score"),
                   pred_path, "transcripts")
-    gold = parse_gold_2019(read_lines(spark, gold_path, doc_from="partition"))
+    gold = check_gold(parse_gold_2019(read_lines(spark, gold_path, doc_from="partition")).checkpoint(), 4, "line_number")
     pred_lines = read_lines(spark, pred_path, doc_from="partition")
     bad = line_violations_2019(pred_lines).first()
     if bad is not None:
@@ -137,7 +143,7 @@ SELECT d.doc_id AS sentence_id, d.source AS speaker,
             ELSE len(regexp_split_to_array(regexp_replace(d.text, '^\s+|\s+$', '', 'g'), '\s+')) END AS INTEGER) AS length,
        CASE WHEN l.quality = 1 THEN 1 WHEN l.toxic = 1 THEN -1 ELSE 0 END AS verdict,
        CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label,
-       CAST(length(d.text) AS BIGINT) AS text_len
+       CAST(length(d.text) AS BIGINT) AS text_len, md5(d.text) AS text_md5
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
           "S4 P2 F13 K-sink: debate sentences (comma CSV, quoted dialect, three-valued verdict) "
           "written and read back, verdict binarised")
@@ -154,7 +160,8 @@ def q_source_sink_roundtrip(spark, sf_dir):
     back = read_debate_sentences(spark, path)
     return back.select(F.col("Sentence_id").alias("sentence_id"), F.col("Speaker").alias("speaker"),
                        F.col("Length").alias("length"), F.col("Verdict").alias("verdict"),
-                       binarize("Verdict").alias("label"), F.length("Text").cast("bigint").alias("text_len"))
+                       binarize("Verdict").alias("label"), F.length("Text").cast("bigint").alias("text_len"),
+                       F.md5(F.col("Text").cast("binary")).alias("text_md5"))
 
 
 FILE_EVAL_2020_SQL = f"""
@@ -209,3 +216,33 @@ def q_file_based_evaluation_2020(spark, sf_dir):
     relevant = ranked_input.select("topic_id").distinct().withColumn("n_rel", gold_positives)
     per = ranking_metrics(ranked_input, ["topic_id"], tie_cols=("pos",), relevant=relevant)
     return round6(per)
+
+
+GOLD_LINE_SQL = """
+SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'x' ELSE CAST(doc_id + 1 AS VARCHAR) END AS a,
+       CASE WHEN doc_id % 7 = 2 THEN 3 WHEN doc_id % 7 = 5 THEN 5 ELSE 4 END AS n_fields,
+       CASE WHEN doc_id % 13 = 4 THEN 'yes' ELSE CAST(doc_id % 2 AS VARCHAR) END AS z
+FROM documents"""
+
+
+@register("gold_violations", f"""
+WITH g AS ({GOLD_LINE_SQL}),
+v AS (SELECT doc_id, n_fields, n_fields <> 4 AS wrong_fields, n_fields >= 4 AND z = 'yes' AND n_fields = 4 AS bad_label, a = 'x' AS bad_line FROM g)
+SELECT 'gold_' || CAST(doc_id % 5 AS VARCHAR) AS doc_id, rule, COUNT(*) AS n FROM (
+  SELECT doc_id, 'fields' AS rule FROM v WHERE wrong_fields
+  UNION ALL SELECT doc_id, 'line_number' FROM v WHERE NOT wrong_fields AND bad_line
+  UNION ALL SELECT doc_id, 'label' FROM v WHERE NOT wrong_fields AND NOT bad_line AND bad_label)
+GROUP BY ALL""", "S7: gold lines of a wrong shape, counted by document and rule")
+def q_gold_violations(spark, sf_dir):
+    from worthrank.operators.validate import gold_violations
+
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    first = F.when(F.col("doc_id") % 11 == 3, "x").otherwise((F.col("doc_id") + 1).cast("string"))
+    label = F.when(F.col("doc_id") % 13 == 4, "yes").otherwise((F.col("doc_id") % 2).cast("string"))
+    line = (F.when(F.col("doc_id") % 7 == 2, F.concat_ws("\t", first, F.lit("speaker"), label))
+            .when(F.col("doc_id") % 7 == 5, F.concat_ws("\t", first, F.lit("speaker"), F.lit("said"), label, F.lit("more")))
+            .otherwise(F.concat_ws("\t", first, F.lit("speaker"), F.lit("said"), label)))
+    path = scratch_path(spark, "gold-lines")
+    d.select(F.concat(F.lit("gold_"), F.col("doc_id") % 5).alias("doc_id"), line.alias("value")).write.partitionBy("doc_id").text(path)
+    gold = parse_gold_2019(read_lines(spark, path, doc_from="partition"))
+    return gold_violations(gold, 4, "line_number").groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -152,14 +152,14 @@ v AS (SELECT tok, row_number() OVER (ORDER BY cnt DESC, tok ASC) AS id
       FROM (SELECT tok, COUNT(*) AS cnt FROM x GROUP BY tok)),
 e AS (SELECT x.conv_id, x.turn, x.pos, v.id FROM x JOIN v ON x.tok = v.tok),
 s AS (SELECT conv_id, turn, COUNT(*) AS n_tokens, arg_min(id, pos) AS first_id,
-             SUM(CASE WHEN pos <= 512 THEN id ELSE 0 END) AS id_sum, LEAST(COUNT(*), 512) AS kept
+             SUM(CASE WHEN pos <= 512 THEN id ELSE 0 END) AS id_sum, SUM(CASE WHEN pos <= 512 THEN id * pos ELSE 0 END) AS id_pos_sum, LEAST(COUNT(*), 512) AS kept
       FROM e GROUP BY conv_id, turn),
 m AS (SELECT MAX(COALESCE(s.kept, 0)) AS pad_len FROM t LEFT JOIN s ON t.conv_id = s.conv_id AND t.turn = s.turn)
 SELECT t.conv_id, t.turn,
        CAST(CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 0
             ELSE len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) END AS INTEGER) AS n_words,
        CAST(COALESCE(s.n_tokens, 0) AS INTEGER) AS n_tokens, s.first_id,
-       CAST(COALESCE(s.id_sum, 0) AS BIGINT) AS id_sum,
+       CAST(COALESCE(s.id_sum, 0) AS BIGINT) AS id_sum, CAST(COALESCE(s.id_pos_sum, 0) AS BIGINT) AS id_pos_sum,
        CAST((SELECT pad_len FROM m) AS INTEGER) AS pad_len,
        CAST(COALESCE(s.kept, 0) AS INTEGER) AS mask_sum
 FROM t LEFT JOIN s ON t.conv_id = s.conv_id AND t.turn = s.turn""",
@@ -173,10 +173,11 @@ def q_encode_pad(spark, sf_dir):
     out = padded.select(
         "conv_id", "turn", F.size("ids").alias("n_tokens"), F.get("ids", 0).alias("first_id"),
         F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+        F.aggregate(F.transform("input_ids", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_pos_sum"),
         "pad_len", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
     words = c.select("conv_id", "turn", word_count_expr("text").alias("n_words"))
     return words.join(out, ["conv_id", "turn"]).select(
-        "conv_id", "turn", "n_words", "n_tokens", "first_id", "id_sum", "pad_len", "mask_sum")
+        "conv_id", "turn", "n_words", "n_tokens", "first_id", "id_sum", "id_pos_sum", "pad_len", "mask_sum")
 
 
 @register("documents_as_sequences", """
