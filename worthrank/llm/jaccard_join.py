@@ -294,25 +294,30 @@ def unpack_pairs(found: DataFrame, kind: int, names: tuple[str, str]) -> DataFra
     return map_arrow(found.where(F.col("kind") == kind).select("a", "b"), run, f"{names[0]} long, {names[1]} long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, root): for every id in ``links`` (a, b) the smallest id reachable. Alternates the large-star and the
-    small-star step, each an aggregation and a join, until the links are stars."""
-    stars = materialise(links.select("a", "b").where("a <> b").distinct(), "links")
-    last = None
-    while True:
+    small-star step, each an aggregation and a join, until the links are stars. After a number of ``rounds`` given, a
+    root is some id that is reachable, not always the smallest."""
+    stars, last, done = links.select("a", "b").where("a <> b"), None, 0
+    while rounds is None or done < rounds:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # now every link points to a smaller id; the small star links all that an id points to with the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         stars = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
                             .where("a <> b").distinct(), "links")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+        done += 1
+        if rounds is None:
+            now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == last:
+                break
+            last = now
+    # an id that several links point from, before they are stars, takes the smallest
+    roots = stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+    heads = stars.select(F.col("b").alias("id")).distinct()
+    return roots.unionByName(heads.join(roots.select("id"), "id", "left_anti").select("id", F.col("id").alias("root")))
 
 
 def _near(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -461,16 +466,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release_shuffles(spark)
     # first one pair for every document, then those that are still across components
     links = materialise(_linked(pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "links")
-    rest = _across(pending, materialise(components(links), "roots"))
+    rest = _across(pending, materialise(components(links, rounds=1), "roots"))
     links = links.unionByName(materialise(_linked(rest, sets), "links"))
-    roots = materialise(components(links), "roots")
+    # components not yet joined here only cost comparisons
+    roots = materialise(components(links, rounds=2), "roots")
     members = rare_members(unpack_pairs(found, MEMBERS, ("key", "doc_id")).distinct(), unpack_pairs(found, SHARED, ("doc_id", "shared")).dropDuplicates(["doc_id"]))
     more = materialise(_open_groups(members, classes, roots).distinct(), "pairs")
     if not more.isEmpty():
         wanted = more.select(F.col("a").alias("doc_id")).unionByName(more.select(F.col("b").alias("doc_id"))).distinct()
         sets = materialise(shingle_sets(docs, wanted, id_col, text_col).dropDuplicates(["doc_id"]), "sets")
         links = links.unionByName(materialise(_linked(more, sets), "links"))
-        roots = materialise(components(links), "roots")
+    # the roots found so far shorten the paths
+    links = roots.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(links)
+    roots = materialise(components(links), "roots")
     release_shuffles(spark)
     rooted = of.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "cid").alias("root"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
