@@ -35,17 +35,21 @@ def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def index_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool) -> list[tuple]:
-    """Packed rows of kind 0: each distinct key with the smallest and the largest document that has it."""
-    order = np.argsort(keys, kind="stable")
+def index_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool, both: bool) -> list[tuple]:
+    """Packed rows of kind 0: each distinct key with the smallest document that has it and, if ``both``, again with the
+    largest where that is another."""
+    order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     at = runs_of(keys)
     if not len(at):
         return []
-    least, most, keys = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at), keys[at]
+    if both:
+        end = np.append(at[1:], len(keys)) - 1
+        at = np.sort(np.concatenate([at, end[docs[end] != docs[at]]]))
+    keys, docs = keys[at], docs[at]
     buckets = _buckets(keys, bits)
     cuts = np.append(runs_of(buckets), len(keys))
-    return [(int(buckets[i]), 0, _pack(keys[i:j], short), least[i:j].tobytes(), most[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(int(buckets[i]), 0, _pack(keys[i:j], short), docs[i:j].tobytes(), None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def probe_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool) -> list[tuple]:
@@ -76,12 +80,27 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def match(packed: DataFrame, partitions: int, earlier_only: bool, short: bool, most_held: int = 1_000_000) -> DataFrame:
     """(doc_id, keys) of the probes that the index has from another document, or, if ``earlier_only``, from one
-    with a smaller id. A document may have several rows; no key is in two of them."""
+    with a smaller id. In that case the entries of the index are probes of their own. A document may have several
+    rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, index = None, [], None
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+
+        def build(parts: list) -> tuple:
+            """Distinct keys, their smallest and largest documents, and the entries that they come from."""
+            keys, docs = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            at = runs_of(keys)
+            return keys[at], np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at), (keys, docs)
+
+        def find(probe: np.ndarray, docs: np.ndarray) -> None:
+            at = np.minimum(np.searchsorted(index[0], probe), len(index[0]) - 1)
+            other = index[1][at] < docs if earlier_only else (index[1][at] != docs) | (index[2][at] != docs)
+            hit = np.flatnonzero((index[0][at] == probe) & other)
+            if len(hit):
+                held.append((docs[hit], probe[hit]))
 
         def flush() -> pa.RecordBatch:
             docs, keys = (np.concatenate([h[k] for h in held]) for k in (0, 1))
@@ -93,30 +112,26 @@ def match(packed: DataFrame, partitions: int, earlier_only: bool, short: bool, m
         for batch in batches:
             for own, kind, keys, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != bucket:
+                    if earlier_only and index is None and parts:
+                        index = build(parts)
+                        find(*index[3])
                     bucket, parts, index = own, [], None
                 if kind == 0:
-                    parts.append((_unpack(keys, short), np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")))
+                    parts.append((_unpack(keys, short), np.frombuffer(a, "<i8")))
                     continue
                 if index is None:
                     if not parts:
                         continue  # nothing to find in this range
-                    all_keys, least, most = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                    order = np.argsort(all_keys, kind="stable")
-                    all_keys = all_keys[order]
-                    at = runs_of(all_keys)
-                    index = all_keys[at], np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)
-                    parts = [()]
-                probe = _unpack(keys, short)
-                docs = np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4"))
-                at = np.minimum(np.searchsorted(index[0], probe), len(index[0]) - 1)
-                other = index[1][at] < docs if earlier_only else (index[1][at] != docs) | (index[2][at] != docs)
-                hit = np.flatnonzero((index[0][at] == probe) & other)
-                if len(hit):
-                    held.append((docs[hit], probe[hit]))
-                    size += len(hit)
-                    if size >= most_held:
-                        yield flush()
-                        held, size = [], 0
+                    index, parts = build(parts), []
+                    if earlier_only:
+                        find(*index[3])
+                find(_unpack(keys, short), np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4")))
+                if sum(len(h[0]) for h in held) >= most_held:
+                    yield flush()
+                    held.clear()
+        if earlier_only and index is None and parts:
+            index = build(parts)
+            find(*index[3])
         if held:
             yield flush()
 
@@ -160,7 +175,7 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             keys = words.runs(BLOCK)[starts]
             rows = words.row_of_word()[starts]
             aligned = (starts - words.first[rows]) % BLOCK == 0
-            yield _batch(index_rows(keys[aligned], ids[rows[aligned]], bits, True) + probe_rows(keys, ids[rows], bits, True), _PACKED)
+            yield _batch(index_rows(keys[aligned], ids[rows[aligned]], bits, True, True) + probe_rows(keys, ids[rows], bits, True), _PACKED)
 
     hits = materialise(match(map_arrow(texts, anchors, PACKED_SCHEMA), partitions, earlier_only=False, short=True), "anchor-hits")
     release_shuffles(spark)
@@ -175,7 +190,13 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             starts = words.run_starts(window)
             starts = starts[upto[starts + window - BLOCK + 1] > upto[starts]]  # those that cover a hit
             keys, of = words.runs(window)[starts], ids[words.row_of_word()[starts]]
-            yield _batch(index_rows(keys, of, bits, False) + probe_rows(keys, of, bits, False), _PACKED)
+            # of documents of the slice that share a window, the smallest stands in the index; the others probe it
+            order = np.lexsort((of, keys))
+            keys, of = keys[order], of[order]
+            first = runs_of(keys)
+            smallest = np.repeat(of[first], np.diff(np.append(first, len(keys))))
+            later = of != smallest
+            yield _batch(index_rows(keys, of, bits, False, False) + probe_rows(keys[later], of[later], bits, False), _PACKED)
 
     repeats = materialise(match(map_arrow(near, windows, PACKED_SCHEMA), partitions, earlier_only=True, short=False), "repeated-windows")
     release_shuffles(spark)
