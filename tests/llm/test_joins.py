@@ -108,6 +108,22 @@ def test_jaccard_join_finds_every_link(spark, small_group):
     assert found == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("bucket_keys", [1_500_000, 1000])
+def test_jaccard_join_links_across_slices_past_the_representatives(spark, bucket_keys):
+    """All words that the two linked documents share are the template's, frequent in one slice and rare in the other."""
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    template = own(84)
+    rows = [(i, f"{template} {own(40)}", "en", "s", 1) for i in range(120)]  # too unlike one another for a link
+    here, there = [(500, f"{template} {own(6)}", "en", "s", 1)], [(700, f"{template} {own(6)}", "en", "s", 1)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows + here, there], 2).flatMap(lambda part: part), DOC_SCHEMA)
+    sets = _sets(rows + here + there)
+    root = _components(sets)
+    assert root[700] == 500 and len(set(root.values())) == 121
+    found = {r["doc_id"]: r["component_id"] for r in link_documents(docs, bucket_keys=bucket_keys).collect()}
+    assert found == root
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert link_documents(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
     rows = [(None, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (8, None, "en", "s", 1), (9, "A B\tC d  e f", "en", "s", 1)]

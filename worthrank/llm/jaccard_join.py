@@ -217,6 +217,7 @@ def candidates(docs: DataFrame, bits: int, small_group: int, id_col: str = "doc_
             count = np.diff(np.append(at, len(keys)))
             big = np.repeat(count > small_group, count)  # of groups that are large within the slice only the smallest goes on
             a, b, m_keys, m_docs, _ = _groups(keys[big], of[big], np.zeros(int(big.sum()), bool), small_group)
+            m_keys = _met(m_keys, _buckets(m_keys, bits))
             first = np.zeros(len(keys), bool)
             first[at] = True
             rows = []
@@ -251,7 +252,7 @@ def candidates(docs: DataFrame, bits: int, small_group: int, id_col: str = "doc_
                     out.append((kind, a, b))
                 else:
                     of = np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4"))
-                    held.append(((unpacked6(keys) | np.uint64(own << 48)), of, np.full(len(of), kind == LARGE)))
+                    held.append((_met(unpacked6(keys), np.int64(own)), of, np.full(len(of), kind == LARGE)))
             yield _batch(out, _FOUND)
         yield _batch(close(), _FOUND)
 
@@ -268,8 +269,17 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
     return low[new].astype("<i8").tobytes(), high[new].astype("<i8").tobytes()
 
 
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _met(keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The keys as they are where the slices meet, which name the groups of all slices: the lowest 48 bits below the bucket."""
+    return keys & np.uint64(2**48 - 1) | (bucket & 2**16 - 1).astype(np.uint64) << np.uint64(48)
+
+
 def _keyed_rows(kind: int, keys: np.ndarray, of: np.ndarray, bits: int) -> list[tuple]:
-    buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    buckets = _buckets(keys, bits)
     order = np.lexsort((of, buckets))
     keys, of, buckets = keys[order], of[order], buckets[order]
     cuts = np.append(runs_of(buckets), len(keys))
