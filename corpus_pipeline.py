@@ -17,7 +17,7 @@ from worthrank.llm.jaccard_join import link_documents
 from worthrank.llm.line_dedup import dedup_lines
 from worthrank.llm.mixing import mix
 from worthrank.llm.packing import pack_pieces, token_pieces
-from worthrank.llm.queries import PATTERN, RANKS_PATH, SEQUENCE_LENGTH
+from worthrank.llm.queries import PATTERN, RANKS_PATH, SEQUENCE_LENGTH, TOKENIZER_PATH
 from worthrank.llm.toxicity import fit, score
 
 
@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents with their places in sequences; both copies of a document are packed."""
-    return pack_pieces(token_pieces(docs, RANKS_PATH, PATTERN, SEQUENCE_LENGTH), SEQUENCE_LENGTH)
+    return pack_pieces(token_pieces(docs, RANKS_PATH, PATTERN, SEQUENCE_LENGTH, tokenizer_path=TOKENIZER_PATH), SEQUENCE_LENGTH)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -17,7 +17,7 @@ from worthrank.llm.langid import CrossParser, identify, learn_references, suffix
 from worthrank.llm.mixing import mix
 from worthrank.llm.packing import OpenBins, cut, pack, pack_pieces, token_pieces
 from worthrank.llm.quality import judge, signals
-from worthrank.llm.queries import PATTERN, RANKS_PATH
+from worthrank.llm.queries import LLM_QUERIES, PATTERN, RANKS_PATH
 from worthrank.llm.toxicity import fit, score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +55,21 @@ def test_packing_round_trip(spark):
     assert len(sequences) <= 1.15 * least + 3
 
 
+def test_packed_ids_are_those_of_the_tokenizer_as_loaded(spark, tmp_path):
+    """By the query itself: the literal of the added token."""
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|", "a  <|endoftext|>\n\n c"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC_SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = defaultdict(list)
+    for r in LLM_QUERIES["op1_best_fit_packing"](spark, str(tmp_path)).collect():
+        found[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 50256 in tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        parts = [(s, n, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[s : s + n]))) for s, n in cut(len(ids), 2048)]
+        assert sorted(found[i]) == parts
+
+
 def test_packing_empty_and_repeated_rows(spark):
     empty = token_pieces(spark.createDataFrame([], DOC_SCHEMA), RANKS_PATH, PATTERN)
     assert pack_pieces(empty).collect() == []

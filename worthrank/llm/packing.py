@@ -9,6 +9,7 @@ open bin that it fills most; when the limit of open bins is reached, the fullest
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -26,13 +27,19 @@ END_ID = 0
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def byte_bpe_encoder(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
-    """An encoder over a file of byte-pair ranks. Strings of special tokens are ordinary text."""
+def byte_bpe_encoder(ranks_path: str, pattern: str, tokenizer_path: str | None = None) -> Callable[[str], list[int]]:
+    """An encoder over a file of byte-pair ranks, with the added tokens of the tokenizer file of the same vocabulary.
+    Without that file strings of special tokens are ordinary text."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if tokenizer_path is None:
+        return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(tokenizer_path, "rb") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: fast.encode(text, allowed_special="all")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -43,8 +50,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048,
-                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenise whole texts, end each with id 0 and cut those longer than ``capacity``.
+                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, tokenizer_path: str | None = None) -> DataFrame:
+    """Tokenise whole texts, end each with id 0 and cut those longer than ``capacity``. With ``tokenizer_path`` the
+    ids are those of that tokenizer without its special tokens added, also for texts that hold them.
 
     Returns one row per piece: doc_id, piece (from 0), start (the document's ids before it), length,
     ids_crc32 (of the little-endian unsigned 32-bit ids) and, if ``with_ids``, those bytes as ids
@@ -52,7 +60,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
     columns of ``docs`` are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe_encoder(ranks_path, pattern)
+        encode = byte_bpe_encoder(ranks_path, pattern, tokenizer_path)
         end = array("I", [END_ID])
         for batch in text_batches(batches):
             rows = []

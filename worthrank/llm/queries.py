@@ -28,6 +28,8 @@ LLM_SQL: dict[str, str] = {}
 #: Where the ranks of the byte-pair vocabulary and its pre-tokenizer's pattern come from.
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: The same vocabulary with its added tokens.
+TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE_LENGTH = 2048
 
 
@@ -38,7 +40,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_pieces(table(spark, sf_dir, "documents"), RANKS_PATH, PATTERN, SEQUENCE_LENGTH)
+    pieces = token_pieces(table(spark, sf_dir, "documents"), RANKS_PATH, PATTERN, SEQUENCE_LENGTH, tokenizer_path=TOKENIZER_PATH)
     return pack_pieces(pieces, SEQUENCE_LENGTH)
 
 
