@@ -55,9 +55,13 @@ def test_packing_round_trip(spark):
     assert len(sequences) <= 1.15 * least + 3
 
 
-def test_packed_ids_are_those_of_the_tokenizer_as_loaded(spark, tmp_path):
-    """By the query itself: the literal of the added token."""
-    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|", "a  <|endoftext|>\n\n c"]
+@pytest.mark.parametrize("kind", ["literal", "gap"])
+def test_packed_ids_are_those_of_the_tokenizer_as_loaded(spark, tmp_path, kind):
+    """By the query itself: the literal of the added token, and runs of white space that end tiktoken."""
+    if kind == "literal":
+        texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|", "a  <|endoftext|>\n\n c"]
+    else:
+        texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "a <|endoftext|>" + "\t \xa0" * 400_000 + "x <|endoftext|> y", " " * 99_999 + "x" + " " * 99_999]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC_SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     found = defaultdict(list)
     for r in LLM_QUERIES["op1_best_fit_packing"](spark, str(tmp_path)).collect():

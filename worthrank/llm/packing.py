@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,19 +28,35 @@ END_ID = 0
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+#: White space in one run from which texts go to ``tokenizers``: tiktoken's pattern matcher fails between 0.7 and 1 million.
+LONG_GAP = 100_000
+_GAP = re.compile(r"\s+")
+
+
 def byte_bpe_encoder(ranks_path: str, pattern: str, tokenizer_path: str | None = None) -> Callable[[str], list[int]]:
     """An encoder over a file of byte-pair ranks, with the added tokens of the tokenizer file of the same vocabulary.
-    Without that file strings of special tokens are ordinary text."""
+    Without that file strings of special tokens are ordinary text, and texts with a run of white space of a million fail."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     if tokenizer_path is None:
         return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    from tokenizers import Tokenizer
+
     with open(tokenizer_path, "rb") as f:
-        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        held = f.read()
+    added = {t["content"]: t["id"] for t in json.loads(held)["added_tokens"]}
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: fast.encode(text, allowed_special="all")
+    whole: list[Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_GAP and any(m.end() - m.start() >= LONG_GAP for m in _GAP.finditer(text)):
+            whole[:] = whole or [Tokenizer.from_buffer(held)]
+            return whole[0].encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all")
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
