@@ -265,5 +265,14 @@ def test_main_text(spark):
     assert extract(found.limit(0)).count() == 0
 
 
+def test_main_text_of_sections_without_an_article():
+    long = ("word " * 69 + "words.").strip()
+    page = (f"<div id=page><div><h1>Title</h1><section>{f'<p>{long}</p>' * 30}</section><h2><a href=#s>Second</a></h2><section><p>{long}</p></section><p>Short one.</p>"
+            f"<blockquote>Said so.</blockquote><pre>a = 1</pre><ul><li>One<li>Two, <a href=x>2</a></ul><section><p>Brief but text.</p><p><a href=y>Linked</a></p></section>"
+            '<ul><li><a href="/">Home</a><li><a href="/b">About</a></ul>' "<div><a href=/c>Here</a> | <a href=/d>There</a></div><div class=related><p>Other</p></div></div>"
+            "<div><table><tr><td>Cell</table></div></div><p>Last.<nav>Menu</nav><footer>End</footer>")
+    assert main_text(page).split("\n") == ["Title", *[long] * 30, "Second", long, "Short one.", "Said so.", "a = 1", "One", "Two, 2", "Brief but text.", "Linked", "Cell", "Last."]
+
+
 def test_sentences_of_fixture_are_stable():
     assert sentence(random.Random(0), "en", 3) == sentence(random.Random(0), "en", 3)

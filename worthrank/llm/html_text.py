@@ -1,8 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 Every paragraph passes points for its length and its commas to the containers above it; a container's
-points are discounted by its link density. The best container is kept, with siblings that score well
-beside it. Pages are parsed one by one where they are read: there is no shuffle, and a task holds
+points are discounted by its link density. An article is kept with siblings that score well beside it; on a
+page without one, the best container and all other text but blocks of links. Pages are parsed one by one where they are read: there is no shuffle, and a task holds
 a few pages at a time.
 """
 
@@ -30,6 +30,7 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code
            "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Blocks that are paragraphs: their points go to what holds them.
 _PARAGRAPHS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag of the key closes an open element of these names, up to the nearest of the scope.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -153,7 +154,8 @@ def _blocks(node: Node, out: list[tuple[Node, str, int]]) -> None:
 
 
 def main_text(html: str) -> str:
-    """Blocks of the best container and its good siblings, in page order, one a line; empty if none."""
+    """Blocks of the best container and its good siblings, and without an article all that is running text, in page
+    order, one a line; empty if none."""
     root = parse(html)
     blocks: list[tuple[Node, str, int]] = []
     _blocks(root, blocks)
@@ -197,16 +199,30 @@ def main_text(html: str) -> str:
                 if _score(sibling) >= max(10.0, 0.2 * most) or sibling.tag == "p" and sibling.chars > 80 and density < 0.25 and best.tag not in ("article", "main"):
                     kept.append(sibling)
     ids = {id(x) for x in kept}
+    path: set[int] = set()
+    up = best
+    while up is not None:
+        path.add(id(up))
+        up = up.parent
     lines = []
-    for owner, text, _ in blocks:
+    for owner, text, linked in blocks:
         at = owner
         while at is not None and id(at) not in ids:
             at = at.parent
-        if at is not None:
+        if at is not None or best.tag not in ("article", "main") and _running(owner, text, linked, path):
             lines.append(text)
     return "\n".join(lines)
 
 
+def _running(owner: Node, text: str, linked: int, path: set[int]) -> bool:
+    """Whether a block beside the best container (the lowest of ``path``) isn't a menu: it, or what holds it apart from
+    the path, is not mostly links; a heading may be a link."""
+    if 2 * linked < len(text):
+        return True
+    holder = owner.parent if owner.tag in _PARAGRAPHS and owner.parent else owner
+    return 2 * holder.link_chars < holder.chars and (id(holder) not in path or owner.tag in _HEADINGS)
+
+
 def _score(node: Node) -> float:
     if not node.chars:
         return 0.0
