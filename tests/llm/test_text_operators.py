@@ -132,6 +132,15 @@ def test_phrases_equal_greedy_parsing():
             assert counts[row, k] == expected
 
 
+def test_references_have_a_piece_of_every_sampled_row_with_letters(spark):
+    names = ["".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(40)]
+    rows = [(i, "12 " * 2000 + (n + " ") * 2000, "xx", "s", 1) for i, n in enumerate(names)]
+    rows += [(1000 + i, None if i % 3 else "1 2 3 !", "yy", "s", 1) for i in range(3000)] + [(5000 + i, "hallo welt", "yy", "s", 1) for i in range(3)]
+    found = learn_references(spark.createDataFrame(rows, DOC_SCHEMA))
+    assert set(names) <= set(found["xx"].split()) and 19_000 <= len(found["xx"]) <= 20_000
+    assert found["yy"] == "hallo welt hallo welt hallo welt"
+
+
 def test_language_identification(spark):
     rng = random.Random(8)
     rows = [(i, text(rng, lang), lang, "s", 1) for i, lang in enumerate(("en", "de", "fr", "es") * 30)] + [(900, None, "en", "s", 0), (901, "12 !!", "en", "s", 0), (902, "", None, "s", 0)]

@@ -25,33 +25,45 @@ NO_LANGUAGE = "und"
 def learn_references(labelled: DataFrame, sample_rows: int = 160, row_chars: int = 4000,
                      reference_symbols: int = 20_000, text_col: str = "text", lang_col: str = "lang",
                      id_col: str = "doc_id") -> dict[str, str]:
-    """Reference text per language from ``labelled`` rows with a text and a language.
-
-    The model is fitted on a bounded sample: of every language the ``sample_rows`` rows with the
-    lowest hash of the id, up to ``row_chars`` characters of each, normalised and cut at
-    ``reference_symbols``. The driver gets no more than that. Languages without letters are left out."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
-                           F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)).alias("h")).where("lang is not null")
+    """Reference text per language from ``labelled`` rows with letters and a language.
+
+    The model is fitted on a bounded sample: of every language the ``sample_rows`` rows with the lowest hash of the
+    id, and of each a piece of its letters and gaps from a place that the hash chooses. The pieces are equally
+    long, but for rows that have less, and ``reference_symbols`` together at most. The driver gets up to
+    ``row_chars`` characters of a row. Languages without letters are left out."""
+    rows = (labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("place"))
+            .where("lang is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.pmod("place", F.lit(1_000_000))))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     # a threshold on the hash thins each language out before the exact choice of the lowest hashes
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 8.0 * sample_rows / n))])
-    thinned = rows.where((F.col("h") < share[F.col("lang")] * 1_000_000) & F.col("text").isNotNull())
+    thinned = rows.where(F.col("h") < share[F.col("lang")] * 1_000_000)
     lowest = Window.partitionBy("lang").orderBy("h", "text")
-    sample = (thinned.select("lang", "h", F.substring("text", 1, row_chars).alias("text"))
-              .withColumn("k", F.row_number().over(lowest)).where(F.col("k") <= sample_rows))
+    letters = F.trim(F.regexp_replace(F.col("text"), r"\P{L}+", " "))
+    start = F.pmod(F.shiftright("place", 20), F.greatest(F.lit(1), F.length("letters") - row_chars + 1)).cast("int") + 1
+    sample = (thinned.withColumn("k", F.row_number().over(lowest)).where(F.col("k") <= sample_rows)
+              .withColumn("letters", letters).select("lang", "k", F.substring(F.col("letters"), start, F.lit(row_chars)).alias("text")))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], []).append((r["k"], r["text"]))
     found = {}
     for lang, own in texts.items():
-        symbols = " ".join(" ".join(_letters_only(t).split()) for _, t in sorted(own))[:reference_symbols]
+        symbols = " ".join(_equal_pieces([" ".join(_letters_only(t).split()) for _, t in sorted(own)], reference_symbols))
         if symbols.strip():
             found[lang] = symbols
     return found
 
 
+def _equal_pieces(texts: list[str], most: int) -> list[str]:
+    """Beginnings of the texts, equally long but for shorter texts, that joined by a gap have ``most`` symbols at most."""
+    left, lengths = most + 1, [0] * len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        lengths[i] = max(0, min(len(texts[i]), left // (len(texts) - done) - 1))
+        left -= lengths[i] + 1
+    return [t[:n] for t, n in zip(texts, lengths, strict=True) if n]
+
+
 def _letters_only(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
