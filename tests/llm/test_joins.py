@@ -55,6 +55,14 @@ def test_nearest_neighbours_of_few_and_none(spark):
     assert search(index, centre, vectors).collect() == []
 
 
+def test_nearest_neighbours_leave_out_vectors_of_another_length(spark):
+    data = [(0, [1.0, 2.0]), (20, [2.0, 1.0]), (3, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (60, [5.0])]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    index, centre = build_index(vectors, k=20)
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in search(index, centre, vectors.where("vec_id % 20 = 0")).collect())
+    assert found == [(0, 1, 20, 4.0), (0, 2, 3, 3.0), (20, 1, 0, 4.0), (20, 2, 3, 3.0)]
+
+
 def _sets(rows):
     fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     out = {}

@@ -49,18 +49,19 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     Columns: vec_id, vector (double), code, norm, own. Of equal vectors only the k + 1 rows with the smallest
     ids are indexed: no query can return more of them, itself apart, as ties go to smaller ids. So a group of
     copies of any size costs no more than k + 1 rows, and the ranking is unchanged. The centre is the
-    mean of the indexed vectors. Vectors of another length than the most frequent one raise an error."""
+    mean of the indexed vectors. Vectors of another length than the most frequent one of those (of equally frequent
+    ones the longest) are left out."""
     ship_package(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("same", F.xxhash64("vector"))
     copies = Window.partitionBy("same", "vector").orderBy("vec_id")
     held = materialise(rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "vector"), "vectors")
     sizes = held.groupBy(F.size("vector").alias("dims")).count().collect()
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of different lengths: {sorted(r['dims'] for r in sizes)}")
     if not sizes:
         return held.select("*", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("norm"), F.lit(1.0).alias("own")), np.zeros(0)
-    dims = sizes[0]["dims"]
+    dims = max(sizes, key=lambda r: (r["count"], r["dims"]))["dims"]
+    if len(sizes) > 1:
+        held = held.where(F.size("vector") == dims)
     means = held.select([F.avg(F.col("vector")[i]).alias(str(i)) for i in range(dims)]).first()
     centre = np.array([means[str(i)] for i in range(dims)])
 
@@ -127,10 +128,10 @@ def search(index: DataFrame, centre: np.ndarray, queries: DataFrame, k: int = 20
     to the smaller id, without itself; all candidates if there are fewer.
 
     ``slack`` scales the error bound; larger values rank more vectors exactly. A query that is null, zero or has
-    components that are null or not finite has no rows. Rows that repeat a query's id give the same rows once."""
+    components that are null or not finite has no rows, as one of another length than the index has. Rows that repeat a query's id give the same rows once."""
     ship_package(queries.sparkSession)
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["query_id"])
+    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == len(centre))).dropDuplicates(["query_id"])
     n_rows, n_queries = index.count(), asked.count()
     schema = "query_id long, vec_id long, score double"
     if not n_rows or not n_queries:
