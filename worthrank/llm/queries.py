@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from worthrank.llm.ann import build_index, search
 from worthrank.llm.common import held_out, table
+from worthrank.llm.exact_dedup import dedup_exact
 from worthrank.llm.html_text import extract
 from worthrank.llm.jaccard_join import link_documents
 from worthrank.llm.langid import identify, learn_references
@@ -142,3 +143,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_exact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LLM_SQL["op13_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS plain FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY plain) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size,
+       row_number() OVER (PARTITION BY plain ORDER BY doc_id) = 1 AS kept, sha256(plain) AS text_sha256
+FROM t
+"""
