@@ -21,6 +21,7 @@ from worthrank.llm.mixing import mix
 from worthrank.llm.packing import pack_pieces, token_pieces
 from worthrank.llm.quality import judge
 from worthrank.llm.substring_dedup import dedup_passages
+from worthrank.llm.token_align import Vocabularies, align_tokenizers
 from worthrank.llm.toxicity import fit, score
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,8 @@ PATTERN = public_tokenizers.PATTERN
 #: The same vocabulary with its added tokens.
 TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE_LENGTH = 2048
+#: Both vocabularies that operator 12 aligns.
+ALIGNED = Vocabularies(RANKS_PATH, PATTERN, TOKENIZER_PATH, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -156,3 +159,8 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY plain) AS keep_id, count(*) OVER (
        row_number() OVER (PARTITION BY plain ORDER BY doc_id) = 1 AS kept, sha256(plain) AS text_sha256
 FROM t
 """
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), ALIGNED)
