@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from worthrank.llm.perfect_hash import PerfectHash, bucket_of
 from worthrank.llm.queries import ALIGNED, LLM_QUERIES
-from worthrank.llm.token_align import align_tokenizers
+from worthrank.llm.token_align import Aligner, align_tokenizers, sums
 
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
@@ -96,3 +96,18 @@ def test_perfect_hash_numbers_keys_without_gaps(n):
     joined, inside = PerfectHash.join(parts, 7), np.isin(bucket, list(parts))
     assert sorted(joined.number(keys[inside])) == list(range(int(inside.sum())))
     assert (joined.number(keys[~inside]) == -1).all()
+
+
+def test_segments_are_those_of_whole_texts():
+    aligner = Aligner(ALIGNED)
+    assert aligner.cuts
+    texts = [t for *_, t in ((r[0], r[1]) for r in documents(60))] + ODD + ["a  b", "a b  c \n d", "x \xa0 y\xa0z \xa0\xa0 w", "a\x1c b \x1fc", "  lead", "trail  "]
+    numbers, counts = aligner.segments(texts)
+    whole = Aligner(ALIGNED)
+    whole.cuts = False
+    alone, one = whole.segments(texts)
+    assert counts.max() > 1 == one.max()
+    assert [sums(c, counts).tolist() for c in aligner.numbers[numbers, :4].T] == [sums(c, one).tolist() for c in whole.numbers[alone, :4].T]
+    parts = np.split(numbers, np.cumsum(counts)[:-1])
+    lone = np.split(alone, np.cumsum(one)[:-1])
+    assert [";".join(aligner.groups[i] for i in p) for p in parts] == [";".join(whole.groups[i] for i in p) for p in lone]

@@ -9,9 +9,12 @@ again and looks every link up in the function, whose stored keys are verified to
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,10 @@ from worthrank.llm.packing import LONG_GAP, _GAP, byte_bpe_encoder
 from worthrank.llm.perfect_hash import PerfectHash, bucket_of
 from worthrank.session import ship_package
 
-#: UTF-8 bytes of text that are aligned together, and distinct pairs from which a task writes out what it has counted.
-BATCH_BYTES, FLUSH_PAIRS = 2_000_000, 2_000_000
+#: Segments of text, and characters in them, that a task remembers; characters of texts that are handled together.
+SEGMENTS, SEGMENT_CHARS, BATCH_CHARS = 400_000, 20_000_000, 2_000_000
+#: A space between two characters that are no white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @dataclass(frozen=True)
@@ -39,11 +44,13 @@ class Vocabularies:
 
 
 class Aligner:
-    """Encodes batches of texts with both tokenizers and links the tokens."""
+    """Links the tokens of texts, segment by segment, and remembers segments, as words come again and again.
 
-    def __init__(self, files: Vocabularies):
-        import base64
+    If no token of either vocabulary has a space after a character that is no white space, no merge crosses the start of a
+    space between two such characters, so both tokenizers have an end there. A text is then cut at these spaces, and
+    each segment, with its space in front, is tokenised on its own. Otherwise a text is one segment."""
 
+    def __init__(self, files: Vocabularies):
         import sentencepiece
 
         with open(files.ranks_path, "rb") as f:
@@ -54,9 +61,22 @@ class Aligner:
         self.model = sentencepiece.SentencePieceProcessor(model_file=files.model_path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.cuts = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for v in (self.a_bytes, self.b_bytes) for x in v)
         self.a_len, self.b_len = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         self.n_b = len(self.b_bytes)
-        self._text: list[str] | None = None
+        self._texts: list[str] | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.keys: list[bytes] = []  # of each segment: the keys of its links, int64
+        self.groups: list[str] = []  # its groups, as in the digested text
+        self.numbers = np.zeros((1024, 5), np.int64)  # n_a, n_b, n_groups, n_links, 1 if a byte is lost
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) > SEGMENTS or self.chars > SEGMENT_CHARS
 
     def _ids_a(self, text: str) -> list[int]:
         if len(text) >= LONG_GAP and any(m.end() - m.start() >= LONG_GAP for m in _GAP.finditer(text)):
@@ -68,89 +88,100 @@ class Aligner:
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.encode_a(text)
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """The ids of both tokenizers; none where the text is empty or either loses a byte of it."""
-        if not text:
-            return [], []
+    def id_texts(self) -> list[str]:
+        """Decimal ids with the sign that follows: A ids with a comma and a bar, then B ids with a comma and a semicolon."""
+        if self._texts is None:
+            self._texts = [f"{i}{s}" for n, signs in ((len(self.a_bytes), ",|"), (self.n_b, ",;")) for i in range(n) for s in signs]
+        return self._texts
+
+    def _add(self, segments: list[str], keys: list[bytes], groups: list[str], numbers: np.ndarray) -> None:
+        at = len(self.known)
+        self.known.update(zip(segments, range(at, at + len(segments)), strict=True))
+        self.chars += sum(map(len, segments))
+        self.keys += keys
+        self.groups += groups
+        while len(self.known) > len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        self.numbers[at : len(self.known)] = numbers
+
+    def _learn(self, segments: list[str]) -> None:
+        """Tokenise and link new segments that are joined by single spaces."""
+        text = " ".join(segments)
         raw, a, b = (" " + text).encode(), self._ids_a(" " + text), self.model.encode(text)
         if b"".join(map(self.b_bytes.__getitem__, b)) != raw or b"".join(map(self.a_bytes.__getitem__, a)) != raw:
-            return [], []
-        return a, b
-
-    def link(self, texts: list[str | None]) -> Links:
-        pairs = [self.tokens(t) for t in texts]
-        n_a, n_b = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-        a, b = (np.fromiter((i for p in pairs for i in p[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+            if len(segments) == 1:
+                return self._add(segments, [b""], [""], np.array([[0, 0, 0, 0, 1]]))
+            half = len(segments) // 2
+            self._learn(segments[:half])
+            return self._learn(segments[half:])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        total = int(ends_a[-1]) if len(a) else 0
-        at_a, at_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+        at_a, at_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
         at_a[ends_a] = at_b[ends_b] = True
-        cuts = np.flatnonzero(at_a | at_b)
-        return Links(self, n_a, n_b, a, b, at_a[cuts], at_b[cuts])
-
-    def id_texts(self) -> list[str]:
-        """Decimal ids with the sign that follows: A ids with a comma and a bar, then B ids with a comma and a semicolon."""
-        if self._text is None:
-            self._text = [f"{i}{s}" for n, signs in ((len(self.a_bytes), ",|"), (self.n_b, ",;")) for i in range(n) for s in signs]
-        return self._text
-
-
-class Links:
-    """The links of a batch, in the order of the bytes. ``is_a`` and ``is_b``: whether a token of either ends at a link's end."""
-
-    def __init__(self, aligner: Aligner, n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, is_a: np.ndarray, is_b: np.ndarray):
-        self.aligner, self.n_a, self.n_b, self.a, self.b = aligner, n_a, n_b, a, b
-        self.is_a, self.is_b, self.both = is_a, is_b, is_a & is_b
-        self.link_b = b[np.cumsum(is_b) - is_b]
-        self.keys = a[np.cumsum(is_a) - is_a] * aligner.n_b + self.link_b
-        # A document's last link is the one at which its last A token ends.
-        last = np.concatenate([[0], np.flatnonzero(is_a) + 1])
-        self.upto = last[np.cumsum(np.concatenate([[0], n_a]))]
-
-    def by_document(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each document's links."""
-        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        return sums[self.upto[1:]] - sums[self.upto[:-1]]
-
-    def group_digests(self) -> list[str]:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of every document; '' without tokens."""
-        table = self.aligner.id_texts()
-        group = np.cumsum(self.both) - self.both
-        group_a, group_b = group[self.is_a], group[self.is_b]
-        groups = int(self.both.sum())
-        in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
-        signs = np.empty(len(self.a) + len(self.b), np.int64)
-        signs[np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[group_a]] = 2 * self.a + self.both[self.is_a]
-        signs[np.arange(len(self.b)) + np.cumsum(in_a)[group_b]] = 2 * (len(self.aligner.a_bytes) + self.b) + self.both[self.is_b]
-        out, at = [], 0
-        for n in (self.n_a + self.n_b).tolist():
-            own = "".join(map(table.__getitem__, signs[at : at + n].tolist()))
-            out.append(hashlib.sha256(own[:-1].encode()).hexdigest() if n else "")
-            at += n
-        return out
-
-
-def aligned(batches: Iterator[pa.RecordBatch], files: Vocabularies) -> Iterator[tuple[pa.RecordBatch, Links]]:
-    """Small batches of (…, text) with their links; the text is the last column."""
-    aligner = Aligner(files)
+        cuts = np.flatnonzero(at_a | at_b)  # a link ends at each
+        is_a, is_b = at_a[cuts], at_b[cuts]
+        both = is_a & is_b
+        keys = (a[np.cumsum(is_a) - is_a] * self.n_b + b[np.cumsum(is_b) - is_b]).tobytes()
+        # All tokens in the order of the digested text: group by group, A before B.
+        group = np.cumsum(both) - both
+        in_a, in_b = np.bincount(group[is_a]), np.bincount(group[is_b])
+        signs = np.empty(len(a) + len(b), np.int64)
+        signs[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group[is_a]]] = 2 * a + both[is_a]
+        signs[np.arange(len(b)) + np.cumsum(in_a)[group[is_b]]] = 2 * (len(self.a_bytes) + b) + both[is_b]
+        written = list(map(self.id_texts().__getitem__, signs.tolist()))
+        ends = np.cumsum([len(s.encode()) + 1 for s in segments])
+        upto = np.stack([np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, cuts[both], cuts)], axis=1)
+        upto = np.concatenate([np.zeros((1, 4), np.int64), upto])
+        links, tokens = upto[:, 3].tolist(), (upto[:, 0] + upto[:, 1]).tolist()
+        self._add(segments, [keys[8 * p : 8 * q] for p, q in pairwise(links)], ["".join(written[p:q])[:-1] for p, q in pairwise(tokens)],
+                  np.concatenate([np.diff(upto, axis=0), np.zeros((len(segments), 1), np.int64)], axis=1))
+
+    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all segments of the texts, in order, and how many each text has. A text that is null, empty or loses
+        a byte has none."""
+        split = [(_CUT.split(text) if self.cuts else [text]) if text else [] for text in texts]
+        joined, size = [], 0
+        for s in dict.fromkeys(chain.from_iterable(split)):
+            if s in self.known:
+                continue
+            if not self.cuts or s[0].isspace() or s[-1].isspace():
+                self._learn([s])
+                continue
+            joined.append(s)
+            size += len(s)
+            if size > BATCH_CHARS // 4:
+                self._learn(joined)
+                joined, size = [], 0
+        if joined:
+            self._learn(joined)
+        out = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        counts = np.array(list(map(len, split)), np.int64)
+        lost = sums(self.numbers[out, 4], counts) > 0
+        if lost.any():
+            out = out[~np.repeat(lost, counts)]
+            counts[lost] = 0
+        return out, counts
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of as many values at a time as ``counts`` says."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[upto[1:]] - total[upto[:-1]]
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Small batches of (…, text) with their texts; the text is the last column."""
     for batch in text_batches(batches):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
-            if size >= BATCH_BYTES or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), aligner.link(texts[start : i + 1])
+            if size >= BATCH_CHARS or i + 1 == len(texts):
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, size = i + 1, 0
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    own, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(own), np.int64)
-    np.add.at(total, place, np.concatenate(counts))
-    return own, total
-
-
 PAIR_SCHEMA = "bucket int, node long, keys binary, counts binary"
 
 
@@ -166,26 +197,24 @@ def count_pairs(docs: DataFrame, files: Vocabularies, buckets: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        aligner, seen = Aligner(files), np.zeros(0, np.int64)
 
         def rows() -> pa.RecordBatch:
-            own, n = merged(keys, counts)
+            keys, times = np.frombuffer(b"".join(aligner.keys), np.int64), np.repeat(seen, aligner.numbers[: len(seen), 3])
+            own, place = np.unique(keys[times > 0], return_inverse=True)
+            n = np.zeros(len(own), np.int64)
+            np.add.at(n, place, times[times > 0])
             bucket = bucket_of(own, buckets)
             return _batch(PAIR_SCHEMA, [(g, task, own[bucket == g].tobytes(), n[bucket == g].tobytes()) for g in np.unique(bucket).tolist()])
 
-        for _, links in aligned(batches, files):
-            own, n = np.unique(links.keys, return_counts=True)
-            keys.append(own)
-            counts.append(n)
-            if sum(map(len, keys)) > FLUSH_PAIRS:
-                own, n = merged(keys, counts)
-                keys, counts = [own], [n]
-                if len(own) > FLUSH_PAIRS // 2:
-                    yield rows()
-                    keys, counts = [], []
-        if keys:
-            yield rows()
+        for _, texts in small_batches(batches):
+            own, _ = aligner.segments(texts)
+            seen = np.concatenate([seen, np.zeros(len(aligner.known) - len(seen), np.int64)]) + np.bincount(own, minlength=len(aligner.known))
+            if aligner.full:
+                yield rows()
+                aligner.forget()
+                seen = np.zeros(0, np.int64)
+        yield rows()
 
     return materialise(map_arrow(docs.select("text"), run, PAIR_SCHEMA), "id_pairs")
 
@@ -286,20 +315,35 @@ def look_up(docs: DataFrame, files: Vocabularies, table: DataFrame, best: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, starts, words, keys, counts, best = shared.value
-        function = PerfectHash(sizes, starts, words)
-        for batch, links in aligned(batches, files):
-            at = function.number(links.keys)
+        function, aligner = PerfectHash(sizes, starts, words), Aligner(files)
+
+        def per_segment(first: int) -> np.ndarray:
+            """n_best and count_sum of the segments from number ``first`` on."""
+            links, own = aligner.numbers[first : len(aligner.known), 3], np.frombuffer(b"".join(aligner.keys[first:]), np.int64)
+            at = function.number(own)
             found = at >= 0
-            found[found] = keys[at[found]] == links.keys[found]
+            found[found] = keys[at[found]] == own[found]
             count = np.zeros(len(at), np.int64)
             count[found] = counts[at[found]]
-            top = found & (count == best[links.link_b])
-            digest = links.group_digests() if digests else [None] * batch.num_rows
-            n_links = np.diff(links.upto)
+            return np.stack([sums(found & (count == best[own % aligner.n_b]), links), sums(count, links)], axis=1)
+
+        held = np.zeros((0, 2), np.int64)
+        for batch, texts in small_batches(batches):
+            own, n = aligner.segments(texts)
+            held = np.concatenate([held, per_segment(len(held))])
+            digest, at = [None] * len(texts), 0
+            if digests:
+                order = own.tolist()
+                for i, k in enumerate(n.tolist()):
+                    digest[i] = hashlib.sha256(";".join(map(aligner.groups.__getitem__, order[at : at + k])).encode()).hexdigest() if k else ""
+                    at += k
+            numbers = [*aligner.numbers[own, :4].T, *held[own].T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(links.n_a), pa.array(links.n_b), pa.array(links.by_document(links.both)), pa.array(n_links),
-                 pa.array(links.by_document(top)), pa.array(links.by_document(count)), pa.array(digest, pa.string()), batch.column(1)],
+                [batch.column(0), *(pa.array(sums(x, n)) for x in numbers), pa.array(digest, pa.string()), batch.column(1)],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "key"])
+            if aligner.full:
+                aligner.forget()
+                held = held[:0]
 
     return map_arrow(docs.select("doc_id", "key", "text"), run, RESULT + ", key string")
 
@@ -309,8 +353,8 @@ def align_tokenizers(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Texts that are null, empty or not kept byte by byte by both tokenizers have zeros and an empty string. Repeated rows
-    are rows of their own and count as such; other columns are ignored; an empty table gives no rows. A task aligns a text
-    whole. The hash with its keys and counts reaches the tasks in shards of whole buckets, ``shard_pairs`` pairs (16 bytes
+    are rows of their own and count as such; other columns are ignored; an empty table gives no rows. A task holds
+    a text whole. The hash with its keys and counts reaches the tasks in shards of whole buckets, ``shard_pairs`` pairs (16 bytes
     each and 4 bits) at most or a single bucket; each shard is a pass over the documents, and their sums are added."""
     spark = docs.sparkSession
     ship_package(spark)
