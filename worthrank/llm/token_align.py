@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
@@ -28,7 +29,7 @@ from worthrank.llm.perfect_hash import PerfectHash, bucket_of
 from worthrank.session import ship_package
 
 #: Segments of text, and characters in them, that a task remembers; characters of texts that are handled together.
-SEGMENTS, SEGMENT_CHARS, BATCH_CHARS = 400_000, 20_000_000, 2_000_000
+SEGMENTS, SEGMENT_CHARS, BATCH_CHARS = 300_000, 20_000_000, 2_000_000
 #: A space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -53,6 +54,7 @@ class Aligner:
     def __init__(self, files: Vocabularies):
         import sentencepiece
 
+        self.write_groups = True  # whether ``groups`` is needed
         with open(files.ranks_path, "rb") as f:
             ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
         self.a_bytes = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
@@ -70,8 +72,8 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.keys: list[bytes] = []  # of each segment: the keys of its links, int64
-        self.groups: list[str] = []  # its groups, as in the digested text
+        self.keys: list[np.ndarray] = []  # the keys of the segments' links, in the order of the segments
+        self.groups: list[str] = []  # of each segment: its groups, as in the digested text
         self.numbers = np.zeros((1024, 5), np.int64)  # n_a, n_b, n_groups, n_links, 1 if a byte is lost
 
     @property
@@ -94,11 +96,11 @@ class Aligner:
             self._texts = [f"{i}{s}" for n, signs in ((len(self.a_bytes), ",|"), (self.n_b, ",;")) for i in range(n) for s in signs]
         return self._texts
 
-    def _add(self, segments: list[str], keys: list[bytes], groups: list[str], numbers: np.ndarray) -> None:
+    def _add(self, segments: list[str], keys: np.ndarray, groups: list[str], numbers: np.ndarray) -> None:
         at = len(self.known)
         self.known.update(zip(segments, range(at, at + len(segments)), strict=True))
         self.chars += sum(map(len, segments))
-        self.keys += keys
+        self.keys.append(keys)
         self.groups += groups
         while len(self.known) > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
@@ -110,7 +112,7 @@ class Aligner:
         raw, a, b = (" " + text).encode(), self._ids_a(" " + text), self.model.encode(text)
         if b"".join(map(self.b_bytes.__getitem__, b)) != raw or b"".join(map(self.a_bytes.__getitem__, a)) != raw:
             if len(segments) == 1:
-                return self._add(segments, [b""], [""], np.array([[0, 0, 0, 0, 1]]))
+                return self._add(segments, np.zeros(0, np.int64), [""], np.array([[0, 0, 0, 0, 1]]))
             half = len(segments) // 2
             self._learn(segments[:half])
             return self._learn(segments[half:])
@@ -121,20 +123,20 @@ class Aligner:
         cuts = np.flatnonzero(at_a | at_b)  # a link ends at each
         is_a, is_b = at_a[cuts], at_b[cuts]
         both = is_a & is_b
-        keys = (a[np.cumsum(is_a) - is_a] * self.n_b + b[np.cumsum(is_b) - is_b]).tobytes()
-        # All tokens in the order of the digested text: group by group, A before B.
-        group = np.cumsum(both) - both
-        in_a, in_b = np.bincount(group[is_a]), np.bincount(group[is_b])
-        signs = np.empty(len(a) + len(b), np.int64)
-        signs[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group[is_a]]] = 2 * a + both[is_a]
-        signs[np.arange(len(b)) + np.cumsum(in_a)[group[is_b]]] = 2 * (len(self.a_bytes) + b) + both[is_b]
-        written = list(map(self.id_texts().__getitem__, signs.tolist()))
+        keys = a[np.cumsum(is_a) - is_a] * self.n_b + b[np.cumsum(is_b) - is_b]
         ends = np.cumsum([len(s.encode()) + 1 for s in segments])
         upto = np.stack([np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, cuts[both], cuts)], axis=1)
         upto = np.concatenate([np.zeros((1, 4), np.int64), upto])
-        links, tokens = upto[:, 3].tolist(), (upto[:, 0] + upto[:, 1]).tolist()
-        self._add(segments, [keys[8 * p : 8 * q] for p, q in pairwise(links)], ["".join(written[p:q])[:-1] for p, q in pairwise(tokens)],
-                  np.concatenate([np.diff(upto, axis=0), np.zeros((len(segments), 1), np.int64)], axis=1))
+        groups: list[str] = []
+        if self.write_groups:  # all tokens in the order of the digested text: group by group, A before B
+            group = np.cumsum(both) - both
+            in_a, in_b = np.bincount(group[is_a]), np.bincount(group[is_b])
+            signs = np.empty(len(a) + len(b), np.int64)
+            signs[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group[is_a]]] = 2 * a + both[is_a]
+            signs[np.arange(len(b)) + np.cumsum(in_a)[group[is_b]]] = 2 * (len(self.a_bytes) + b) + both[is_b]
+            written = list(map(self.id_texts().__getitem__, signs.tolist()))
+            groups = ["".join(written[p:q])[:-1] for p, q in pairwise((upto[:, 0] + upto[:, 1]).tolist())]
+        self._add(segments, keys, groups, np.concatenate([np.diff(upto, axis=0), np.zeros((len(segments), 1), np.int64)], axis=1))
 
     def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all segments of the texts, in order, and how many each text has. A text that is null, empty or loses
@@ -163,6 +165,19 @@ class Aligner:
         return out, counts
 
 
+@lru_cache(1)
+def aligner_of(files: Vocabularies) -> Aligner:
+    """One to a Python worker: its tables are read once, whatever the number of tasks."""
+    return Aligner(files)
+
+
+def fresh_aligner(files: Vocabularies, write_groups: bool) -> Aligner:
+    aligner = aligner_of(files)
+    aligner.forget()
+    aligner.write_groups = write_groups
+    return aligner
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of as many values at a time as ``counts`` says."""
     upto = np.concatenate([[0], np.cumsum(counts)])
@@ -197,10 +212,10 @@ def count_pairs(docs: DataFrame, files: Vocabularies, buckets: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        aligner, seen = Aligner(files), np.zeros(0, np.int64)
+        aligner, seen = fresh_aligner(files, False), np.zeros(0, np.int64)
 
         def rows() -> pa.RecordBatch:
-            keys, times = np.frombuffer(b"".join(aligner.keys), np.int64), np.repeat(seen, aligner.numbers[: len(seen), 3])
+            keys, times = np.concatenate([np.zeros(0, np.int64), *aligner.keys]), np.repeat(seen, aligner.numbers[: len(seen), 3])
             own, place = np.unique(keys[times > 0], return_inverse=True)
             n = np.zeros(len(own), np.int64)
             np.add.at(n, place, times[times > 0])
@@ -215,6 +230,7 @@ def count_pairs(docs: DataFrame, files: Vocabularies, buckets: int) -> DataFrame
                 aligner.forget()
                 seen = np.zeros(0, np.int64)
         yield rows()
+        aligner.forget()
 
     return materialise(map_arrow(docs.select("text"), run, PAIR_SCHEMA), "id_pairs")
 
@@ -223,6 +239,7 @@ def _last_node(df: DataFrame) -> int:
     return int(df.agg(F.max("node")).first()[0] or 0)
 
 
+SET_SCHEMA = "bucket int, node long, keys binary"
 HASH_SCHEMA = "bucket int, n long, sizes binary, words binary, keys binary"
 
 
@@ -230,26 +247,24 @@ def build_hash(pairs: DataFrame, fan_in: int) -> DataFrame:
     """(bucket, n, sizes, words, keys): the perfect hash of every bucket's distinct pairs, with the keys in the order of their
     numbers. Sets of keys are united up a tree, ``fan_in`` at a time."""
 
+    def united(met: pa.Table) -> np.ndarray:
+        return np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in met.column("keys").to_pylist()]))
+
     def unite(met: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in met.column("keys").to_pylist()]))
-        return pa.Table.from_batches([_batch("bucket int, node long, keys binary", [(met.column("bucket")[0].as_py(), met.column("node")[0].as_py(), keys.tobytes())])])
+        return pa.Table.from_batches([_batch(SET_SCHEMA, [(met.column("bucket")[0].as_py(), met.column("node")[0].as_py(), united(met).tobytes())])])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.frombuffer(blob, np.int64)
-                function = PerfectHash.build(keys)
-                held = np.empty(len(keys), np.int64)
-                held[function.number(keys)] = keys
-                yield _batch(HASH_SCHEMA, [(bucket, len(keys), *function.pack(), held.tobytes())])
+    def build(met: pa.Table) -> pa.Table:
+        keys = united(met)
+        function = PerfectHash.build(keys)
+        held = np.empty(len(keys), np.int64)
+        held[function.number(keys)] = keys
+        return pa.Table.from_batches([_batch(HASH_SCHEMA, [(met.column("bucket")[0].as_py(), len(keys), *function.pack(), held.tobytes())])])
 
     sets, last = pairs.select("bucket", "node", "keys"), _last_node(pairs)
-    while True:
-        sets = sets.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("bucket", "node").applyInArrow(unite, "bucket int, node long, keys binary")
-        if last < fan_in:
-            break
+    while last >= fan_in:
+        sets = sets.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("bucket", "node").applyInArrow(unite, SET_SCHEMA)
         last //= fan_in
-    return materialise(map_arrow(sets.select("bucket", "keys"), build, HASH_SCHEMA), "pair_hash")
+    return materialise(sets.groupBy("bucket").applyInArrow(build, HASH_SCHEMA), "pair_hash")
 
 
 VECTOR_SCHEMA = "bucket int, node long, counts binary"
@@ -315,11 +330,12 @@ def look_up(docs: DataFrame, files: Vocabularies, table: DataFrame, best: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, starts, words, keys, counts, best = shared.value
-        function, aligner = PerfectHash(sizes, starts, words), Aligner(files)
+        function, aligner = PerfectHash(sizes, starts, words), fresh_aligner(files, digests)
 
         def per_segment(first: int) -> np.ndarray:
             """n_best and count_sum of the segments from number ``first`` on."""
-            links, own = aligner.numbers[first : len(aligner.known), 3], np.frombuffer(b"".join(aligner.keys[first:]), np.int64)
+            links, own = aligner.numbers[first : len(aligner.known), 3], np.concatenate([np.zeros(0, np.int64), *aligner.keys])
+            aligner.keys.clear()
             at = function.number(own)
             found = at >= 0
             found[found] = keys[at[found]] == own[found]
@@ -344,6 +360,7 @@ def look_up(docs: DataFrame, files: Vocabularies, table: DataFrame, best: np.nda
             if aligner.full:
                 aligner.forget()
                 held = held[:0]
+        aligner.forget()
 
     return map_arrow(docs.select("doc_id", "key", "text"), run, RESULT + ", key string")
 
@@ -362,7 +379,7 @@ def align_tokenizers(docs: DataFrame, files: Vocabularies, id_col: str = "doc_id
     pairs = count_pairs(rows, files, buckets)
     hashes = build_hash(pairs, fan_in)
     counted = materialise(hashes.join(count_vectors(pairs, hashes, fan_in), "bucket"), "pair_counts")
-    best = best_counts(counted, Aligner(files).n_b)
+    best = best_counts(counted, aligner_of(files).n_b)
     shards: list[list[int]] = [[]]
     size = 0
     for r in sorted(counted.select("bucket", "n").collect()):
