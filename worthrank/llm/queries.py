@@ -16,6 +16,7 @@ from worthrank.llm.exact_dedup import dedup_exact
 from worthrank.llm.html_text import extract
 from worthrank.llm.jaccard_join import link_documents
 from worthrank.llm.langid import identify, learn_references
+from worthrank.llm.lexical_search import rank_documents
 from worthrank.llm.line_dedup import dedup_lines
 from worthrank.llm.mixing import mix
 from worthrank.llm.packing import pack_pieces, token_pieces
@@ -148,6 +149,30 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+LLM_SQL["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT CAST(count(*) FILTER (WHERE len(t) > 0) AS BIGINT) AS nd, CAST(sum(len(t)) AS BIGINT) AS nt FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+o AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM o, s GROUP BY term),
+i AS (SELECT o.r, o.term, w.w * ((1000000000 * o.tf) // (1000 * o.tf + 20 * (50 + (50 * CAST(len(d.t) AS BIGINT) * s.nd) // s.nt))) AS part
+      FROM o JOIN w USING (term) JOIN d USING (r) CROSS JOIN s),
+f AS (SELECT q.item_id, d.doc_id, i.r, CAST(sum(i.part) AS BIGINT) AS score FROM q JOIN i USING (term) JOIN d USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM f WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 @query
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents").select("doc_id", "text"))
