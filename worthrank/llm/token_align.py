@@ -30,6 +30,8 @@ from worthrank.session import ship_package
 
 #: Segments of text, and characters in them, that a task remembers; characters of texts that are handled together.
 SEGMENTS, SEGMENT_CHARS, BATCH_CHARS = 300_000, 20_000_000, 2_000_000
+#: Characters of new segments that are tokenised together: longer texts take more time a character.
+JOINED_CHARS = 20_000
 #: A space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -151,7 +153,7 @@ class Aligner:
                 continue
             joined.append(s)
             size += len(s)
-            if size > BATCH_CHARS // 4:
+            if size > JOINED_CHARS:
                 self._learn(joined)
                 joined, size = [], 0
         if joined:
