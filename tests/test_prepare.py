@@ -89,3 +89,23 @@ def test_hash_split_is_narrow_and_close_to_the_fraction(spark):
     assert "Exchange" not in s._jdf.queryExecution().executedPlan().toString()
     again = hash_split(df, "doc_id", 0.2).filter("split = 'val'").count()
     assert again == n_val
+
+
+def test_poisson_resample_balances_classes_without_a_shuffle(spark):
+    from worthrank.operators.prepare import poisson_cdf, poisson_resample
+
+    assert poisson_cdf(0.5)[:2] == pytest.approx([0.6065306597, 0.9097959895])
+    assert poisson_cdf(16.0)[-1] == pytest.approx(1.0, abs=1e-12) and poisson_cdf(0.0) == [1.0, 1.0][:len(poisson_cdf(0.0))]
+    n, positives = 20000, 40
+    df = spark.range(n).select(F.col("id"), F.when(F.col("id") < positives, 1).when(F.col("id") % 2 == 0, None).otherwise(0).alias("label"), F.lit("x").alias("part"))
+    df = df.drop("part")
+    out = poisson_resample(df, "label", "id", seed=5)
+    by = {r["cls"]: r["count"] for r in out.groupBy((F.coalesce("label", F.lit(0)) == 1).alias("cls")).count().collect()}
+    for cls in (True, False):  # N / 2 each, within 5 standard deviations
+        assert abs(by[cls] - n / 2) < 5 * (n / 2) ** 0.5
+    assert out.where("id < 40").groupBy("id").count().agg(F.min("count")).first()[0] > 150  # a mean of 250 a row
+    assert out.select("id", "part", "draw").distinct().count() == out.count()
+    assert sorted(map(tuple, poisson_resample(df.repartition(7), "label", "id", seed=5).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    only = poisson_resample(df.where("label = 1"), "label", "id")
+    assert only.count() > 0 and poisson_resample(df.limit(0), "label", "id").count() == 0

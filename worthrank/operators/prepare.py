@@ -136,6 +136,44 @@ def weighted_resample(df: DataFrame, label_col: str, id_col: str, strategy: str
             .select("draw_id", *[c for c in df.columns]))
 
 
+#: The mean of one Poisson count; larger means are sums of several counts.
+POISSON_MEAN = 16.0
+
+
+def poisson_cdf(mean: float) -> list[float]:
+    """P(X <= j) from j = 0 on, as far as a double can tell it from 1."""
+    term, cdf = math.exp(-mean), [math.exp(-mean)]
+    while term > 1e-18 or len(cdf) <= mean:
+        term *= mean / len(cdf)
+        cdf.append(cdf[-1] + term)
+    return cdf
+
+
+def poisson_resample(df: DataFrame, label_col: str, id_col: str, uniform: Callable[[Column, Column], Column] | None = None,
+                     seed: int = 42) -> DataFrame:
+    """T3 without a shuffle: every row is repeated Poisson(N / (2 n_class)) times, so that each class has N / 2 draws in
+    expectation, independent of each other. Adds ``part`` and ``draw``, which together number the copies of a row.
+
+    The two class sizes are the only aggregate and all that the driver sees. A count comes from ``uniform(id, part)``, a
+    number in [0, 1) (a seeded hash without), by the inverse distribution function, so reruns and retries agree and rows stay
+    where they are. A mean above ``POISSON_MEAN`` is cut into equal parts that are counted apart, so the work follows
+    the copies that a rare class gets. A class without rows has no copies."""
+    uniform = uniform or (lambda i, part: F.pmod(F.xxhash64(F.lit(seed), i, part), F.lit(1 << 52)) / F.lit(float(1 << 52)))
+    sizes = class_counts(df, label_col).first()
+    own = binarize(label_col)
+    parts, cdf = F.lit(0), F.array().cast("array<double>")
+    for value, count in ((0, sizes["n0"]), (1, sizes["n1"])):
+        if count:
+            mean = sizes["n"] / (2 * count)
+            n = math.ceil(mean / POISSON_MEAN)
+            parts = F.when(own == value, F.lit(n)).otherwise(parts)
+            cdf = F.when(own == value, F.lit(poisson_cdf(mean / n))).otherwise(cdf)
+    out = df.withColumn("_cdf", cdf).withColumn("part", F.explode(F.sequence(F.lit(1), parts)))
+    out = out.withColumn("_u", uniform(F.col(id_col), F.col("part")))
+    out = out.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
+    return out.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns, "part", "draw")
+
+
 def ratio_sample(df: DataFrame, label_col: str, id_col: str, ratio: float,
                  strategy: str = "two_level", key: KeyFn | None = None, seed: int = 42) -> DataFrame:
     """T4: keep every positive and the first ``floor(ratio * n1)`` negatives in keyed order."""

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from worthrank.operators.metrics import ranking_metrics
 from worthrank.operators.prepare import dedupe_last
+from worthrank.operators.validate import split_output_check
 from worthrank.plans.ranking_queries import PER_TOPIC_SELECT, per_topic_sql
 from worthrank.plans.registry import register, round6
 from worthrank.plans.validation_queries import NUMBERED_G1_SQL, TWEET_ID_BASE, numbered_g1
 from worthrank.session import scratch_path
-from worthrank.functions.scalar import binarize, word_count
-from worthrank.sinks.writers import (write_debate_sentences, write_ranking, write_ranking_2020, write_transcripts,
-                                     write_tweets)
-from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, parse_gold_2020, parse_predictions_2020,
+from worthrank.functions.scalar import binarize, split_file_name, word_count
+from worthrank.sinks.writers import (append_runs, read_run_log, write_debate_sentences, write_named_rankings, write_ranking,
+                                     write_ranking_2020, write_transcripts, write_tweets)
+from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, parse_gold_2020, parse_predictions_2019, parse_predictions_2020,
                                        read_debate_sentences, read_lines,
                                        read_predictions_2019, read_predictions_2020, read_transcripts, read_tweets)
 from worthrank.sources.testdata import table
@@ -184,7 +185,7 @@ SELECT {PER_TOPIC_SELECT} FROM m"""
           "with their global line position, checked, joined by tweet id and scored as one ranking "
           "(ties in file order, R from the gold file)")
 def q_file_based_evaluation_2020(spark, sf_dir):
-    from worthrank.operators.validate import check_coverage, line_violations_2020
+    from worthrank.operators.validate import check_coverage, check_gold, line_violations_2020
 
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     tweets = d.select(F.col("source").alias("topic_id"),
@@ -199,7 +200,7 @@ def q_file_based_evaluation_2020(spark, sf_dir):
     write_tweets(tweets, gold_path)
     # the run file lists tweets by topic and id; equal scores keep that physical order
     write_ranking_2020(tweets.orderBy("topic_id", "tweet_id"), run_path)
-    gold = parse_gold_2020(read_lines(spark, gold_path, doc_from="directory"))
+    gold = check_gold(parse_gold_2020(read_lines(spark, gold_path, doc_from="directory")), 6, "tweet_id")
     run_lines = read_lines(spark, run_path, doc_from="directory")
     bad = line_violations_2020(run_lines).first()
     if bad is not None:
@@ -218,6 +219,41 @@ def q_file_based_evaluation_2020(spark, sf_dir):
     return round6(per)
 
 
+@register("named_split_files", "WITH " + NUMBERED_G1_SQL + """
+SELECT topic_id || '_out.tsv' AS file_name, COUNT(*) AS n_original, COUNT(*) AS n_produced, CAST(arg_min(ln, pos) AS INTEGER) AS first_id,
+       arg_min(ln, pos) = 1 AS ok, CAST(printf('%.5f', round_even(arg_max(score, ln), 5)) AS DOUBLE) AS last_score
+FROM n GROUP BY topic_id""", "K4 V5 F4 L2: one file <document>_out.tsv per document by staging and rename, listed and read back: row "
+          "counts agree with the originals and every file starts with id 1")
+def q_named_split_files(spark, sf_dir):
+    n = numbered_g1(spark, sf_dir).select(F.col("topic_id").alias("doc_id"), F.col("ln").alias("line_number"), "score")
+    path = scratch_path(spark, "split-files")
+    write_named_rankings(n, path)
+    lines = parse_predictions_2019(read_lines(spark, path)).withColumn("file_name", F.concat("doc_id", F.lit(".tsv")))
+    produced = lines.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_produced"), F.min_by("line_number", "pos").alias("first_id"),
+                                              F.max_by("score", "pos").alias("last_score"))
+    original = n.groupBy(split_file_name("doc_id").alias("file_name")).agg(F.count(F.lit(1)).alias("n_original"))
+    return split_output_check(original, produced, "file_name").select("file_name", "n_original", "n_produced", "first_id", "ok", "last_score")
+
+
+@register("run_log_recent", """
+SELECT event_type AS phase, CAST(event_id AS VARCHAR) AS run, CAST(user_id AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS run_ts
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 200""",
+          "K6 L5: a run log written by concurrent appends, one of them retried, and its 200 newest records read back by a bounded top-k")
+def q_run_log_recent(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = table(spark, sf_dir, "events")
+    runs = e.select(F.col("ts").cast("timestamp").alias("run_ts"), F.col("event_type").alias("phase"),
+                    F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("settings"),
+                    F.create_map(F.lit("elapsed_seconds"), F.col("value").cast("string"), F.lit("run"), F.col("event_id").cast("string")).alias("stats"),
+                    (F.col("event_id") % 4).alias("writer"))
+    path = scratch_path(spark, "run-log")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: append_runs(runs.where(F.col("writer") == k), path, f"writer-{k}"), [0, 1, 2, 3, 0]))
+    log = read_run_log(spark, path, newest=200, ties=[F.col("stats")["run"].cast("bigint")])
+    return log.select("phase", F.col("stats")["run"].alias("run"), F.col("settings")["user_id"].alias("user_id"), F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"))
+
+
 GOLD_LINE_SQL = """
 SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'x' ELSE CAST(doc_id + 1 AS VARCHAR) END AS a,
        CASE WHEN doc_id % 7 = 2 THEN 3 WHEN doc_id % 7 = 5 THEN 5 ELSE 4 END AS n_fields,

@@ -18,8 +18,8 @@ from worthrank.plans.registry import register, round6
 from worthrank.session import scratch_path
 from worthrank.sinks.writers import save_model
 from worthrank.sources.testdata import table
-from worthrank.streaming.scoring import (linear_head_stream, read_table_stream, run_to_files, score_stream,
-                                        window_counts)
+from worthrank.streaming.scoring import (linear_head_stream, read_table_stream, run_arrivals, run_to_files,
+                                        score_stream, window_counts)
 
 
 def labelled_texts(spark, sf_dir):
@@ -58,6 +58,7 @@ def score_checks(scored, again=None):
     return out.drop("score", "prediction")
 
 
+END_MARK = "end of the stream"
 VAL_SQL = """SELECT {cols}, row_number() OVER (ORDER BY {key}, {id}) AS k, COUNT(*) OVER () AS n FROM {source}"""
 
 
@@ -136,6 +137,35 @@ def q_stream_window_counts(spark, sf_dir):
                        "event_type", "n", "n_positive")
 
 
+@register("stream_late_rows", """
+WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+q AS (SELECT e.*, CAST(floor(4.0 * (epoch_us(ts) - lo) / (hi - lo + 1)) AS INTEGER) AS part FROM events e, b),
+a AS (SELECT *, part <= 1 AND event_id % 10 = 3 AS delayed, date_trunc('hour', ts) AS w FROM q),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM a WHERE part <= 1 AND NOT delayed),
+d AS (SELECT a.*, delayed AND w + INTERVAL 1 HOUR <= mark AS late FROM a, m)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, COUNT(*) AS n,
+       CAST(SUM(CASE WHEN value > 250 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive FROM d WHERE NOT late GROUP BY 1, 2
+UNION ALL
+SELECT '', 'dropped as late', COUNT(*), 0 FROM d WHERE late""",
+          "X2: append mode over several arrivals, one of them delayed: closed windows are emitted once, rows "
+          "behind the watermark are dropped and counted")
+def q_stream_late_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = e.select(F.min(micros), F.max(micros)).first()
+    part = F.floor(F.lit(4.0) * (micros - F.lit(lo)) / F.lit(hi - lo + 1)).cast("int")
+    delayed = (part <= 1) & (F.col("event_id") % 10 == 3)
+    arrivals = [e.where((part == k) & ~delayed) for k in range(4)]
+    arrivals.insert(2, e.where(delayed))
+    # the end of the stream: a row so far ahead that every other window closes
+    end = e.limit(1).select("event_id", F.lit(END_MARK).alias("event_type"), "value", F.timestamp_micros(F.lit(hi + 86_400_000_000)).cast(e.schema["ts"].dataType).alias("ts"))
+    counts, progress = run_arrivals([*arrivals, end], lambda s: window_counts(s, "ts", "event_type", F.col("value") > 250), "late")
+    counts = counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "n_positive")
+    late = e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("window_start"), F.lit("dropped as late").alias("event_type"),
+                                                      (F.col("n") - counts.select(F.sum("n")).scalar()).alias("n"), F.lit(0).cast("bigint").alias("n_positive"))
+    return counts.unionByName(late)
+
+
 @register("stream_linear_head_score", """
 WITH e AS (SELECT vec_id, label, CASE WHEN label = 1 THEN 1 ELSE 0 END AS cls, embedding FROM embeddings),
 x AS (SELECT vec_id, label, cls, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM e),

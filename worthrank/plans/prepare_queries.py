@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import binarize, lcg_key
-from worthrank.operators.prepare import (class_weights, exact_split, predefined_split, project_corpus,
+from worthrank.operators.prepare import (class_weights, exact_split, poisson_resample, predefined_split, project_corpus,
                                          ratio_sample, union_corpora, weighted_resample, with_class_weight)
 from worthrank.plans.ranking_queries import G1_SQL
 from worthrank.plans.registry import register, round6
@@ -111,6 +111,22 @@ def q_weighted_resample(spark, sf_dir):
     return weighted_resample(table(spark, sf_dir, "labels"), "quality", "doc_id", key=lcg_key)
 
 
+@register("poisson_resample", f"""
+WITH l AS (SELECT doc_id, quality, toxic, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS cls FROM labels),
+m AS (SELECT cls, CAST(ceil(mean / 16.0) AS INTEGER) AS parts, mean / ceil(mean / 16.0) AS mean
+      FROM (SELECT cls, CAST((SELECT COUNT(*) FROM l) AS DOUBLE) / (2 * COUNT(*)) AS mean FROM l GROUP BY cls)),
+p AS (SELECT cls, j, SUM(exp(j * ln(mean) - mean - lgamma(j + 1))) OVER (PARTITION BY cls ORDER BY j) AS upto
+      FROM (SELECT cls, mean, unnest(range(100)) AS j FROM m)),
+r AS (SELECT l.*, unnest(range(1, m.parts + 1)) AS part FROM l JOIN m USING (cls)),
+u AS (SELECT r.*, {LCG_SQL.format(x='doc_id * 31 + part')} / 2147483648.0 AS u FROM r),
+n AS (SELECT u.doc_id, u.quality, u.toxic, u.part, COUNT(*) AS n FROM u JOIN p ON p.cls = u.cls AND p.upto <= u.u GROUP BY ALL)
+SELECT doc_id, quality, toxic, CAST(part AS INTEGER) AS part, CAST(unnest(range(1, n + 1)) AS INTEGER) AS draw FROM n""",
+          "T3 A1: Poisson mode: each row repeated by a count from its own key, both classes with N / 2 draws in expectation, no shuffle of rows")
+def q_poisson_resample(spark, sf_dir):
+    return poisson_resample(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "toxic", "doc_id",
+                            uniform=lambda i, part: lcg_key(i * 31 + part).cast("double") / F.lit(2147483648.0))
+
+
 @register("ratio_sample", f"""
 WITH l AS (SELECT doc_id, quality, toxic, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS cls FROM labels),
 r AS (SELECT l.*, row_number() OVER (PARTITION BY cls ORDER BY {LCG_SQL.format(x='doc_id')}, doc_id) - 1 AS ci FROM l)

@@ -10,14 +10,16 @@ documents), and a very large document is spread over several tasks instead of on
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worthrank.session import tasks_for
-from worthrank.functions.scalar import DEFAULT_RUN_ID, SCORE_DECIMALS, fixed, hms, round_half_even
+from worthrank.functions.scalar import DEFAULT_RUN_ID, SCORE_DECIMALS, SPLIT_SUFFIX, fixed, hms, round_half_even
 
 RUN_LOG_SCHEMA = T.StructType([
     T.StructField("run_ts", T.TimestampType()),
@@ -98,20 +100,76 @@ def save_model(model, path: str) -> str:
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a function from text to its paths."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+def _move(fs, source, target) -> bool:
+    """Rename to a name that isn't there yet. False if it is (or comes up meanwhile)."""
+    fs.mkdirs(target.getParent())
+    return not fs.exists(target) and bool(fs.rename(source, target))
+
+
+def append_runs(records: DataFrame, path: str, append_id: str | None = None) -> bool:
+    """K6: append records of RUN_LOG_SCHEMA to the log. They are written beside the log and renamed into it as a folder of their
+    own, so readers see all of an append or nothing, and appends at the same time don't touch each other's files. An
+    ``append_id`` that is already in the log is not appended again (False), which makes retries safe."""
+    spark = records.sparkSession
+    fs, of = _files(spark, path)
+    name = append_id or uuid.uuid4().hex
+    target, staging = of(f"{path}/append={name}"), f"{path}/_staging-{name}-{uuid.uuid4().hex}"
+    if fs.exists(target):
+        return False
+    records.select(*[f.name for f in RUN_LOG_SCHEMA.fields]).write.parquet(staging)
+    if _move(fs, of(staging), target):
+        return True
+    fs.delete(of(staging), True)
+    return False
+
+
 def append_run_log(spark: SparkSession, path: str, phase: str, settings: Mapping[str, object],
                    stats: Mapping[str, object], run_ts: _dt.datetime | None = None) -> None:
-    """K6: append one run record ``(run_ts, phase, settings, stats)`` to a Parquet table."""
+    """K6: append one run record ``(run_ts, phase, settings, stats)`` to the log."""
     row = (run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), phase,
            {str(k): str(v) for k, v in settings.items()}, {str(k): str(v) for k, v in stats.items()})
-    spark.createDataFrame([row], RUN_LOG_SCHEMA).write.mode("append").parquet(path)
+    append_runs(spark.createDataFrame([row], RUN_LOG_SCHEMA).coalesce(1), path)
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """K6 + L5: the run log, newest record first, with elapsed time as ``h:mm:ss`` when the
-    stats hold ``elapsed_seconds``."""
+def read_run_log(spark: SparkSession, path: str, newest: int | None = None, ties: Sequence[str | Column] = ()) -> DataFrame:
+    """K6 + L5: the run log, newest record first (equal times by ``ties``, descending), with elapsed time as ``h:mm:ss`` when
+    the stats hold ``elapsed_seconds``. With ``newest`` only so many records, by a top-k in every task: nothing
+    but these is sorted."""
     log = spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
     secs = F.col("stats")["elapsed_seconds"].try_cast("double")
-    return log.withColumn("elapsed", hms(secs)).orderBy(F.desc("run_ts"))
+    out = log.withColumn("elapsed", hms(secs)).orderBy(F.desc("run_ts"), *[F.desc(t) if isinstance(t, str) else t.desc() for t in ties])
+    return out if newest is None else out.limit(newest)
+
+
+def write_named_rankings(df: DataFrame, path: str, id_col: str = "line_number", score_col: str = "score", doc_col: str = "doc_id") -> list[str]:
+    """K1 + K4: one file ``<document>_out.tsv`` of ``id TAB score`` lines for each document, in the order of the ids. Returns the file names.
+
+    First all documents are written to a staging folder, each by one task that streams its sorted lines (a file has
+    one writer; what one holds is a sort buffer that spills). Then every file is renamed. A call that finds a staging
+    folder whose write was finished, by a driver that died between the two, goes on with the renames and writes nothing."""
+    spark = df.sparkSession
+    fs, of = _files(spark, path)
+    staging = f"{path}/_staging"
+    if not fs.exists(of(f"{staging}/_SUCCESS")):
+        lines = df.select(doc_col, F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("id"), score_text(score_col).alias("score"))
+        lines = lines.repartition(_write_partitions(df), doc_col).sortWithinPartitions(doc_col, "_id").drop("_id")
+        lines.write.mode("overwrite").partitionBy(doc_col).option("sep", "\t").option("quote", "").csv(staging)
+    for folder in fs.listStatus(of(staging)):
+        if folder.isDirectory():
+            doc = unquote(folder.getPath().getName().split("=", 1)[1])
+            for part in fs.listStatus(folder.getPath()):
+                target = of(f"{path}/{doc.removesuffix('.tsv')}{SPLIT_SUFFIX}")
+                if not _move(fs, part.getPath(), target):
+                    fs.delete(target, False)
+                    fs.rename(part.getPath(), target)
+    fs.delete(of(staging), True)
+    return sorted(f.getPath().getName() for f in fs.listStatus(of(path)) if f.getPath().getName().endswith(SPLIT_SUFFIX))
 
 
 def metric_report(per_doc: DataFrame, means: DataFrame, metric_cols: Sequence[str],

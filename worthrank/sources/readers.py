@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worthrank.functions.scalar import strip
 from worthrank.operators.ranking import rank_within
+from worthrank.session import checkpoint_dir
 
 TRANSCRIPT_SCHEMA = T.StructType([
     T.StructField("line_number", T.IntegerType()),
@@ -129,6 +130,23 @@ def read_debate_sentences(spark: SparkSession, paths: str | Sequence[str], all_s
             .option("multiLine", True).csv(split_paths(paths)))
 
 
+def read_corpus(spark: SparkSession, paths: str | Sequence[str], corpus: str, phase: str = "train") -> DataFrame:
+    """The source of a corpus and phase. ``transcripts``: labelled lines, one file a document (S1). ``tweets``: headered posts
+    (S3). ``debates``: sentences with a verdict for training and validation (S4), all sentences without one to be scored (S5).
+    ``curated``: labelled sentences (S6), training and validation only."""
+    if phase not in ("train", "val", "test"):
+        raise ValueError(f"unknown phase {phase!r}")
+    if corpus == "transcripts":
+        return read_transcripts(spark, paths)
+    if corpus == "tweets":
+        return read_tweets(spark, paths)
+    if corpus == "debates":
+        return read_debate_sentences(spark, paths, all_sentences=phase == "test")
+    if corpus == "curated" and phase != "test":
+        return read_curated_json(spark, paths)
+    raise ValueError(f"no {phase} source of corpus {corpus!r}")
+
+
 def read_curated_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """A JSON list of ``{sentence_id, label, text}`` objects per file."""
     return spark.read.schema(CURATED_SCHEMA).option("multiLine", True).json(split_paths(paths))
@@ -145,13 +163,18 @@ def read_predictions_2020(spark: SparkSession, paths: str | Sequence[str]) -> Da
     return _tsv(spark, PRED_2020_SCHEMA, "raw").csv(split_paths(paths))
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str = "two_level",
+#: Splits of text files (about a hundred bytes each) up to which their line numbers are broadcast.
+SPLITS_LIMIT = 2_000_000
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str = "offsets",
                doc_from: str = "file") -> DataFrame:
     """Raw lines with their 1-based position in the document: ``doc_id, path, pos, line``.
 
-    A text file may be split over several tasks; the file order is recovered from
-    (file, split start, row order within the split) and numbered per file with the skew-safe
-    ranking scan, so one very large file does not land in a single task.
+    A text file may be split over several tasks. ``offsets`` counts the lines of every split, adds up the counts along
+    the splits of a document and gives each line the sum before its split plus its place in it: no line is sorted or
+    shuffled, only the table of splits is, which is broadcast up to ``SPLITS_LIMIT`` of them. The lines are checkpointed
+    once, so both reads see the same rows. Other strategies number the lines by a sort (``rank_within``).
     """
     raw = spark.read.text(split_paths(paths)).select(
         F.col("_metadata.file_path").alias("path"),
@@ -160,16 +183,26 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], strategy: str =
         F.monotonically_increasing_id().alias("_seq"),
         F.col("value").alias("line"))
     if doc_from in ("partition", "directory"):
-        # a document is a directory (``doc_id=...`` or the output directory of one write) that may
-        # hold several part files; the part files of a range-partitioned or sorted write are in
-        # line order by name
+        # a document is a directory (``doc_id=...`` or the output directory of one write) that may hold several part files;
+        # those of a range-partitioned or sorted write are in line order by their part number
         pattern = r"/doc_id=([^/]+)/[^/]*$" if doc_from == "partition" else r"/([^/]+)/[^/]*$"
         raw = raw.withColumn("doc_id", F.regexp_extract("path", pattern, 1))
-        numbered = rank_within(raw, ["doc_id"], ["path", "_block", "_seq"], strategy=strategy)
+        groups, order = ["doc_id"], ["_part", "path", "_block"]
     else:
         raw = raw.withColumn("doc_id", F.regexp_replace("_name", r"\.[^.]*$", ""))
-        numbered = rank_within(raw, ["path"], ["_block", "_seq"], strategy=strategy)
-    return numbered.select("doc_id", "path", F.col("row_number").alias("pos"), "line")
+        groups, order = ["path"], ["_block"]
+    raw = raw.withColumn("_part", F.regexp_extract("_name", r"^part-(\d+)", 1).try_cast("bigint")).drop("_name")
+    if strategy != "offsets":
+        numbered = rank_within(raw, groups, [*order, "_seq"], strategy=strategy)
+        return numbered.select("doc_id", "path", F.col("row_number").alias("pos"), "line")
+    checkpoint_dir(spark)
+    held = raw.checkpoint(eager=True)
+    splits = held.groupBy("doc_id", "path", "_part", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    before = Window.partitionBy(*groups).orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset")).checkpoint(eager=True)
+    if offsets.count() <= SPLITS_LIMIT:
+        offsets = F.broadcast(offsets)
+    return held.join(offsets, ["path", "_block"]).select("doc_id", "path", (F.col("_seq") + F.col("_offset")).alias("pos"), "line")
 
 
 def parse_gold_2019(lines: DataFrame) -> DataFrame:

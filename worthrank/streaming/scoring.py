@@ -10,6 +10,8 @@ Checkpoints and sink files live under the shared checkpoint directory.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,28 @@ def run_to_files(stream: DataFrame, name: str, output_mode: str = "append") -> s
     return out
 
 
+def run_arrivals(arrivals: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, list[dict]]:
+    """X2 as a job that is started again whenever data has come: each frame is written to the stream's folder, then the stream,
+    ``build`` of what its folder holds, runs in append mode from the same checkpoint until all is processed. State and
+    watermark go on from run to run. Returns all rows that were ever emitted, and the progress of every micro-batch that
+    has a state operator: ``rows`` read, ``state_rows`` kept, ``late_groups`` dropped."""
+    spark = arrivals[0].sparkSession
+    folder, out, ckpt = (scratch_path(spark, f"{name}-{part}") for part in ("in", "out", "ckpt"))
+    progress: list[dict] = []
+    for frame in arrivals:
+        frame.write.mode("append").parquet(folder)
+        stream = build(spark.readStream.schema(frame.schema).parquet(folder))
+        query = (stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+                 .format("parquet").option("path", out).outputMode("append").start())
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise RuntimeError(str(query.exception()))
+        for p in query.recentProgress:
+            for state in p.stateOperators:
+                progress.append({"rows": p.numInputRows, "state_rows": state.numRowsTotal, "late_groups": state.numRowsDroppedByWatermark})
+    return spark.read.schema(stream.schema).parquet(out), progress
+
+
 def score_stream(stream: DataFrame, model, keep: list[str]) -> DataFrame:
     """Stateless scoring of a stream, score = p1 - p0."""
     from worthrank.operators.models import score
