@@ -57,7 +57,7 @@ def test_candidates_fitted_together_are_those_fitted_alone(spark):
     losses = [t[2] for t in together.trace if t[1] == 0]
     assert losses == sorted(losses, reverse=True)
     best = together.best()
-    accs = {(s, c): a for s, c, _, a in together.trace}
+    accs = {(s, c): a for s, c, _, a, _ in together.trace}
     assert accs[best] == max(accs.values()) and best == min(k for k, a in accs.items() if a == accs[best])
     held.unpersist()
 

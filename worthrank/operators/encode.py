@@ -41,16 +41,31 @@ def build_vocabulary(df: DataFrame, text_col: str, strategy: str = "two_level")
     return ranked.withColumnRenamed("row_number", "id")
 
 
-def encode(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> DataFrame:
+#: Tokens that are answered from a broadcast table of this many rows, instead of being shuffled to meet their id.
+HEAVY_TOKENS = 2_000
+
+
+def split_join(exploded: DataFrame, table: DataFrame, key: str, rank: str, values: list[str], heavy: int) -> DataFrame:
+    """``exploded`` joined to ``table`` on ``key``, with ``rank`` and ``values``. ``rank`` numbers the keys by falling frequency, so the
+    keys up to ``heavy`` are those that would make hot tasks: they meet a broadcast of ``heavy`` rows where they are, and
+    only the others, of which none is frequent, are shuffled by key."""
+    cols = [key, rank, *values]
+    frequent = F.broadcast(table.where(F.col(rank) <= heavy).select(*cols))
+    easy = exploded.join(frequent, key)
+    rest = exploded.join(frequent.select(key), key, "left_anti").join(table.where(F.col(rank) > heavy).select(*cols), key)
+    return easy.unionByName(rest)
+
+
+def encode(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame, heavy: int = HEAVY_TOKENS) -> DataFrame:
     """Token ids per text, in text order: ``keys..., ids ARRAY<BIGINT>``.
 
-    Tokens are exploded with their position and equi-joined to the vocabulary (hot tokens are
-    split by AQE's skew-join handling; a small vocabulary is broadcast by AQE on measured size),
-    then regrouped per text. A group is one text, bounded by that text's own length.
+    ``vocab`` numbers the tokens by falling frequency (``build_vocabulary``). Tokens are exploded with their position; the
+    ``heavy`` most frequent get their ids from a broadcast of as many rows, the others by a join (``split_join``). Then
+    they are regrouped per text. A group is one text, bounded by that text's own length.
     """
     exploded = df.select(*keys, F.posexplode(tokens(text_col)).alias("pos", "token"))
-    ided = exploded.join(vocab.select("token", "id"), "token")
-    grouped = ided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
+    ided = split_join(exploded, vocab.select("token", F.col("id").alias("_id")), "token", "_id", [], heavy)
+    grouped = ided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_id").alias("id")))).alias("_p"))
     enc = grouped.select(*keys, F.transform("_p", lambda s: s["id"]).alias("ids"))
     # texts without any token still get an (empty) row
     return df.select(*keys).join(enc, keys, "left").withColumn(

@@ -42,6 +42,47 @@ class Sums:
     val_right: np.ndarray
 
 
+class Dense:
+    """A batch of vectors of the same length, with a constant 1 at the end."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        self.x = np.ones((batch.num_rows, width))
+        self.x[:, :-1] = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width - 1)
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return self.x @ weights.T
+
+    def back(self, factors: np.ndarray) -> np.ndarray:
+        """The sum of the vectors times each column of factors."""
+        return factors.T @ self.x
+
+
+class Indexed:
+    """A batch of vectors given by the numbers (``index``) and values (``features``) of their entries."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        self.width, self.n = width, batch.num_rows
+        counts = np.diff(batch.column("features").offsets.to_numpy())
+        self.row = np.repeat(np.arange(self.n), counts)
+        self.at, self.value = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("index", "features"))
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.row, weights=self.value * w[self.at], minlength=self.n) + w[-1] for w in weights], axis=1)
+
+    def back(self, factors: np.ndarray) -> np.ndarray:
+        out = np.stack([np.bincount(self.at, weights=self.value * f[self.row], minlength=self.width) for f in factors.T])
+        out[:, -1] += factors.sum(axis=0)
+        return out
+
+
+def indexed_rows(df: DataFrame, label_col: str = "label", weight_col: str | None = None, split_col: str | None = None) -> DataFrame:
+    """As ``training_rows``, for rows with ``index`` and ``features`` (``features.indexed_texts``); the number of features isn't in them."""
+    val = F.lit(False) if split_col is None else F.coalesce(F.col(split_col) == "val", F.lit(False))
+    weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))
+    rows = df.select("features", "index", binarize(label_col).alias("label"), weight.alias("weight"), val.alias("val")).where(val | (F.col("weight") > 0))
+    return rows.repartition(tasks_for(rows)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def training_rows(df: DataFrame, vec_col: str, label_col: str = "label", weight_col: str | None = None, split_col: str | None = None) -> DataFrame:
     """(features, label, weight, val): what a scan reads, dealt out by the number of rows and persisted for the
     length of a fit (unpersist it then). Rows whose vector is null, holds a null or non-finite value, or is not as long as
@@ -81,17 +122,16 @@ def scan(rows: DataFrame, weights: np.ndarray) -> Sums:
         gradient, loss, right = np.zeros(held.shape), np.zeros(count), np.zeros(count, np.int64)
         weight, n_val = 0.0, 0
         for batch in batches:
-            x = np.ones((batch.num_rows, width))
-            x[:, :-1] = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width - 1)
-            y, w = batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy()
-            val = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            z = x @ held.T
-            right += ((z[val] > 0) == (y[val, None] > 0)).sum(axis=0)
+            x = (Indexed if "index" in batch.schema.names else Dense)(batch, width)
+            y, w = batch.column("label").to_numpy().astype(float)[:, None], batch.column("weight").to_numpy()[:, None]
+            val = batch.column("val").to_numpy(zero_copy_only=False).astype(bool)
+            w = np.where(val[:, None], 0.0, w)
+            z = x.dot(held)
+            right += ((z > 0) == (y > 0))[val].sum(axis=0)
             n_val += int(val.sum())
-            x, y, w, z = x[~val], y[~val, None], w[~val, None], z[~val]
             small = np.exp(-np.abs(z))
             p = np.where(z >= 0, 1.0, small) / (1.0 + small)
-            gradient += (w * (p - y)).T @ x
+            gradient += x.back(w * (p - y))
             loss += (w * (np.log1p(small) + np.maximum(z, 0.0) - z * y)).sum(axis=0)
             weight += float(w.sum())
         node = TaskContext.get().partitionId()
@@ -117,18 +157,20 @@ def scan(rows: DataFrame, weights: np.ndarray) -> Sums:
     return Sums(gradient / weight if weight else gradient, loss / weight if weight else loss * np.nan, n_val, right)
 
 
-TRACE_SCHEMA = "step int, candidate int, loss double, val_acc double"
+TRACE_SCHEMA = "step int, candidate int, loss double, val_acc double, gradient double"
 
 
 @dataclass(frozen=True)
 class Fit:
     """``weights[s]``: the candidates' weights after s steps, from the start on. ``trace``: a row of TRACE_SCHEMA per step (from
-    1) and candidate: the training loss that the step starts from (A14), and the validation accuracy of the weights
-    after it."""
+    1) and candidate: the training loss that the step starts from (A14), the validation accuracy of the weights
+    after it, and the length of the objective's gradient before it. ``converged``: whether all candidates' gradients
+    came below the tolerance."""
 
     candidates: Sequence[Candidate]
     weights: list[np.ndarray]
-    trace: list[tuple[int, int, float, float | None]]
+    trace: list[tuple[int, int, float, float | None, float]]
+    converged: bool = False
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.trace, TRACE_SCHEMA)
@@ -136,29 +178,35 @@ class Fit:
     def best(self) -> tuple[int, int]:
         """(step, candidate) with the highest validation accuracy, the first of equal ones; without validation rows the
         last step of the first candidate."""
-        held = [(-acc, step, c) for step, c, _, acc in self.trace if acc is not None]
+        held = [(-acc, step, c) for step, c, _, acc, _ in self.trace if acc is not None]
         return min(held)[1:] if held else (len(self.weights) - 1, 0)
 
 
-def fit_heads(rows: DataFrame, candidates: Sequence[Candidate], steps: int, start: np.ndarray | None = None) -> Fit:
-    """``steps`` full-batch steps of all candidates over ``training_rows``, ``steps + 1`` scans whatever the number of
-    candidates. ``start``: weights to go on from, for all candidates or one row for each; zeros without."""
-    width = feature_count(rows) + 1
-    begin = np.zeros(width) if start is None else np.asarray(start, float)
+def fit_heads(rows: DataFrame, candidates: Sequence[Candidate], steps: int, start: np.ndarray | None = None, width: int | None = None,
+              tolerance: float = 0.0) -> Fit:
+    """``steps`` full-batch steps of all candidates over ``training_rows`` or ``indexed_rows`` (these with their ``width``, the
+    number of features), ``steps + 1`` scans whatever the number of candidates. ``start``: weights to go on from, for
+    all candidates or one row for each; zeros without. Ends early once no candidate's gradient is longer than ``tolerance``."""
+    size = (feature_count(rows) if width is None else width) + 1
+    begin = np.zeros(size) if start is None else np.asarray(start, float)
     now = np.broadcast_to(begin, (len(candidates), begin.shape[-1])).copy()
-    if now.shape[1] != width and width > 1:
-        raise ValueError(f"weights for {now.shape[1] - 1} features, rows have {width - 1}")
+    if now.shape[1] != size and size > 1:
+        raise ValueError(f"weights for {now.shape[1] - 1} features, rows have {size - 1}")
     rate = np.array([c.rate for c in candidates])[:, None]
     shrink = np.array([c.l2 for c in candidates])[:, None] * np.append(np.ones(now.shape[1] - 1), 0.0)
-    weights, trace = [now], []
+    weights, trace, converged = [now], [], False
     found = scan(rows, now)
     for step in range(1, steps + 1):
-        loss = found.loss
-        now = now - rate * (found.gradient + shrink * now)
+        loss, slope = found.loss, found.gradient + shrink * now
+        length = np.sqrt((slope * slope).sum(axis=1))
+        converged = bool((length <= tolerance).all())
+        if converged:
+            break
+        now = now - rate * slope
         weights.append(now)
         found = scan(rows, now)
-        trace += [(step, c, float(loss[c]), float(found.val_right[c]) / found.val_rows if found.val_rows else None) for c in range(len(candidates))]
-    return Fit(tuple(candidates), weights, trace)
+        trace += [(step, c, float(loss[c]), float(found.val_right[c]) / found.val_rows if found.val_rows else None, float(length[c])) for c in range(len(candidates))]
+    return Fit(tuple(candidates), weights, trace, converged)
 
 
 STATE_SCHEMA = "candidate int, rate double, l2 double, step int, weights array<double>"

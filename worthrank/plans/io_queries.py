@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from worthrank.operators.metrics import ranking_metrics
 from worthrank.operators.prepare import dedupe_last
+from worthrank.operators.sequences import document_sequences
 from worthrank.operators.validate import split_output_check
 from worthrank.plans.ranking_queries import PER_TOPIC_SELECT, per_topic_sql
 from worthrank.plans.registry import register, round6
 from worthrank.plans.validation_queries import NUMBERED_G1_SQL, TWEET_ID_BASE, numbered_g1
 from worthrank.session import scratch_path
 from worthrank.functions.scalar import binarize, split_file_name, word_count
-from worthrank.sinks.writers import (append_runs, read_run_log, write_debate_sentences, write_named_rankings, write_ranking,
-                                     write_ranking_2020, write_transcripts, write_tweets)
+from worthrank.sinks.writers import (append_runs, read_run_log, write_curated_json, write_debate_sentences, write_named_rankings,
+                                     write_ranking, write_ranking_2020, write_transcripts, write_tweets)
 from worthrank.sources.readers import (TWEET_ID, parse_gold_2019, parse_gold_2020, parse_predictions_2019, parse_predictions_2020,
-                                       read_debate_sentences, read_lines,
+                                       read_corpus, read_debate_sentences, read_lines,
                                        read_predictions_2019, read_predictions_2020, read_transcripts, read_tweets)
 from worthrank.sources.testdata import table
 
@@ -254,6 +255,45 @@ def q_run_log_recent(spark, sf_dir):
     return log.select("phase", F.col("stats")["run"].alias("run"), F.col("settings")["user_id"].alias("user_id"), F.date_format("run_ts", "yyyy-MM-dd HH:mm:ss").alias("run_ts"))
 
 
+@register("document_sequences", """
+WITH c AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS doc_id, conv_id, turn, text, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS label FROM conversations)
+SELECT doc_id, row_number() OVER w AS pos, md5(text) AS text_md5, label, COUNT(*) OVER (PARTITION BY doc_id) AS n_in_doc,
+       md5(lag(text) OVER w) AS previous_md5, md5(lead(text) OVER w) AS next_md5
+FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY conv_id, turn)""",
+          "S2: documents as sequences with their content: position, length, text before and after; one document holds a third of all rows")
+def q_document_sequences(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    docs = c.select(F.when(F.col("conv_id") % 3 == 0, 0).otherwise(F.col("conv_id")).alias("doc_id"), "conv_id", "turn", "text",
+                    F.when(F.col("role") == "user", 1).otherwise(0).alias("label"))
+    seq = document_sequences(docs, "doc_id", ["conv_id", "turn"], "text")
+    return seq.select("doc_id", "pos", F.md5("text").alias("text_md5"), "label", "n_in_doc", F.md5("previous").alias("previous_md5"), F.md5("next").alias("next_md5"))
+
+
+@register("sentence_sources", """
+SELECT doc_id AS sentence_id, length(text) AS n_chars, md5(text) AS text_md5, lang AS speaker_role, CAST(NULL AS INTEGER) AS label FROM documents WHERE doc_id % 2 = 0
+UNION ALL
+SELECT doc_id, length(text), md5(text), NULL, CAST(doc_id % 3 AS INTEGER) FROM documents WHERE doc_id % 2 = 1""",
+          "S5 S6 S12 K3 P8: sentences without a verdict from two paths, curated sentences from JSON lists, both by corpus and phase; "
+          "no ranking is written for their corpus")
+def q_sentence_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    base, number = scratch_path(spark, "sentences"), F.lit(0).cast("int")
+    rows = d.where("doc_id % 2 = 0").select(
+        F.col("doc_id").alias("Sentence_id"), F.col("text").alias("Text"), F.lit("s").alias("Speaker"), F.lit("t").alias("Speaker_title"),
+        F.lit("p").alias("Speaker_party"), F.lit("f").alias("File_id"), number.alias("Length"), number.alias("Line_number"),
+        F.lit(0.5).alias("Sentiment"), F.col("lang").alias("Speaker_role"))
+    write_debate_sentences(rows.where("Sentence_id % 4 = 0"), f"{base}/a", all_sentences=True)
+    write_debate_sentences(rows.where("Sentence_id % 4 = 2"), f"{base}/b", all_sentences=True)
+    write_curated_json(d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("sentence_id"), (F.col("doc_id") % 3).cast("int").alias("label"), "text"), f"{base}/c")
+    debates, curated = read_corpus(spark, f"{base}/a , {base}/b", "debates", "test"), read_corpus(spark, f"{base}/c", "curated")
+    if write_ranking(debates, f"{base}/ranking", "debates") is not None:
+        raise ValueError("the debate sentences have no ranking format")
+    size, digest = F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5")
+    return (debates.withColumnsRenamed({"Text": "text", "Sentence_id": "sentence_id", "Speaker_role": "speaker_role"})
+            .select("sentence_id", size, digest, "speaker_role", F.lit(None).cast("int").alias("label"))
+            .unionByName(curated.select("sentence_id", size, digest, F.lit(None).cast("string").alias("speaker_role"), "label")))
+
+
 GOLD_LINE_SQL = """
 SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'x' ELSE CAST(doc_id + 1 AS VARCHAR) END AS a,
        CASE WHEN doc_id % 7 = 2 THEN 3 WHEN doc_id % 7 = 5 THEN 5 ELSE 4 END AS n_fields,

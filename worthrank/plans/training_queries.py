@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import lcg_key
+from worthrank.operators.features import feature_index, indexed_texts
 from worthrank.operators.models import with_weights
 from worthrank.operators.prepare import exact_split
-from worthrank.operators.training import Candidate, fit_heads, state_frame, train_in_stages, training_rows
+from worthrank.operators.training import Candidate, fit_heads, indexed_rows, state_frame, train_in_stages, training_rows
 from worthrank.plans.prepare_queries import LCG_SQL
 from worthrank.plans.registry import register, round6
 from worthrank.session import scratch_path
@@ -82,7 +83,7 @@ def q_candidate_steps(spark, sf_dir):
     fit = fit_heads(rows, CANDIDATES, STEPS)
     rows.unpersist()
     step, candidate = fit.best()
-    return round6(fit.table(spark).withColumn("best", (F.col("step") == step) & (F.col("candidate") == candidate)))
+    return round6(fit.table(spark).drop("gradient").withColumn("best", (F.col("step") == step) & (F.col("candidate") == candidate)))
 
 
 @register("saved_when_better", f"""
@@ -98,9 +99,67 @@ def q_saved_when_better(spark, sf_dir):
     rows.unpersist()
     store = ModelStore(spark, scratch_path(spark, "model-store"))
     out, losses = [], []
-    for step, _, loss, acc in fit.trace:
+    for step, _, loss, acc, _ in fit.trace:
         saved = store.offer(f"step-{step}", acc, lambda p, s=step: state_frame(spark, fit, s).coalesce(1).write.mode("overwrite").parquet(p))
         losses.append(loss)
         held = spark.read.parquet(store.current_path()).first()
         out.append((step, loss, sum(losses) / len(losses), acc, saved, held["step"]))
     return round6(spark.createDataFrame(out, "step int, loss double, mean_loss double, val_acc double, saved boolean, saved_step int"))
+
+
+#: Words of a text and its runs of two words, per (doc_id, term), for the rows of ``texts``.
+TERMS_SQL = """
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM texts),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (
+         SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM words)
+       GROUP BY doc_id, term)"""
+
+
+@register("ngram_feature_index", "WITH texts AS (SELECT doc_id, text FROM documents)," + TERMS_SQL + """
+SELECT term, docs, row_number() OVER (ORDER BY docs DESC, term) AS feature
+FROM (SELECT term, COUNT(*) AS docs FROM tf GROUP BY term) WHERE docs >= 2""",
+          "M2: every word and word pair that two documents hold gets a feature of its own, numbered by document frequency")
+def q_ngram_feature_index(spark, sf_dir):
+    return feature_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", min_docs=2)
+
+
+NGRAM = Candidate(0.02, 0.01)
+
+
+@register("ngram_indexed_fit", f"""
+WITH RECURSIVE g AS (SELECT d.doc_id, d.text, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS y FROM documents d JOIN labels l USING (doc_id)),
+texts AS (SELECT *, row_number() OVER (ORDER BY {LCG_SQL.format(x='doc_id')}, doc_id) > CEIL(0.2 * COUNT(*) OVER ()) AS train FROM g),
+{TERMS_SQL},
+e AS (SELECT doc_id, y, train, CAST(COUNT(*) OVER (PARTITION BY train) AS DOUBLE) / COUNT(*) OVER (PARTITION BY train, y) AS wt FROM texts),
+n AS (SELECT COUNT(*) AS docs, SUM(wt) AS wt FROM e WHERE train),
+idx AS (SELECT term, docs, row_number() OVER (ORDER BY docs DESC, term) AS d
+        FROM (SELECT term, COUNT(*) AS docs FROM tf JOIN e USING (doc_id) WHERE train GROUP BY term) WHERE docs >= 2),
+u AS (SELECT tf.doc_id, idx.d, tf.tf * ln((n.docs + 1.0) / (idx.docs + 1.0)) AS v FROM tf JOIN idx USING (term), n
+      UNION ALL SELECT doc_id, 0, 1.0 FROM e),
+t AS (
+  SELECT 0 AS step, d, CAST(0 AS DOUBLE) AS w, CAST(NULL AS DOUBLE) AS loss, CAST(NULL AS DOUBLE) AS slope FROM (SELECT d FROM idx UNION ALL SELECT 0)
+  UNION ALL
+  SELECT step + 1, d, w - {NGRAM.rate} * own, ls, own FROM (
+    SELECT t.step, t.d, t.w, gs.ls, gs.g + CASE WHEN t.d > 0 THEN {NGRAM.l2} * t.w ELSE 0 END AS own
+    FROM t JOIN (
+      SELECT u.d, SUM(z.r * u.v) / any_value(n.wt) AS g, any_value(z.ls) / any_value(n.wt) AS ls
+      FROM (SELECT doc_id, wt * (1 / (1 + exp(-zz)) - y) AS r, SUM(wt * (ln(1 + exp(-abs(zz))) + greatest(zz, 0) - zz * y)) OVER () AS ls
+            FROM (SELECT u.doc_id, SUM(u.v * t.w) AS zz FROM u JOIN t USING (d) WHERE t.step < {STEPS} GROUP BY u.doc_id) JOIN e USING (doc_id) WHERE train) z
+      JOIN u USING (doc_id), n GROUP BY u.d) gs USING (d))),
+a AS (SELECT step, AVG(CASE WHEN (zz > 0) = (y = 1) THEN 1.0 ELSE 0.0 END) AS val_acc
+      FROM (SELECT t.step, u.doc_id, SUM(u.v * t.w) AS zz FROM t JOIN u USING (d) GROUP BY ALL) JOIN e USING (doc_id) WHERE NOT train GROUP BY step)
+SELECT CAST(step AS INTEGER) AS step, ROUND(any_value(loss), 6) AS loss, ROUND(any_value(val_acc), 6) AS val_acc, ROUND(sqrt(SUM(slope * slope)), 6) AS gradient,
+       COUNT(*) - 1 AS features, sqrt(SUM(slope * slope)) <= 0.001 AS converged
+FROM t JOIN a USING (step) WHERE step > 0 GROUP BY step""",
+          "M2 A14: the n-gram baseline over exact features, one per distinct term; loss, gradient length and convergence of every step")
+def q_ngram_indexed_fit(spark, sf_dir):
+    g = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    split = exact_split(g.withColumn("label", F.when(F.col("label") == 1, 1).otherwise(0)), "doc_id", 0.2, key=lcg_key)
+    train = split.where("split = 'train'")
+    index = feature_index(train, "doc_id", "text", min_docs=2)
+    width = index.count()
+    rows = indexed_rows(indexed_texts(weighted(split), "doc_id", "text", index, train.count()), weight_col="weight", split_col="split")
+    fit = fit_heads(rows, [NGRAM], STEPS, width=width)
+    rows.unpersist()
+    out = fit.table(spark).drop("candidate").withColumn("features", F.lit(width).cast("bigint"))
+    return round6(out.withColumn("converged", F.col("gradient") <= 0.001))

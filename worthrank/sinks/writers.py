@@ -86,14 +86,22 @@ def write_tweets(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .csv(path))
 
 
-def write_debate_sentences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Headered comma-separated debate sentences in the quoted dialect (the S4 layout)."""
+def write_debate_sentences(df: DataFrame, path: str, mode: str = "overwrite", all_sentences: bool = False) -> None:
+    """Headered comma-separated debate sentences in the quoted dialect (the S4 layout; S5 with ``all_sentences``)."""
     cols = ["Sentence_id", "Text", "Speaker", "Speaker_title", "Speaker_party", "File_id", "Length",
-            "Line_number", "Sentiment", "Verdict"]
+            "Line_number", "Sentiment", "Speaker_role" if all_sentences else "Verdict"]
     (df.select(*cols).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
      .csv(path))
 
 
+def write_curated_json(df: DataFrame, path: str, rows_per_file: int = 1000, mode: str = "overwrite") -> None:
+    """The S6 layout: files that hold one JSON list of ``{sentence_id, label, text}`` objects each, of about ``rows_per_file``."""
+    files = max(1, -(-df.count() // rows_per_file))
+    row = F.struct("sentence_id", "label", "text")
+    lists = df.groupBy(F.pmod(F.xxhash64(row), F.lit(files)).alias("list")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    lists.write.mode(mode).partitionBy("list").text(path)
+
+
 def save_model(model, path: str) -> str:
     """K5: persist a fitted MLlib model, replacing the previous best."""
     model.write().overwrite().save(path)

@@ -149,7 +149,7 @@ def read_corpus(spark: SparkSession, paths: str | Sequence[str], corpus: str, ph
 
 def read_curated_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """A JSON list of ``{sentence_id, label, text}`` objects per file."""
-    return spark.read.schema(CURATED_SCHEMA).option("multiLine", True).json(split_paths(paths))
+    return spark.read.schema(CURATED_SCHEMA).option("multiLine", True).json(split_paths(paths)).select(*CURATED_SCHEMA.names)
 
 
 def read_predictions_2019(spark: SparkSession, paths: str | Sequence[str], doc_from: str = "file") -> DataFrame:
