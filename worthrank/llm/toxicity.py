@@ -1,7 +1,7 @@
 """A counterfactually regularised classifier of toxic texts.
 
 A logistic model over words and their beginnings and endings is fitted on a bounded sample of labelled
-rows. For every labelled sentence that names a group, the name is swapped for others of its set, and
+rows. For every labelled sentence that names a group, the name is swapped for each other of its set, and
 the squared change of the score joins the loss, so that the names themselves carry little weight and
 neutral mentions are not taken for insults. Scoring is one pass over whole texts, without a shuffle.
 """
@@ -9,8 +9,10 @@ neutral mentions are not taken for insults. Scoring is one pass over whole texts
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -122,82 +124,92 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_features:
     index = {f: k for k, f in enumerate(chosen)}
     swaps = {w: [x for x in own if x != w] for own in identity_sets for w in own}
 
+    def ids(words: set[str]) -> set[int]:
+        return {index[f] for w in words for f in word_features(w) if f in index}
+
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ids(words: set[str]) -> set[int]:
-            return {index[f] for w in words for f in word_features(w) if f in index}
+        for batch in text_batches(batches, 512):
+            has = [sorted(ids(text_words(text))) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(has, pa.list_(pa.int32()))], names=["label", "has"])
 
+    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 512):
-            out: list[tuple[int, list[int], list[int], list[int]]] = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((label, sorted(ids(text_words(text))), [], []))
+            counts: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()
+            for text in batch.column(0).to_pylist():
                 for sentence in re.split(r"[.!?\n]", text or ""):
                     words = text_words(sentence)
-                    for name in sorted(words & swaps.keys()):
-                        for other in swaps[name][:2]:
-                            a, b = ids(words), ids(words - {name} | {other})
-                            out.append((-1, [], sorted(a - b), sorted(b - a)))
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)],
-                                             names=["label", "has", "lost", "gained"])
-
-    found = map_arrow(texts.select("text", "label"), vectorise, "label int, has array<int>, lost array<int>, gained array<int>")
-    rows_, pairs = [], []
-    for r in found.toLocalIterator():
-        if r["label"] >= 0:
-            rows_.append((r["label"], r["has"]))
-        elif len(pairs) < 20 * per_class and (r["lost"] or r["gained"]):
-            pairs.append((r["lost"], r["gained"]))
+                    for name in words & swaps.keys():
+                        a = ids(words)
+                        for other in swaps[name]:
+                            b = ids(words - {name} | {other})
+                            counts[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], ints), pa.array([k[1] for k in counts], ints), pa.array(counts.values(), pa.int64())],
+                                             names=["lost", "gained", "n"])
+
+    rows_ = [(r["label"], r["has"]) for r in map_arrow(texts.select("text", "label"), vectorise, "label int, has array<int>").toLocalIterator()]
+    # Swaps that change the same features are one pair with a count: few, whatever the number of mentions.
+    swapped = map_arrow(texts.select("text"), swap, "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n"))
+    pairs = [(r["lost"], r["gained"], float(r["n"])) for r in swapped.toLocalIterator()]
     # a name by itself is a neutral mention: it is compared with the others of its set and with none
     for own in identity_sets:
-        for a, b in zip(own, own[1:] + own[:1], strict=True):
-            ia, ib = ({index[f] for f in word_features(w) if f in index} for w in (a, b))
-            pairs += [(sorted(ia - ib), sorted(ib - ia)), (sorted(ia), [])]
-    weights, bias = _descend(rows_, [p for p in pairs if p[0] or p[1]], len(chosen), stands_for, pair_weight, penalty, steps)
+        alone = [ids({w}) for w in own]
+        pairs += [(sorted(a - b), sorted(b - a), 1.0) for a, b in combinations(alone, 2)] + [(sorted(a), [], 1.0) for a in alone]
+    objective = Objective(rows_, [p for p in pairs if p[0] or p[1]], len(chosen), stands_for, pair_weight, penalty)
+    weights, bias = objective.descend(steps)
     return ToxicModel({f: float(weights[k]) for f, k in index.items() if weights[k]}, bias)
 
 
-def _descend(rows: list, pairs: list, size: int, stands_for: dict[int, float], pair_weight: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Minimise the weighted logistic loss + penalty * |w|² / 2 + pair_weight * the sum of squared score changes,
-    by accelerated gradient descent with a step that is halved when the loss grows."""
-    rows = sorted(rows)  # the order in which tasks end must not matter
-    y = np.array([r[0] for r in rows], float)
-    weight = np.where(y == 1, stands_for[1], stands_for[0])
-    weight *= len(rows) / weight.sum()
-    at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    of = np.concatenate([np.array(r[1], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    pairs = sorted(pairs)
-    p_at = np.repeat(np.arange(len(pairs)), [len(p[0]) + len(p[1]) for p in pairs])
-    p_of = np.concatenate([np.array(p[0] + p[1], np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64)
-    p_sign = np.concatenate([np.array([1.0] * len(p[0]) + [-1.0] * len(p[1])) for p in pairs]) if pairs else np.zeros(0)
-
-    def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
-        z = np.bincount(at, w[of], len(rows)) + b
+class Objective:
+    """The weighted logistic loss + penalty * |w|^2 / 2 + pair_weight * the sum of squared score changes, each as often as its
+    swap is met. ``rows``: (label, features); ``pairs``: (features lost, features gained, count)."""
+
+    def __init__(self, rows: list, pairs: list, size: int, stands_for: dict[int, float], pair_weight: float, penalty: float):
+        rows, pairs = sorted(rows), sorted(pairs)  # the order in which tasks end must not matter
+        self.size, self.pair_weight, self.penalty = size, pair_weight, penalty
+        self.y = np.array([r[0] for r in rows], float)
+        self.weight = np.where(self.y == 1, stands_for[1], stands_for[0])
+        self.weight *= len(rows) / self.weight.sum()
+        self.at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        self.of = np.concatenate([np.array(r[1], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+        self.times = np.array([p[2] for p in pairs])
+        self.p_at = np.repeat(np.arange(len(pairs)), [len(p[0]) + len(p[1]) for p in pairs])
+        self.p_of = np.concatenate([np.array([*p[0], *p[1]], np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64)
+        self.p_sign = np.concatenate([np.array([1.0] * len(p[0]) + [-1.0] * len(p[1])) for p in pairs]) if pairs else np.zeros(0)
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """The value, and its slopes along the weights and the bias."""
+        z = np.bincount(self.at, w[self.of], len(self.y)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = weight * (p - y)
-        change = np.bincount(p_at, w[p_of] * p_sign, len(pairs)) if pairs else np.zeros(0)
-        value = float((weight * (np.logaddexp(0, z) - y * z)).sum() + penalty * (w @ w) / 2 + pair_weight * (change @ change))
-        gradient = np.bincount(of, error[at], size) + penalty * w
-        if pairs:
-            gradient += 2 * pair_weight * np.bincount(p_of, change[p_at] * p_sign, size)
+        error = self.weight * (p - self.y)
+        value = float((self.weight * (np.logaddexp(0, z) - self.y * z)).sum() + self.penalty * (w @ w) / 2)
+        gradient = np.bincount(self.of, error[self.at], self.size) + self.penalty * w
+        if len(self.times):
+            change = np.bincount(self.p_at, w[self.p_of] * self.p_sign, len(self.times))
+            value += float(self.pair_weight * (self.times * change * change).sum())
+            gradient += 2 * self.pair_weight * np.bincount(self.p_of, (self.times * change)[self.p_at] * self.p_sign, self.size)
         return value, gradient, float(error.sum())
 
-    # each feature's step is scaled by a bound on the loss's curvature along it
-    curve = np.bincount(of, (weight / 4)[at], size) + penalty
-    if pairs:
-        curve += 2 * pair_weight * np.bincount(p_of, minlength=size)
-    w, b = np.zeros(size), float(np.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5)))
-    v, c, rate, last = w.copy(), b, 0.1, loss(w, b)[0]
-    for k in range(steps):
-        _, g, gb = loss(v, c)
-        new, nb = v - rate * g / curve, c - rate * gb / (weight.sum() / 4)
-        value = loss(new, nb)[0]
-        if value > last:
-            rate, v, c = rate / 2, w.copy(), b
-            continue
-        momentum = k / (k + 3)
-        v, c, w, b, last = new + momentum * (new - w), nb + momentum * (nb - b), new, nb, value
-        rate *= 1.05
-    return w, b
+    def descend(self, steps: int) -> tuple[np.ndarray, float]:
+        """The weights and the bias after accelerated gradient descent with a step that is halved when the loss grows."""
+        weight, y = self.weight, self.y
+        # each feature's step is scaled by a bound on the loss's curvature along it
+        curve = np.bincount(self.of, (weight / 4)[self.at], self.size) + self.penalty
+        if len(self.times):
+            curve += 2 * self.pair_weight * np.bincount(self.p_of, self.times[self.p_at], minlength=self.size)
+        w, b = np.zeros(self.size), float(np.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5)))
+        v, c, rate, last = w.copy(), b, 0.1, self.loss(w, b)[0]
+        for k in range(steps):
+            _, g, gb = self.loss(v, c)
+            new, nb = v - rate * g / curve, c - rate * gb / (weight.sum() / 4)
+            value = self.loss(new, nb)[0]
+            if value > last:
+                rate, v, c = rate / 2, w.copy(), b
+                continue
+            momentum = k / (k + 3)
+            v, c, w, b, last = new + momentum * (new - w), nb + momentum * (nb - b), new, nb, value
+            rate *= 1.05
+        return w, b
 
 
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
