@@ -131,7 +131,9 @@ def weighted_resample(df: DataFrame, label_col: str, id_col: str, strategy: str
     draws = draws.withColumn("_cls", F.when(F.col("_u1") >= F.lit(KEY_RANGE // 2), 1).otherwise(0))
     # two rows at most (one per class): a proven bound for the broadcast
     draws = draws.join(F.broadcast(sizes), "_cls")
-    draws = draws.withColumn("class_index", draw(F.col("_u1")) % F.col("_n_cls"))
+    # a key given (one that SQL can compute) is drawn from again; else 64 bits of the draw's own id reach rows of any number
+    place = draw(F.col("_u1")) if key else F.pmod(F.xxhash64(F.lit(seed + 2), "draw_id"), F.col("_n_cls"))
+    draws = draws.withColumn("class_index", place % F.col("_n_cls"))
     return (draws.join(rows, ["_cls", "class_index"])
             .select("draw_id", *[c for c in df.columns]))
 

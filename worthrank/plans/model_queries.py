@@ -15,7 +15,6 @@ from worthrank.operators.prepare import weight_columns
 from worthrank.operators.ranking import rank_within
 from worthrank.plans.ranking_queries import G5_ORDER, G5_SQL, mean_query_sql, per_topic_sql, ranked_sql
 from worthrank.plans.registry import register, round6
-from worthrank.session import checkpoint_dir
 from worthrank.sources.testdata import (SUPPLIER_TIE_ORDER, event_predictions, labelled_documents,
                                         supplier_rankings, table)
 
@@ -220,13 +219,12 @@ SELECT topic_id, {', '.join(f'{c}, CAST(dense_rank() OVER (ORDER BY {c} DESC NUL
 FROM rm""", "W6: runs (suppliers) ranked per metric with dense_rank, ties share a place")
 def q_leaderboard(spark, sf_dir):
     per = round6(ranking_metrics(supplier_rankings(spark, sf_dir), ["topic_id"], tie_cols=SUPPLIER_TIE_ORDER))
-    # one row per run, written once to the shared checkpoint directory: the four rankings below
-    # read it instead of re-running the evaluation of every run four times
-    checkpoint_dir(spark)
-    out = per.select("topic_id", *LEADER_METRICS).checkpoint(eager=True)
-    for c in LEADER_METRICS:
-        out = rank_within(out, [], [(c, "desc")], ranks=("dense_rank",)).withColumnRenamed("dense_rank", f"rank_{c}")
-    return out.select("topic_id", *[x for c in LEADER_METRICS for x in (c, f"rank_{c}")])
+    # one row per run and metric, ranked by metric in one pass; NULL metrics are ranked last, as a row of their own
+    long = per.select("topic_id", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in LEADER_METRICS])).alias("m")).select("topic_id", "m.*")
+    ranked = rank_within(long, ["metric"], [("value", "desc")], ranks=("dense_rank",))
+    wide = ranked.groupBy("topic_id").agg(*[x for c in LEADER_METRICS for x in (
+        F.max(F.when(F.col("metric") == c, F.col("value"))).alias(c), F.max(F.when(F.col("metric") == c, F.col("dense_rank"))).alias(f"rank_{c}"))])
+    return wide
 
 
 @register("run_log_newest_first", """
