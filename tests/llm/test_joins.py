@@ -231,7 +231,7 @@ def test_line_dedup_of_an_empty_table(spark):
 
 def test_queries_against_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in LLM_SQL.items():
         rel = con.execute(sql)
