@@ -8,7 +8,8 @@ words also start in a document with a smaller id covers words that go.
 
 Hashes are shuffled packed: for a slice of the input and a range of hash values one row holds all keys.
 The index rows of a range come first, one entry per distinct key, and the probes stream past them, so a
-passage that a third of all documents share costs time in proportion to its probes, but no memory.
+passage that a third of all documents share costs time in proportion to its probes, but no memory. Hits go back
+packed too: one row holds those of a task for a bucket of documents, and meets the texts of the bucket in one shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worthrank.llm.common import map_arrow, materialise, release_shuffles
@@ -26,15 +27,21 @@ from worthrank.llm.shingles import Words, byte_slices, packed6, runs_of, unpacke
 BLOCK = 7
 LOW48 = np.uint64(2**48 - 1)
 PACKED_SCHEMA = "bucket int, kind int, keys binary, a binary, b binary"
-HITS_SCHEMA = "doc_id long, keys binary"
+HITS_SCHEMA = "bucket int, docs binary, counts binary, keys binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_HITS = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
+_HITS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+#: Documents are dealt into buckets by a linear congruence, which numpy and Spark compute alike.
+_PRIME, _FACTOR = 2**31 - 1, 1_103_515_245
 
 
 def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
+def _document_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return docs % _PRIME * _FACTOR % _PRIME % buckets
+
+
 def index_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool, both: bool) -> list[tuple]:
     """Packed rows of kind 0: each distinct key with the smallest document that has it and, if ``both``, again with the
     largest where that is another."""
@@ -78,10 +85,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def match(packed: DataFrame, partitions: int, earlier_only: bool, short: bool, most_held: int = 1_000_000) -> DataFrame:
-    """(doc_id, keys) of the probes that the index has from another document, or, if ``earlier_only``, from one
-    with a smaller id. In that case the entries of the index are probes of their own. A document may have several
-    rows."""
+def match(packed: DataFrame, partitions: int, buckets: int, earlier_only: bool, short: bool, most_held: int = 1_000_000) -> DataFrame:
+    """The probes that the index has from another document, or, if ``earlier_only``, from one with a smaller id. In
+    that case the entries of the index are probes of their own. A row holds hits of one of ``buckets`` buckets of
+    documents: documents, how many keys each has, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, index = None, [], None
@@ -104,10 +111,17 @@ def match(packed: DataFrame, partitions: int, earlier_only: bool, short: bool, m
 
         def flush() -> pa.RecordBatch:
             docs, keys = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            order = np.argsort(docs, kind="stable")
-            docs, keys = docs[order], keys[order]
-            cuts = np.append(runs_of(docs), len(docs))
-            return _batch([(int(docs[i]), np.unique(keys[i:j]).astype("<u8").tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], _HITS)
+            of = _document_bucket(docs, buckets)
+            order = np.lexsort((keys, docs, of))
+            of, docs, keys = of[order], docs[order], keys[order]
+            new = np.append(True, (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1]))
+            of, docs, keys = of[new], docs[new], keys[new]
+            cuts = np.append(runs_of(of), len(of))
+            rows = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                at = runs_of(docs[i:j])
+                rows.append((int(of[i]), docs[i:j][at].astype("<i8").tobytes(), np.diff(np.append(at, j - i)).astype("<u4").tobytes(), _pack(keys[i:j], short)))
+            return _batch(rows, _HITS)
 
         for batch in batches:
             for own, kind, keys, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -139,25 +153,59 @@ def match(packed: DataFrame, partitions: int, earlier_only: bool, short: bool, m
     return map_arrow(dealt, run, HITS_SCHEMA)
 
 
-def _marked(words: Words, runs: np.ndarray, hits: list, low: bool) -> np.ndarray:
-    """Which words begin a run whose key is among the row's hits."""
+def deal(texts: DataFrame, hits: DataFrame, bucket: Column, partitions: int) -> DataFrame:
+    """``texts`` dealt by ``bucket``, with the hits of a bucket before its texts. The last five columns are the
+    bucket, the kind (0: hits, 1: a text) and those of the hits."""
+    own = texts.select("*", bucket.cast("int").alias("__bucket"), F.lit(1).alias("__kind"))
+    packed = hits.select(F.col("bucket").alias("__bucket"), F.lit(0).alias("__kind"), F.col("docs").alias("__docs"), F.col("counts").alias("__counts"), F.col("keys").alias("__keys"))
+    return own.unionByName(packed, allowMissingColumns=True).repartition(partitions, "__bucket").sortWithinPartitions("__bucket", "__kind")
+
+
+def routed(batches: Iterator[pa.RecordBatch], text: int, short: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the texts of a bucket with (documents in order, keys) of its hits, from rows as ``deal`` leaves them;
+    ``text`` is the number of the text column."""
+    at, held, docs, keys = None, [], np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for batch in batches:
+        bucket, kind = (np.array(batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False), np.int64) for k in (5, 4))
+        cuts = np.append(runs_of(2 * bucket + kind), batch.num_rows)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if bucket[i] != at:
+                at, held = bucket[i], []
+                docs, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            if kind[i] == 0:
+                held += zip(*(batch.column(batch.num_columns - k).slice(i, j - i).to_pylist() for k in (3, 2, 1)), strict=True)
+                continue
+            if held:
+                docs = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")) for d, c, _ in held])
+                keys = np.concatenate([_unpack(k, short) for _, _, k in held])
+                order = np.argsort(docs, kind="stable")
+                docs, keys, held = docs[order], keys[order], []
+            for part in byte_slices(iter([batch.slice(i, j - i)]), text):
+                yield part, docs, keys
+
+
+def _marked(words: Words, runs: np.ndarray, ids: pa.Array, docs: np.ndarray, keys: np.ndarray, low: bool) -> np.ndarray:
+    """Which words begin a run whose key is among the hits of the row's document. A null id has none."""
     found = np.zeros(len(runs), bool)
-    for row, own in enumerate(hits):
-        if own:
-            i, j = words.first[row], words.first[row + 1]
-            keys = np.concatenate([np.frombuffer(x, "<u8") for x in own])
-            found[i:j] = np.isin(runs[i:j] & LOW48 if low else runs[i:j], keys)
+    known = np.flatnonzero(np.array(ids.is_valid()))
+    own = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    first, last = (np.searchsorted(docs, own, side=x) for x in ("left", "right"))
+    for row in known[first[known] < last[known]].tolist():
+        i, j = words.first[row], words.first[row + 1]
+        found[i:j] = np.isin(runs[i:j] & LOW48 if low else runs[i:j], keys[first[row] : last[row]])
     return found
 
 
-def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2_000_000) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2_000_000,
+                   bucket_bytes: int = 8_000_000) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (replacing columns of those names).
 
     Words are cut at ASCII white space. A word goes if it is in a window of ``window`` consecutive words of its
     document whose words also start in a document with a smaller id; all windows are judged on the input. kept_text
     joins the words that stay by one space. Null texts have no words; shorter texts than a window and rows
     with a null id lose nothing; rows that share an id count as one document. Windows are compared by
-    64-bit hashes. ``window`` must be at least 13, so that every window covers a block of seven words."""
+    64-bit hashes. Hash ranges are of about ``bucket_keys`` keys, buckets of documents of about ``bucket_bytes`` bytes of
+    text. ``window`` must be at least 13, so that every window covers a block of seven words."""
     if window < 2 * BLOCK - 1:
         raise ValueError(f"a window of fewer than {2 * BLOCK - 1} words may cover no whole block")
     spark = docs.sparkSession
@@ -165,7 +213,10 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("doc_id is not null and text is not null")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, chars / 6 / bucket_keys)))))
-    partitions = 2**bits
+    cores = 2 * spark.sparkContext.defaultParallelism
+    partitions = min(2**bits, max(2**bits // 4, cores))
+    buckets = max(1, -(-chars // bucket_bytes))
+    text_partitions = min(buckets, max(buckets // 4, cores))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 1):
@@ -177,15 +228,19 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             aligned = (starts - words.first[rows]) % BLOCK == 0
             yield _batch(index_rows(keys[aligned], ids[rows[aligned]], bits, True, True) + probe_rows(keys, ids[rows], bits, True), _PACKED)
 
-    hits = materialise(match(map_arrow(texts, anchors, PACKED_SCHEMA), partitions, earlier_only=False, short=True), "anchor-hits")
+    hits = materialise(match(map_arrow(texts, anchors, PACKED_SCHEMA), partitions, buckets, earlier_only=False, short=True), "anchor-hits")
     release_shuffles(spark)
-    near = texts.join(hits.groupBy("doc_id").agg(F.collect_list("keys").alias("hits")), "doc_id")
+
+    def bucket_of(doc_id: Column) -> Column:
+        return F.pmod(F.pmod(doc_id, F.lit(_PRIME)) * F.lit(_FACTOR), F.lit(_PRIME)) % F.lit(buckets)
+
+    near = deal(texts, hits, bucket_of(F.col("doc_id")), text_partitions)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, 1):
+        for part, hit_docs, hit_keys in routed(batches, 1, True):
             words = Words(part.column(1))
             ids = np.array(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-            hit = _marked(words, words.runs(BLOCK), part.column(2).to_pylist(), True)
+            hit = _marked(words, words.runs(BLOCK), part.column(0), hit_docs, hit_keys, True)
             upto = np.concatenate([[0], np.cumsum(hit)])
             starts = words.run_starts(window)
             starts = starts[upto[starts + window - BLOCK + 1] > upto[starts]]  # those that cover a hit
@@ -198,18 +253,18 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             later = of != smallest
             yield _batch(index_rows(keys, of, bits, False, False) + probe_rows(keys[later], of[later], bits, False), _PACKED)
 
-    repeats = materialise(match(map_arrow(near, windows, PACKED_SCHEMA), partitions, earlier_only=True, short=False), "repeated-windows")
+    repeats = materialise(match(map_arrow(near, windows, PACKED_SCHEMA), partitions, buckets, earlier_only=True, short=False), "repeated-windows")
     release_shuffles(spark)
-    gone = repeats.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_list("keys").alias("__gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone_id"), "left").drop("__gone_id")
     width = len(docs.columns)
-    joined = joined.select("*", F.col(text_col).cast("string").cast("binary").alias("__bytes"))
+    whole = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__bytes"))
+    loose = F.pmod(F.xxhash64("__bytes"), F.lit(buckets))  # rows without an id go anywhere
+    joined = deal(whole, repeats, F.coalesce(bucket_of(F.col("__id")), loose), text_partitions)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, width + 1):
+        for part, hit_docs, hit_keys in routed(batches, width + 1, False):
             words = Words(part.column(width + 1))
-            starts = np.flatnonzero(_marked(words, words.runs(window), part.column(width).to_pylist(), False))
+            starts = np.flatnonzero(_marked(words, words.runs(window), part.column(width), hit_docs, hit_keys, False))
             starts = np.intersect1d(starts, words.run_starts(window))
             edge = np.zeros(len(words.hash) + 1, np.int64)
             np.add.at(edge, starts, 1)
