@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.fixtures import DOC_SCHEMA, documents, spark_documents, text
+from tests.llm.fixtures import DOC_SCHEMA, documents, sentence, spark_documents, text
 from worthrank.llm.ann import build_index, search
 from worthrank.llm.jaccard_join import band_parts, bands, components, link_documents
 from worthrank.llm.line_dedup import dedup_lines
@@ -132,6 +132,17 @@ def test_jaccard_join_links_across_slices_past_the_representatives(spark, bucket
     assert found == root
 
 
+def test_jaccard_join_of_copies_and_shared_ids(spark):
+    rng = random.Random(29)
+    base = sentence(rng, "en", 120)
+    rows = [(i, base, "en", "s", 1) for i in range(100, 140)] + _near_copies(rng, base, 30, 2, 200)
+    rows += [(7, sentence(rng, "en", 40), "en", "s", 1), (7, base, "en", "s", 1), (9, sentence(rng, "en", 50), "en", "s", 1)]
+    sets = _sets([r for r in rows if r[0] != 7] + [rows[-2]])  # of rows that share an id the largest set counts
+    docs = spark_documents(spark, rows).repartition(6)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in link_documents(docs, bucket_keys=100, small_group=4).collect()}
+    assert found == {(i, len(sets[i]), c) for i, c in _components(sets).items()}
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert link_documents(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
     rows = [(None, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (8, None, "en", "s", 1), (9, "A B\tC d  e f", "en", "s", 1)]
@@ -187,6 +198,16 @@ def test_passage_removal(spark):
     assert found == _passages(rows) and any(x[1] for x in found.values())
 
 
+def test_passage_removal_over_many_buckets(spark):
+    rng = random.Random(23)
+    rows = [(i * 5 - 40, sentence(rng, "en", rng.randrange(5, 60)), "en", "s", 1) for i in range(60)]
+    passage = sentence(rng, "en", 30)
+    rows += [(1000 + i, f"{sentence(rng, "en", i % 9)} {passage} {sentence(rng, "en", 7)}", "en", "s", 1) for i in range(40)]
+    docs = spark_documents(spark, rows).repartition(5)
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in dedup_passages(docs, bucket_keys=100, bucket_bytes=700).collect()}
+    assert found == _passages(rows) and any(x[1] for x in found.values())
+
+
 def test_passage_removal_of_odd_tables(spark):
     assert dedup_passages(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
     t = " ".join(f"w{k}" for k in range(20))
