@@ -6,8 +6,10 @@ documents share covers a whole block of either, so it is hit in both. Hits are e
 windows of thirteen words around them, and those are compared exactly across documents: a window whose
 words also start in a document with a smaller id covers words that go.
 
-Hashes are shuffled packed: for a slice of the input and a range of hash values one row holds all keys.
-The index rows of a range come first, one entry per distinct key, and the probes stream past them, so a
+Hashes are shuffled packed: for a slice of the input and a range of hash values one row holds all keys. A range
+holds a bounded number of keys, so the lower 32 bits tell its anchors apart but for some in ten thousand, which
+cost a needless comparison of windows and nothing else; windows keep 64 bits.
+The index rows of a range come first, two entries per distinct key at most, and the probes stream past them, so a
 passage that a third of all documents share costs time in proportion to its probes, but no memory. Hits go back
 packed too: one row holds those of a task for a bucket of documents, and meets the texts of the bucket in one shuffle.
 """
@@ -20,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from worthrank.llm.common import map_arrow, materialise, release_shuffles
-from worthrank.llm.shingles import Words, byte_slices, packed6, runs_of, unpacked6
+from worthrank.llm.shingles import Words, byte_slices, runs_of
 
 BLOCK = 7
-LOW48 = np.uint64(2**48 - 1)
+LOW32 = np.uint64(2**32 - 1)
 PACKED_SCHEMA = "bucket int, kind int, keys binary, a binary, b binary"
 HITS_SCHEMA = "bucket int, docs binary, counts binary, keys binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
@@ -42,25 +45,31 @@ def _document_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return docs % _PRIME * _FACTOR % _PRIME % buckets
 
 
-def index_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool, both: bool) -> list[tuple]:
-    """Packed rows of kind 0: each distinct key with the smallest document that has it and, if ``both``, again with the
-    largest where that is another."""
+def entries(keys: np.ndarray, docs: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the entries of the index, numbers of those that no entry stands for). Each distinct key has an entry
+    with the smallest document that has it and, if ``both``, one with the largest where that is another. An entry
+    stands for all equal pairs of key and document."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     at = runs_of(keys)
-    if not len(at):
-        return []
+    size = np.diff(np.append(at, len(keys)))
+    end = at + size - 1
+    apart = docs != np.repeat(docs[at], size)
     if both:
-        end = np.append(at[1:], len(keys)) - 1
+        apart &= docs != np.repeat(docs[end], size)
         at = np.sort(np.concatenate([at, end[docs[end] != docs[at]]]))
-    keys, docs = keys[at], docs[at]
+    return order[at], np.sort(order[apart])
+
+
+def index_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool) -> list[tuple]:
+    """Packed rows of kind 0: keys, in order, and their documents."""
     buckets = _buckets(keys, bits)
     cuts = np.append(runs_of(buckets), len(keys))
     return [(int(buckets[i]), 0, _pack(keys[i:j], short), docs[i:j].tobytes(), None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def probe_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool) -> list[tuple]:
-    """Packed rows of kind 1: all keys, documents as runs (ids and counts)."""
+    """Packed rows of kind 1: all keys, documents as runs (steps from id to id, and counts)."""
     buckets = _buckets(keys, bits)
     order = np.argsort(buckets, kind="stable")  # documents stay together within a bucket
     keys, docs, buckets = keys[order], docs[order], buckets[order]
@@ -68,16 +77,16 @@ def probe_rows(keys: np.ndarray, docs: np.ndarray, bits: int, short: bool) -> li
     rows = []
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         at = runs_of(docs[i:j])
-        rows.append((int(buckets[i]), 1, _pack(keys[i:j], short), docs[i:j][at].tobytes(), np.diff(np.append(at, j - i)).astype("<u4").tobytes()))
+        rows.append((int(buckets[i]), 1, _pack(keys[i:j], short), np.diff(docs[i:j][at], prepend=0).tobytes(), np.diff(np.append(at, j - i)).astype("<u4").tobytes()))
     return rows
 
 
 def _pack(keys: np.ndarray, short: bool) -> bytes:
-    return packed6(keys) if short else keys.astype("<u8").tobytes()
+    return (keys & LOW32).astype("<u4").tobytes() if short else keys.astype("<u8").tobytes()
 
 
 def _unpack(data: bytes, short: bool) -> np.ndarray:
-    return unpacked6(data) if short else np.frombuffer(data, "<u8")
+    return np.frombuffer(data, "<u4" if short else "<u8").astype(np.uint64)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -86,8 +95,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def match(packed: DataFrame, partitions: int, buckets: int, earlier_only: bool, short: bool, most_held: int = 1_000_000) -> DataFrame:
-    """The probes that the index has from another document, or, if ``earlier_only``, from one with a smaller id. In
-    that case the entries of the index are probes of their own. A row holds hits of one of ``buckets`` buckets of
+    """The probes that the index has from another document, or, if ``earlier_only``, from one with a smaller id. The
+    entries of the index are probes of their own. A row holds hits of one of ``buckets`` buckets of
     documents: documents, how many keys each has, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +135,7 @@ def match(packed: DataFrame, partitions: int, buckets: int, earlier_only: bool,
         for batch in batches:
             for own, kind, keys, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != bucket:
-                    if earlier_only and index is None and parts:
+                    if index is None and parts:
                         index = build(parts)
                         find(*index[3])
                     bucket, parts, index = own, [], None
@@ -137,13 +146,12 @@ def match(packed: DataFrame, partitions: int, buckets: int, earlier_only: bool,
                     if not parts:
                         continue  # nothing to find in this range
                     index, parts = build(parts), []
-                    if earlier_only:
-                        find(*index[3])
-                find(_unpack(keys, short), np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4")))
+                    find(*index[3])
+                find(_unpack(keys, short), np.repeat(np.cumsum(np.frombuffer(a, "<i8")), np.frombuffer(b, "<u4")))
                 if sum(len(h[0]) for h in held) >= most_held:
                     yield flush()
                     held.clear()
-        if earlier_only and index is None and parts:
+        if index is None and parts:
             index = build(parts)
             find(*index[3])
         if held:
@@ -192,11 +200,11 @@ def _marked(words: Words, runs: np.ndarray, ids: pa.Array, docs: np.ndarray, key
     first, last = (np.searchsorted(docs, own, side=x) for x in ("left", "right"))
     for row in known[first[known] < last[known]].tolist():
         i, j = words.first[row], words.first[row + 1]
-        found[i:j] = np.isin(runs[i:j] & LOW48 if low else runs[i:j], keys[first[row] : last[row]])
+        found[i:j] = np.isin(runs[i:j] & LOW32 if low else runs[i:j], keys[first[row] : last[row]])
     return found
 
 
-def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2_000_000,
+def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 4_000_000,
                    bucket_bytes: int = 8_000_000) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (replacing columns of those names).
 
@@ -225,8 +233,13 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             starts = words.run_starts(BLOCK)
             keys = words.runs(BLOCK)[starts]
             rows = words.row_of_word()[starts]
-            aligned = (starts - words.first[rows]) % BLOCK == 0
-            yield _batch(index_rows(keys[aligned], ids[rows[aligned]], bits, True, True) + probe_rows(keys, ids[rows], bits, True), _PACKED)
+            aligned = np.flatnonzero((starts - words.first[rows]) % BLOCK == 0)
+            of = ids[rows]
+            own, rest = entries(keys[aligned], of[aligned], True)
+            probes = np.ones(len(keys), bool)
+            probes[aligned] = False
+            probes[aligned[rest]] = True
+            yield _batch(index_rows(keys[aligned[own]], of[aligned[own]], bits, True) + probe_rows(keys[probes], of[probes], bits, True), _PACKED)
 
     hits = materialise(match(map_arrow(texts, anchors, PACKED_SCHEMA), partitions, buckets, earlier_only=False, short=True), "anchor-hits")
     release_shuffles(spark)
@@ -246,24 +259,24 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             starts = starts[upto[starts + window - BLOCK + 1] > upto[starts]]  # those that cover a hit
             keys, of = words.runs(window)[starts], ids[words.row_of_word()[starts]]
             # of documents of the slice that share a window, the smallest stands in the index; the others probe it
-            order = np.lexsort((of, keys))
-            keys, of = keys[order], of[order]
-            first = runs_of(keys)
-            smallest = np.repeat(of[first], np.diff(np.append(first, len(keys))))
-            later = of != smallest
-            yield _batch(index_rows(keys, of, bits, False, False) + probe_rows(keys[later], of[later], bits, False), _PACKED)
+            own, rest = entries(keys, of, False)
+            yield _batch(index_rows(keys[own], of[own], bits, False) + probe_rows(keys[rest], of[rest], bits, False), _PACKED)
 
     repeats = materialise(match(map_arrow(near, windows, PACKED_SCHEMA), partitions, buckets, earlier_only=True, short=False), "repeated-windows")
     release_shuffles(spark)
     width = len(docs.columns)
-    whole = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").cast("binary").alias("__bytes"))
-    loose = F.pmod(F.xxhash64("__bytes"), F.lit(buckets))  # rows without an id go anywhere
+    plain = isinstance(docs.schema[text_col].dataType, StringType)  # then the text travels once, as bytes
+    own_bytes = F.col(text_col).cast("string").cast("binary")
+    sent = docs.withColumn(text_col, own_bytes) if plain else docs
+    text_at = docs.columns.index(text_col) if plain else width + 1
+    whole = sent.select("*", F.col(id_col).cast("long").alias("__id"), *([] if plain else [own_bytes.alias("__bytes")]))
+    loose = F.pmod(F.xxhash64(text_col), F.lit(buckets))  # rows without an id go anywhere
     joined = deal(whole, repeats, F.coalesce(bucket_of(F.col("__id")), loose), text_partitions)
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
+    schema = sent.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, hit_docs, hit_keys in routed(batches, width + 1, False):
-            words = Words(part.column(width + 1))
+        for part, hit_docs, hit_keys in routed(batches, text_at, False):
+            words = Words(part.column(text_at))
             starts = np.flatnonzero(_marked(words, words.runs(window), part.column(width), hit_docs, hit_keys, False))
             starts = np.intersect1d(starts, words.run_starts(window))
             edge = np.zeros(len(words.hash) + 1, np.int64)
@@ -271,7 +284,7 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             np.add.at(edge, starts + window, -1)
             covered = np.cumsum(edge)[:-1] > 0
             removed, kept = [], []
-            for row, text in enumerate(part.column(width + 1).to_pylist()):
+            for row, text in enumerate(part.column(text_at).to_pylist()):
                 i, j = words.first[row], words.first[row + 1]
                 own = (text or b"").split()
                 out = covered[i:j]
@@ -280,4 +293,5 @@ def dedup_passages(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                                              names=[f.name for f in schema.fields])
 
-    return map_arrow(joined, remove, schema)
+    done = map_arrow(joined, remove, schema)
+    return done.withColumn(text_col, F.col(text_col).cast("string")) if plain else done
