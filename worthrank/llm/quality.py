@@ -2,13 +2,16 @@
 
 Every rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the counts of vote
 patterns, of which there are at most 3 to the power of the number of rules whatever the corpus, finds
-how often each rule votes either way on good and on bad documents; a document is kept if it is more likely good than bad given its votes.
+how often each rule votes either way or abstains on good and on bad documents; a document is kept if it is
+more likely good than bad given its votes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +83,10 @@ def _vote(good: Column | bool, bad: Column | bool) -> Column:
     return F.when(F.lit(bad), -1).when(F.lit(good), 1).otherwise(0).cast("int")
 
 
+#: The rules that know one defect and never vote good.
+DEFECTS = ("symbols", "upper", "shouts", "word_length", "copied_lines", "repeats", "variety", "stops")
+
+
 def votes() -> dict[str, Column]:
     """The rules, by name, over the columns of ``signals``.
 
@@ -110,46 +117,97 @@ def votes() -> dict[str, Column]:
 #: class: the share of good documents, and how often a rule votes bad, abstains and votes good.
 START_SHARE = 0.8
 START = {"good": {-1: 0.05, 0: 0.45, 1: 0.5}, "bad": {-1: 0.4, 0: 0.45, 1: 0.15}}
+#: The same of rules that never vote good. Each knows one defect of several, and most bad documents have one or two.
+START_DEFECT = {"good": {-1: 0.01, 0: 0.99, 1: 0.0}, "bad": {-1: 0.15, 0: 0.85, 1: 0.0}}
 PRIOR_DOCS = 20.0
-
-
-def learn_accuracies(voted: DataFrame, rules: Sequence[str], rounds: int = 25, tolerance: float = 1e-4) -> tuple[float, dict]:
-    """(share of good documents, {rule: {class: {vote: probability}}}) by expectation-maximisation.
-
-    ``voted`` has a column per rule. Its distinct rows are counted once and written to shared storage; a
-    round is one aggregation over them. Ends after ``rounds`` or when no probability moves by
-    ``tolerance``. Without rows the starting values remain."""
-    patterns = materialise(voted.groupBy(*rules).agg(F.count("*").alias("n")), "vote-patterns")
-    share, accuracy = START_SHARE, {r: START for r in rules}
-    good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-    sums = [F.sum("n").alias("n"), F.sum(good).alias("good"), F.sum(bad).alias("bad")]
-    sums += [F.sum(F.when(F.col(r) == v, w).otherwise(0.0)).alias(f"{r}|{v}|{c}") for r in rules for v in (-1, 0, 1) for c, w in (("good", good), ("bad", bad))]
-    for _ in range(rounds):
-        row = patterns.withColumn("p", posterior(share, accuracy)).agg(*sums).first()
+CLASSES = ("good", "bad")
+#: Stands for probability 0 of a vote that never came.
+LEAST = 1e-300
+VOTES = (-1, 0, 1)
+
+
+class Accuracies(NamedTuple):
+    """share: of good documents. accuracy: {rule: {class: {vote: probability}}}. objective: logarithm of likelihood times
+    prior at the beginning of every round, which never falls. converged: whether the last round moved no
+    probability by the tolerance."""
+
+    share: float
+    accuracy: dict[str, dict[str, dict[int, float]]]
+    rounds: int
+    converged: bool
+    objective: list[float]
+
+
+def _in_order(low: tuple[float, float], high: tuple[float, float]) -> tuple[float, float]:
+    """The most likely two rates of which the second is at least the first, from (count, of how many) of either."""
+    a, b = low[0] / low[1], high[0] / high[1]
+    return (a, b) if a <= b else ((low[0] + high[0]) / (low[1] + high[1]),) * 2
+
+
+def fit_rule(counts: dict[str, dict[int, float]], start: dict[str, dict[int, float]]) -> dict[str, dict[int, float]]:
+    """The most likely vote probabilities of a rule given (expected) counts of its votes by class, under its
+    prior and two conditions: bad documents get a vote for bad at least as often as good ones, and of the documents
+    without one, good ones get a vote for good at least as often as bad ones."""
+    of = {c: {v: counts[c][v] + PRIOR_DOCS * start[c][v] for v in VOTES} for c in CLASSES}
+    total = {c: sum(of[c].values()) for c in CLASSES}
+    fires_good, fires_bad = _in_order((of["good"][-1], total["good"]), (of["bad"][-1], total["bad"]))
+    praise_bad, praise_good = _in_order((of["bad"][1], of["bad"][0] + of["bad"][1]), (of["good"][1], of["good"][0] + of["good"][1]))
+    rates = {"good": (fires_good, praise_good), "bad": (fires_bad, praise_bad)}
+    return {c: {-1: fires, 0: (1 - fires) * (1 - praise), 1: (1 - fires) * praise} for c, (fires, praise) in rates.items()}
+
+
+def _log_joint(share: float, accuracy: dict, cls: str) -> Column:
+    """Logarithm of the probability of a class together with the votes. The probabilities are one array literal, so every
+    round runs the same compiled code."""
+    rules = list(accuracy)
+    table = F.array(*[F.lit(math.log(accuracy[r][cls][v] or LEAST)) for r in rules for v in VOTES])
+    first = F.array(F.lit(math.log(share if cls == "good" else 1 - share)))
+    return functools.reduce(lambda total, k: total + F.get(table, F.col(rules[k]) + F.lit(3 * k + 1)), range(len(rules)), F.get(first, F.lit(0)))
+
+
+def learn_accuracies(voted: DataFrame, rules: Sequence[str], defects: Collection[str] = (), rounds: int = 200,
+                     tolerance: float = 1e-4) -> Accuracies:
+    """Expectation-maximisation over the votes: a rule votes bad, abstains or votes good at rates of its own on
+    good and on bad documents, abstaining counts like any other vote, and ``fit_rule`` states what the rates must meet.
+
+    ``voted`` has a column per rule; ``defects`` names those that never vote good. Its distinct rows, 3 to the power of the number of rules at most, are counted
+    once and written to shared storage in order, so reruns agree; a round is one aggregation over them. Ends when no
+    probability moves by ``tolerance``, or after ``rounds``. Without rows the starting values remain."""
+    counted = voted.groupBy(*rules).agg(F.count("*").alias("__n"))
+    patterns = materialise(counted.repartition(1).sortWithinPartitions(*rules), "vote-patterns")
+    start = {r: START_DEFECT if r in defects else START for r in rules}
+    share, accuracy = START_SHARE, start
+    good, bad = F.col("__n") * F.col("__p"), F.col("__n") * (1 - F.col("__p"))
+    sums = [F.sum("__n").alias("n"), F.sum(good).alias("good"), F.sum(F.col("__n") * F.col("__ll")).alias("ll")]
+    sums += [F.sum(F.when(F.col(r) == v, w).otherwise(0.0)).alias(f"{r}|{v}|{c}") for r in rules for v in VOTES for c, w in (("good", good), ("bad", bad))]
+    objective: list[float] = []
+    for done in range(1, rounds + 1):
+        joint = patterns.select("*", _log_joint(share, accuracy, "good").alias("__good"), _log_joint(share, accuracy, "bad").alias("__bad"))
+        apart = F.col("__bad") - F.col("__good")
+        likely = joint.select("*", (1 / (1 + F.exp(apart))).alias("__p"), (F.greatest("__good", "__bad") + F.log1p(F.exp(-F.abs(apart)))).alias("__ll"))
+        row = likely.agg(*sums).first()
         if not row["n"]:
-            break
+            return Accuracies(share, accuracy, 0, True, [])
+        prior = START_SHARE * math.log(share) + (1 - START_SHARE) * math.log(1 - share)
+        prior += sum(start[r][c][v] * math.log(accuracy[r][c][v]) for r in rules for c in CLASSES for v in VOTES if start[r][c][v])
+        objective.append(row["ll"] + PRIOR_DOCS * prior)
         new_share = (row["good"] + PRIOR_DOCS * START_SHARE) / (row["n"] + PRIOR_DOCS)
-        new = {r: {c: {v: (row[f"{r}|{v}|{c}"] + PRIOR_DOCS * START[c][v]) / (row[c] + PRIOR_DOCS) for v in (-1, 0, 1)}
-                   for c in ("good", "bad")} for r in rules}
-        moved = max(abs(new_share - share), *(abs(new[r][c][v] - accuracy[r][c][v]) for r in rules for c in START for v in (-1, 0, 1)))
+        new = {r: fit_rule({c: {v: row[f"{r}|{v}|{c}"] for v in VOTES} for c in CLASSES}, start[r]) for r in rules}
+        moved = max(abs(new_share - share), *(abs(new[r][c][v] - accuracy[r][c][v]) for r in rules for c in CLASSES for v in VOTES))
         share, accuracy = new_share, new
         if moved < tolerance:
-            break
-    return share, accuracy
+            return Accuracies(share, accuracy, done, True, objective)
+    return Accuracies(share, accuracy, rounds, False, objective)
 
 
 def posterior(share: float, accuracy: dict) -> Column:
-    """Probability that a document is good, given the columns of its votes. Abstaining is no evidence, a
-    vote for good never counts against a document and a vote for bad never for it."""
-    odds = F.lit(math.log(share / (1 - share)))
-    for rule, own in accuracy.items():
-        weight = {v: math.log(own["good"][v] / own["bad"][v]) for v in (-1, 1)}
-        odds = odds + F.when(F.col(rule) == 1, max(0.0, weight[1])).when(F.col(rule) == -1, min(0.0, weight[-1])).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    """Probability that a document is good, given the columns of its votes."""
+    return 1 / (1 + F.exp(_log_joint(share, accuracy, "bad") - _log_joint(share, accuracy, "good")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The columns of ``signals`` with base_failed, a column per rule, quality (the posterior) and kept.
+    """The columns of ``signals`` with base_failed, a column per rule, quality (the posterior), kept, and em_rounds
+    and em_converged, which say how learning ended and are the same in all rows.
 
     base_failed: fewer than 20 words, or more than 30 of 100 words in repeated windows. Documents that fail
     take no part in learning the accuracies and are never kept; so a null or empty text is not kept.
@@ -159,6 +217,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     voted = materialise(rows.select("*", failed.alias("base_failed"), *[c.alias(f"vote_{r}") for r, c in rules.items()]), "votes")
     names = [f"vote_{r}" for r in rules]
-    share, accuracy = learn_accuracies(voted.where(~F.col("base_failed")), names)
-    return (voted.withColumn("quality", posterior(share, accuracy))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
+    learned = learn_accuracies(voted.where(~F.col("base_failed")), names, [f"vote_{r}" for r in DEFECTS])
+    return (voted.withColumn("quality", posterior(learned.share, learned.accuracy))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+            .withColumns({"em_rounds": F.lit(learned.rounds), "em_converged": F.lit(learned.converged)}))
