@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tests.llm.fixtures import DOC_SCHEMA, documents, sentence, spark_documents, text
 from worthrank.llm.common import held_out
 from worthrank.llm.html_text import extract, main_text
-from worthrank.llm.langid import CrossParser, identify, learn_references, suffix_automaton
+from worthrank.llm.langid import CrossParser, Transitions, identify, learn_references, suffix_automaton
 from worthrank.llm.mixing import mix
 from worthrank.llm.packing import OpenBins, cut, pack, pack_pieces, token_pieces
 from worthrank.llm.quality import judge, signals
@@ -99,37 +99,52 @@ def test_best_fit_fills_the_fullest_bin_and_closes_it_first():
 def test_suffix_automaton_has_all_substrings():
     rng = random.Random(5)
     symbols = [rng.randint(0, 2) for _ in range(60)]
-    table = suffix_automaton(symbols, 3)
+    table = suffix_automaton(symbols)
     have = {tuple(symbols[i:j]) for i in range(60) for j in range(i + 1, min(61, i + 8))}
     for _ in range(500):
         word = tuple(rng.randint(0, 2) for _ in range(rng.randint(1, 7)))
         state = 0
         for c in word:
-            state = table[state, c] if state >= 0 else -1
+            state = table[state].get(c, -1) if state >= 0 else -1
         assert (state >= 0) == (word in have)
 
 
-def test_phrases_equal_greedy_parsing():
+@pytest.mark.parametrize("few_lanes", [0, 6, 1000])
+def test_phrases_equal_greedy_parsing(few_lanes):
     rng = random.Random(6)
-    references = {"de": text(rng, "de", 30).lower().replace(".", "").replace("\n", " "), "fr": text(rng, "fr", 30).lower().replace(".", "").replace("\n", " ")}
-    parser = CrossParser(references, block=32)
-    texts = [text(rng, "de"), text(rng, "fr"), "Zzz qq Übel", "x"]
+    references = {"de": text(rng, "de", 30).lower().replace(".", "").replace("\n", " "), "fr": text(rng, "fr", 30).lower().replace(".", "").replace("\n", " "),
+                  "zh": "".join(chr(0x4E00 + rng.randint(0, 900)) for _ in range(1500)), "gap": " "}
+    parser = CrossParser(references, few_lanes)
+    texts = [text(rng, "de"), references["fr"] + " " + text(rng, "fr", 40), "Zzz qq \u00dcbel", "x", references["zh"][100:700] + references["zh"][:90], ""]
     symbols = [parser.symbols(t)[0] for t in texts]
     counts = parser.phrases(symbols)
     for k, lang in enumerate(parser.langs):
-        reference = [int(parser.symbol[ord(c)]) for c in references[lang]]
-        subs = {tuple(reference[i:j]) for i in range(len(reference)) for j in range(i + 1, min(len(reference), i + 32) + 1)}
+        reference = "".join(chr(int(parser.symbol[ord(c)])) for c in references[lang])
         for row, own in enumerate(symbols):
-            expected = 0
-            for at in range(0, len(own), 32):
-                block, i = own[at : at + 32].tolist(), 0
-                while i < len(block):
-                    n = 1
-                    while i + n < len(block) and tuple(block[i : i + n + 1]) in subs:
-                        n += 1
-                    i += n
-                    expected += 1
-            assert counts[row, k] == expected
+            whole, i, expected = "".join(map(chr, own.tolist())), 0, 0
+            while i < len(whole):  # the longest phrase, over the whole text
+                n = 1
+                while i + n < len(whole) and whole[i : i + n + 1] in reference:
+                    n += 1
+                i += n
+                expected += 1
+            assert counts[row, k] == expected, (lang, row)
+    assert parser.phrases([]).shape == (0, 4)
+
+
+def test_transitions_are_those_of_the_automata():
+    rng = random.Random(7)
+    automata = [suffix_automaton([rng.randint(0, top) for _ in range(700)]) for top in (1, 40, 400)] + [suffix_automaton([])]
+    moves, first = Transitions(automata, 401), 0
+    for k, own in enumerate(automata):
+        assert moves.roots[k] == first
+        for state, out in enumerate(own):
+            for c in range(401):
+                place = moves.base[first + state] + c
+                found = moves.from_root[k, c] if state == 0 else moves.to[place] if moves.owner[place] == first + state else -1
+                assert found == (first + out[c] if c in out else -1)
+        first += len(own)
+    assert len(moves.to) < 3 * sum(len(out) for own in automata for out in own)
 
 
 def test_references_have_a_piece_of_every_sampled_row_with_letters(spark):

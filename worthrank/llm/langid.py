@@ -2,8 +2,8 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text is built. A text is
 parsed greedily into the longest phrases that occur in that sample; the fewer phrases it takes, scaled
-to bits per symbol, the closer the text is to the language. Texts are parsed whole, in blocks that no
-phrase crosses, so that the blocks of a batch advance together, one symbol a step, in numpy.
+to bits per symbol, the closer the text is to the language. Texts are parsed whole; those of a batch advance
+together, one symbol a step in all languages, in numpy.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worthrank.llm.common import map_arrow, text_batches
+from worthrank.llm.common import map_arrow
 
 #: Code points beyond this count as no letters (the last assigned letters lie below it).
 CODE_LIMIT = 0x33400
@@ -68,9 +69,8 @@ def _letters_only(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (state, symbol) -> state of the automaton of all substrings; -1 where there is none.
-    State 0 is the root."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The automaton of all substrings: by state, the next state by symbol. State 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -96,32 +96,68 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), alphabet), -1, np.int32)
-    for state, own in enumerate(nxt):
-        for c, to in own.items():
-            table[state, c] = to
-    return table
+    return nxt
+
+
+class Transitions:
+    """The transitions of several automata in three flat arrays: symbol c leads from state s to ``to[base[s] + c]``
+    if ``owner[base[s] + c]`` is s, and nowhere otherwise. Rows of states are laid over each other where they leave
+    gaps, so memory follows the number of transitions, not states times symbols. States are numbered through; those
+    of the roots are ``roots``, and their transitions are the rows of ``from_root`` (-1: none)."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], alphabet: int):
+        first = np.concatenate([[0], np.cumsum([len(a) for a in automata])]).astype(np.int32)
+        self.roots = first[:-1]
+        self.from_root = np.full((len(automata), alphabet), -1, np.int32)
+        rows: list[tuple[int, dict[int, int], int]] = []
+        for k, own in enumerate(automata):
+            for c, to in own[0].items():
+                self.from_root[k, c] = first[k] + to
+            rows += [(int(first[k]) + state, moves, int(first[k])) for state, moves in enumerate(own) if state and moves]
+        rows.sort(key=lambda r: -len(r[1]))
+        taken = bytearray(3 * alphabet + sum(len(r[1]) for r in rows))
+        self.base = np.full(int(first[-1]), 0, np.int32)
+        slots, owners, targets = [], [], []
+        at = lowest = alphabet  # so that no place is negative
+        for state, moves, offset in rows:
+            symbols = sorted(moves)
+            if len(symbols) == 1:  # fills the gaps that longer rows left
+                at = lowest = taken.find(0, lowest)
+            else:
+                at = taken.find(0, max(alphabet, at - alphabet))
+                while at >= 0 and any(taken[at - symbols[0] + c : at - symbols[0] + c + 1] == b"\1" for c in symbols[1:]):
+                    at = taken.find(0, at + 1)
+            if at < 0:
+                at = len(taken)
+            start = at - symbols[0]
+            if start + symbols[-1] >= len(taken):
+                taken.extend(bytes(start + symbols[-1] + alphabet - len(taken)))
+            self.base[state] = start
+            for c in symbols:
+                taken[start + c] = 1
+                slots.append(start + c)
+                owners.append(state)
+                targets.append(offset + moves[c])
+        self.owner, self.to = np.full(len(taken) + alphabet, -1, np.int32), np.zeros(len(taken) + alphabet, np.int32)
+        self.owner[slots], self.to[slots] = owners, targets
 
 
 class CrossParser:
     """Counts the phrases that each of many texts needs in each language."""
 
-    def __init__(self, references: dict[str, str], block: int = 256):
+    def __init__(self, references: dict[str, str], few_lanes: int = 128):
         self.langs = sorted(references)
-        self.block = block
+        self.few_lanes = few_lanes
         letters = sorted({c for r in references.values() for c in r if c != " "})
         # symbol 0: a letter that no reference has; 1: the gap between words; then the letters
-        self.alphabet = len(letters) + 2
         self.is_letter = np.zeros(CODE_LIMIT, bool)
         self.is_letter[[i for i in range(CODE_LIMIT) if chr(i).isalpha()]] = True
         self.symbol = np.where(self.is_letter, 0, 1).astype(np.int32)
         for k, c in enumerate(letters):
             self.symbol[ord(c)] = k + 2
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            own = self.symbol[[ord(c) for c in references[lang]]].tolist()
-            self.tables.append(suffix_automaton(own, self.alphabet))
-            self.bits.append(np.log2(len(own) + 1))
+        own = [self.symbol[[ord(c) for c in references[lang]]].tolist() for lang in self.langs]
+        self.moves = Transitions([suffix_automaton(o) for o in own], len(letters) + 2)
+        self.bits = [np.log2(len(o) + 1) for o in own]
 
     def symbols(self, text: str) -> tuple[np.ndarray, int]:
         """The symbols of a text, runs of other characters than letters as one gap; its letter count."""
@@ -133,54 +169,84 @@ class CrossParser:
         return self.symbol[codes[keep]], int(letters.sum())
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases per text and language."""
+        """Phrases per text and language. All texts advance together, one symbol a step; the last and longest ones
+        go on alone from where they are once few are left."""
         lengths = np.array([len(t) for t in texts], np.int64)
-        blocks = -(-lengths // self.block)
-        of = np.repeat(np.arange(len(texts)), blocks)
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else lengths
-        within = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = first[of] + within * self.block
-        size = np.minimum(self.block, lengths[of] - within * self.block)
-        order = np.argsort(-size, kind="stable")
-        start, size, of = start[order], size[order], of[order]
+        order = np.argsort(-lengths, kind="stable")
+        size = lengths[order].tolist()
         flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-        active = np.searchsorted(-size, -np.arange(self.block), side="left")  # blocks longer than step
-        out = np.zeros((len(texts), len(self.langs)))
-        for k, table in enumerate(self.tables):
-            roots, moves, width = table[0], table.ravel(), self.alphabet
-            state = np.zeros(len(of), np.int64)
-            count = np.zeros(len(of), np.int64)
-            for step in range(self.block):
-                n = active[step]
-                if not n:
-                    break
-                c = flat[start[:n] + step]
-                to = moves[state[:n] * width + c]
-                stuck = np.flatnonzero(to < 0)
-                if len(stuck):
-                    count[stuck] += state[stuck] != 0  # the phrase so far ends
-                    fresh = roots[c[stuck]]
-                    count[stuck] += fresh < 0  # a symbol that the reference lacks is a phrase
-                    to[stuck] = np.maximum(fresh, 0)
-                state[:n] = to
-            count += state != 0
-            np.add.at(out[:, k], of, count)
+        start = (np.cumsum(lengths) - lengths)[order]
+        base, owner, to, roots, width = self.moves.base, self.moves.owner, self.moves.to, self.moves.roots, len(self.langs)
+        state = np.tile(roots, (len(texts), 1))
+        count = np.zeros(state.shape, np.int64)
+        n, step = len(texts), 0
+        while True:
+            while n and size[n - 1] <= step:
+                n -= 1
+            if n * width <= self.few_lanes:
+                break
+            c = flat[start[:n] + step]
+            now = state[:n]
+            place = base[now] + c[:, None]
+            new = to[place]
+            stuck = np.flatnonzero(owner[place] != now)
+            if len(stuck):
+                row, lang = np.divmod(stuck, width)
+                root = roots[lang]
+                fresh = self.moves.from_root[lang, c[row]]
+                # the phrase so far ends; a symbol that the reference lacks is a phrase
+                count[row, lang] += (now[row, lang] != root).astype(np.int64) + (fresh < 0)
+                new[row, lang] = np.where(fresh < 0, root, fresh)
+            state[:n] = new
+            step += 1
+        for row in range(n):
+            rest = flat[start[row] + step : start[row] + size[row]].tolist()
+            for lang in range(width):
+                count[row, lang] += self._go_on(rest, state, row, lang)
+        out = np.zeros(state.shape)
+        out[order] = count + (state != roots)
         return out
 
+    def _go_on(self, symbols: list[int], state: np.ndarray, row: int, lang: int) -> int:
+        """Phrases that end in ``symbols`` from the state of a text in a language, which is moved on."""
+        base, owner, to = memoryview(self.moves.base), memoryview(self.moves.owner), memoryview(self.moves.to)
+        fresh, root, now, ended = memoryview(self.moves.from_root[lang]), int(self.moves.roots[lang]), int(state[row, lang]), 0
+        for c in symbols:
+            place = base[now] + c
+            if owner[place] == now:
+                now = to[place]
+                continue
+            ended += now != root
+            now = fresh[c]
+            if now < 0:
+                ended += 1
+                now = root
+        state[row, lang] = now
+        return ended
+
 
 _PARSERS: dict[int, CrossParser] = {}
 
 
-def _parser(references: dict[str, str], block: int) -> CrossParser:
+def _parser(references: dict[str, str]) -> CrossParser:
     """Automata are built once in each Python worker."""
-    key = hash((tuple(sorted(references.items())), block))
+    key = hash(tuple(sorted(references.items())))
     if key not in _PARSERS:
         _PARSERS.clear()
-        _PARSERS[key] = CrossParser(references, block)
+        _PARSERS[key] = CrossParser(references)
     return _PARSERS[key]
 
 
-def identify(docs: DataFrame, references: dict[str, str], text_col: str = "text", block: int = 256) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Cut batches where the text column passes multiples of ``most_bytes``; a longer text may stand alone."""
+    for batch in batches:
+        upto = np.cumsum(np.array(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(upto // most_bytes)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(i, j - i)
+
+
+def identify(docs: DataFrame, references: dict[str, str], text_col: str = "text", batch_bytes: int = 4_000_000) -> DataFrame:
     """Add lang_pred and score to every row of ``docs``, in place of columns of those names; the other
     columns pass unchanged.
 
@@ -193,8 +259,8 @@ def identify(docs: DataFrame, references: dict[str, str], text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(references, block) if references else None
-        for batch in text_batches(batches):
+        parser = _parser(references) if references else None
+        for batch in _slices(batches, at, batch_bytes):
             langs, scores = [NO_LANGUAGE] * batch.num_rows, [0.0] * batch.num_rows
             if parser:
                 rows, texts = [], []
