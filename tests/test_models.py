@@ -1,11 +1,13 @@
 """MLlib model operators, the pandas scorer hook, and the streaming extensions."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from worthrank.operators.models import (corpus_weights, embedding_features, frozen_head, ngram_pipeline, random_scores,
                                         score, score_with_pandas, select_best, training_loss, with_weights)
+from worthrank.plans import REGISTRY
 from worthrank.streaming.scoring import read_table_stream, run_to_files, window_counts
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +67,22 @@ def test_stream_window_counts_match_batch(spark):
     assert got.agg(F.sum("n")).first()[0] == 1000
 
 
+def test_a_stream_reads_a_table_of_several_files(spark, tmp_path):
+    """A table is a file or a folder of part files; other tables' files in the same directory take no part."""
+    rows = [(i, [float(i), 1.0 - i], i % 3 - 1) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    table.limit(7).toPandas().to_parquet(tmp_path / "events.parquet")
+    for name, n in (("embeddings", 40), ("events", 7)):
+        out = run_to_files(read_table_stream(spark, str(tmp_path), name).select("vec_id"), f"test-parts-{name}")
+        assert sorted(r.vec_id for r in spark.read.parquet(out).collect()) == list(range(n))
+    got = {r.vec_id: r for r in REGISTRY["stream_linear_head_score"].run(spark, str(tmp_path)).collect()}
+    m1, m0 = (np.mean([v for _, v, y in rows if (y == 1) == one], axis=0) for one in (True, False))
+    z = {i: float(np.dot(v, m1 - m0) - np.dot(m1 - m0, (m1 + m0) / 2)) for i, v, _ in rows}
+    assert {i: (r.label, r.z) for i, r in got.items()} == {i: (int(y == 1), pytest.approx(z[i], abs=1e-5)) for i, _, y in rows}
+    assert all(r.prediction == int(r.z > 0) for r in got.values())
+
+
 def test_watermark_drops_late_rows_in_append_mode(spark):
     """In append mode a row arriving after its window was closed by the watermark is dropped,
     and a window still open at the end of the input is held back."""
