@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from worthrank.operators.models import (corpus_weights, embedding_features, frozen_head, ngram_pipeline, random_scores,
                                         score, score_with_pandas, select_best, training_loss, with_weights)
 from worthrank.plans import REGISTRY
+from worthrank.plans.learn_queries import fit_ngram_baseline
 from worthrank.streaming.scoring import read_table_stream, run_to_files, window_counts
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +84,17 @@ def test_a_stream_reads_a_table_of_several_files(spark, tmp_path):
     assert all(r.prediction == int(r.z > 0) for r in got.values())
 
 
+def test_stream_score_scores_a_table_of_several_files_as_a_batch_does(spark, tmp_path):
+    texts = ["claim tax percent million", "hello thank you everyone", "", "tax hello"]
+    docs = [(i, f"s{i % 2}", "en", texts[i % 4]) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(50)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in REGISTRY["stream_score"].run(spark, str(tmp_path)).collect()}
+    model, _ = fit_ngram_baseline(spark, str(tmp_path))
+    batch = {r.doc_id: r for r in score(model, spark.read.parquet(f"{tmp_path}/documents.parquet"), ["doc_id", "source"]).collect()}
+    assert len(got) == 60 and all((r.source, r.prediction) == (batch[i].source, batch[i].prediction) and r.score == pytest.approx(batch[i].score, abs=1e-6) for i, r in got.items())
+
+
 def test_watermark_drops_late_rows_in_append_mode(spark):
     """In append mode a row arriving after its window was closed by the watermark is dropped,
     and a window still open at the end of the input is held back."""
