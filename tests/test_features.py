@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from worthrank.operators import blocks, training
 from worthrank.operators.encode import build_vocabulary, encode, split_join
 from worthrank.operators.features import feature_index, indexed_texts, ngram_terms
 from worthrank.operators.sequences import document_sequences
@@ -64,6 +65,47 @@ def test_indexed_texts_hold_tf_idf_and_fit_as_dense_rows_do(spark):
     as_dense.unpersist()
 
 
+@pytest.mark.parametrize("block", [4, 1 << 18])
+def test_a_fit_in_blocks_takes_the_steps_of_one_that_holds_all_weights(spark, monkeypatch, block):
+    """Weights and gradients of a fit over rows with ids never come to the driver: it gets sums over the rows only."""
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(blocks, "GROUP", 3)
+    monkeypatch.setattr(blocks, "HELD_BYTES", 20)
+    rng, width = np.random.default_rng(3), 37
+    data = []
+    for i in range(50):
+        at = sorted(rng.choice(width, size=int(rng.integers(0, 9)), replace=False).tolist())
+        data.append((i if i < 40 else None if i < 42 else 39, at, rng.normal(size=len(at)).tolist(), int(i % 3 == 0), "val" if i % 5 == 0 else "train", [1.0, 0.5, 0.0, None][i % 4]))
+    df = spark.createDataFrame(data, "doc long, index array<long>, features array<double>, label int, split string, w double").repartition(3)
+    candidates = [Candidate(0.3, 0.2), Candidate(1.0)]
+    plain_rows = indexed_rows(df, weight_col="w", split_col="split")
+    plain = fit_heads(plain_rows, candidates, 4, width=width)
+    plain_rows.unpersist()
+    with monkeypatch.context() as m:
+        m.setattr(training, "scan", None)
+        fit = fit_heads(indexed_rows(df, weight_col="w", split_col="split", id_col="doc"), candidates, 4, width=width)
+    assert np.allclose(np.array(fit.trace, float), np.array(plain.trace, float), atol=1e-12) and fit.best() == plain.best()
+    for one, other in zip(fit.weights, plain.weights, strict=True):
+        w = np.zeros((2, width + 1))
+        w[:, -1] = one.constant
+        for r in one.frame().collect():
+            w[r.candidate, r["index"]] = r.weight
+        assert np.allclose(w, other, atol=1e-12)
+    fit.close()
+    with pytest.raises(ValueError, match="start from zeros"):
+        fit_heads(indexed_rows(df, id_col="doc"), candidates, 1, start=np.zeros(width + 1), width=width)
+
+
+def test_a_fit_in_blocks_without_rows_or_features(spark):
+    schema = "doc long, index array<long>, features array<double>, label int"
+    for rows, width, losses in (([], 0, [math.nan] * 2), ([(1, [], [], 1), (2, [], [], 0)], 0, [math.log(2)] * 2), ([(1, [], [], 1)], 3, [math.log(2), math.log(1 + math.exp(-0.5))])):
+        fit = fit_heads(indexed_rows(spark.createDataFrame(rows, schema), id_col="doc"), [Candidate(1.0)], 2, width=width)
+        held = [x[2] for x in fit.trace]
+        assert np.allclose(held, losses[: len(held)], equal_nan=True) and len(fit.weights) == len(held) + 1
+        assert all(w.frame().count() == 0 for w in fit.weights)
+        fit.close()
+
+
 def test_frequent_keys_are_not_shuffled(spark):
     n = 4000  # "the" on half of all positions
     rows = [(i, " ".join("the" if j % 2 else f"w{(i * 7 + j) % 97}" for j in range(20))) for i in range(n // 20)]

@@ -42,7 +42,8 @@ def feature_index(df: DataFrame, id_col: str, text_col: str, n: int = 2, min_doc
 def indexed_texts(df: DataFrame, id_col: str, text_col: str, index: DataFrame, n_docs: int, n: int = 2) -> DataFrame:
     """``df`` without its text, with ``index`` (rising feature numbers from 0) and ``features`` (tf * ln((N + 1) / (docs + 1))). Terms outside
     the index have no feature; a text without any has empty arrays. ``id_col`` must name a row."""
-    met = split_join(term_counts(df, id_col, text_col, n), index, "term", "feature", ["docs"], HEAVY_TOKENS)
+    # texts are shuffled once, so that their terms, which take several times the room, are counted where they are
+    met = split_join(term_counts(df.select(id_col, text_col).repartition(id_col), id_col, text_col, n), index, "term", "feature", ["docs"], HEAVY_TOKENS)
     value = F.col("tf") * F.log((F.lit(n_docs) + 1.0) / (F.col("docs") + 1.0))
     pairs = met.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((F.col("feature") - 1).alias("f"), value.alias("v")))).alias("_p"))
     joined = df.drop(text_col).join(pairs, id_col, "left")

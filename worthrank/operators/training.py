@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worthrank.functions.scalar import binarize
+from worthrank.operators.blocks import Blocks, BlockWeights
 from worthrank.session import ship_package, tasks_for
 
 #: Tasks' sums that are added together at a time.
@@ -75,12 +76,14 @@ class Indexed:
         return out
 
 
-def indexed_rows(df: DataFrame, label_col: str = "label", weight_col: str | None = None, split_col: str | None = None) -> DataFrame:
-    """As ``training_rows``, for rows with ``index`` and ``features`` (``features.indexed_texts``); the number of features isn't in them."""
+def indexed_rows(df: DataFrame, label_col: str = "label", weight_col: str | None = None, split_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """As ``training_rows``, for rows with ``index`` and ``features`` (``features.indexed_texts``); the number of features isn't in them.
+    With ``id_col`` the rows keep their ``id`` and aren't persisted: ``fit_heads`` then deals them into blocks of features."""
     val = F.lit(False) if split_col is None else F.coalesce(F.col(split_col) == "val", F.lit(False))
     weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))
-    rows = df.select("features", "index", binarize(label_col).alias("label"), weight.alias("weight"), val.alias("val")).where(val | (F.col("weight") > 0))
-    return rows.repartition(tasks_for(rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    own = [] if id_col is None else [F.col(id_col).alias("id")]
+    rows = df.select(*own, "features", "index", binarize(label_col).alias("label"), weight.alias("weight"), val.alias("val")).where(F.col("val") | (F.col("weight") > 0))
+    return rows if own else rows.repartition(tasks_for(rows)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def training_rows(df: DataFrame, vec_col: str, label_col: str = "label", weight_col: str | None = None, split_col: str | None = None) -> DataFrame:
@@ -168,10 +171,15 @@ class Fit:
     came below the tolerance."""
 
     candidates: Sequence[Candidate]
-    weights: list[np.ndarray]
+    weights: list[np.ndarray] | list[BlockWeights]
     trace: list[tuple[int, int, float, float | None, float]]
     converged: bool = False
 
+    def close(self) -> None:
+        """Give back what a fit in blocks holds for its weights."""
+        if self.weights and isinstance(self.weights[0], BlockWeights):
+            self.weights[0].blocks.close()
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.trace, TRACE_SCHEMA)
 
@@ -186,7 +194,13 @@ def fit_heads(rows: DataFrame, candidates: Sequence[Candidate], steps: int, star
               tolerance: float = 0.0) -> Fit:
     """``steps`` full-batch steps of all candidates over ``training_rows`` or ``indexed_rows`` (these with their ``width``, the
     number of features), ``steps + 1`` scans whatever the number of candidates. ``start``: weights to go on from, for
-    all candidates or one row for each; zeros without. Ends early once no candidate's gradient is longer than ``tolerance``."""
+    all candidates or one row for each; zeros without. Ends early once no candidate's gradient is longer than ``tolerance``.
+    Rows with an ``id`` are fit in blocks of features from zeros, for any ``width`` (``operators.blocks``): weights don't meet on the
+    driver, and the fit holds frames of them."""
+    if "id" in rows.columns:
+        if start is not None or width is None:
+            raise ValueError("blocks of features need their width and start from zeros")
+        return _fit_blocks(rows, candidates, steps, width, tolerance)
     size = (feature_count(rows) if width is None else width) + 1
     begin = np.zeros(size) if start is None else np.asarray(start, float)
     now = np.broadcast_to(begin, (len(candidates), begin.shape[-1])).copy()
@@ -209,6 +223,34 @@ def fit_heads(rows: DataFrame, candidates: Sequence[Candidate], steps: int, star
     return Fit(tuple(candidates), weights, trace, converged)
 
 
+def _fit_blocks(rows: DataFrame, candidates: Sequence[Candidate], steps: int, width: int, tolerance: float) -> Fit:
+    """``fit_heads`` over ``operators.blocks``: the same steps, one scan of the blocks for each."""
+    held = Blocks(rows, width, candidates)
+    rate, constant = np.array([c.rate for c in candidates], float), np.zeros(len(candidates))
+    first = held.rows_after(None, None, constant, 0.0)
+    total = held.added(first)[0]
+    now = held.rows_after(None, None, constant, total)
+    _, residual, loss, _, _ = held.added(now)
+    frames, trace, converged = [BlockWeights(held, None, constant)], [], False
+    for step in range(1, steps + 1):
+        sums, squares = held.step(now)
+        slope = residual / total if total else residual
+        length = np.sqrt(squares + slope * slope)
+        converged = bool((length <= tolerance).all())
+        if converged:
+            sums.unpersist()
+            break
+        constant = constant - rate * slope
+        frames.append(BlockWeights(held, now, constant))
+        after = held.rows_after(sums, now, constant, total)
+        mean = loss / total if total else loss * np.nan
+        _, residual, loss, n_val, right = held.added(after)
+        sums.unpersist()
+        now = after
+        trace += [(step, c, float(mean[c]), float(right[c]) / n_val if n_val else None, float(length[c])) for c in range(len(candidates))]
+    return Fit(tuple(candidates), frames, trace, converged)
+
+
 STATE_SCHEMA = "candidate int, rate double, l2 double, step int, weights array<double>"
 
 

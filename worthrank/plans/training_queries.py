@@ -158,8 +158,8 @@ def q_ngram_indexed_fit(spark, sf_dir):
     train = split.where("split = 'train'")
     index = feature_index(train, "doc_id", "text", min_docs=2)
     width = index.count()
-    rows = indexed_rows(indexed_texts(weighted(split), "doc_id", "text", index, train.count()), weight_col="weight", split_col="split")
+    rows = indexed_rows(indexed_texts(weighted(split), "doc_id", "text", index, train.count()), weight_col="weight", split_col="split", id_col="doc_id")
     fit = fit_heads(rows, [NGRAM], STEPS, width=width)
-    rows.unpersist()
+    fit.close()
     out = fit.table(spark).drop("candidate").withColumn("features", F.lit(width).cast("bigint"))
     return round6(out.withColumn("converged", F.col("gradient") <= 0.001))
