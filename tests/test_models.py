@@ -95,6 +95,18 @@ def test_stream_score_scores_a_table_of_several_files_as_a_batch_does(spark, tmp
     assert len(got) == 60 and all((r.source, r.prediction) == (batch[i].source, batch[i].prediction) and r.score == pytest.approx(batch[i].score, abs=1e-6) for i, r in got.items())
 
 
+def test_stream_score_scores_null_texts_as_empty_ones(spark, tmp_path):
+    """Rows without text, in the training rows or not, are scored like empty texts; null sources and labels fail nothing."""
+    texts = ["claim tax percent million", "hello thank you everyone", None, "tax hello", ""]
+    docs = [(i, None if i % 7 == 0 else "s", "en", texts[i % 5]) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, None if i % 11 == 0 else int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in REGISTRY["stream_score"].run(spark, str(tmp_path)).collect()}
+    assert {i: r.source for i, r in got.items()} == {i: source for i, source, _, _ in docs}
+    assert all(-1.0 <= r.score <= 1.0 and r.prediction == int(r.score > 0) for r in got.values())
+    assert len({got[i].score for i in range(80) if not texts[i % 5]}) == 1 and got[0].score > got[1].score
+
+
 def test_watermark_drops_late_rows_in_append_mode(spark):
     """In append mode a row arriving after its window was closed by the watermark is dropped,
     and a window still open at the end of the input is held back."""

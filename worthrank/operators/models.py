@@ -37,8 +37,9 @@ def ngram_pipeline(text_col: str = "text", label_col: str = "label", weight_col:
                    n: int = 2, num_features: int = NUM_HASH_FEATURES, reg: float = 0.0,
                    max_iter: int = 20) -> Pipeline:
     """M2: lower-cased word tokens + word n-grams -> hashed term frequencies -> IDF -> logistic
-    regression. Everything is a built-in JVM stage."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True,
+    regression. Everything is a built-in JVM stage. A null text counts as empty (the tokenizer would fail on it)."""
+    whole = SQLTransformer(statement=f"SELECT *, coalesce(`{text_col}`, '') AS _text FROM __THIS__")
+    tok = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True,
                          minTokenLength=1)
     grams = NGram(n=n, inputCol="_words", outputCol="_grams")
     both = SQLTransformer(statement="SELECT *, concat(_words, _grams) AS _terms FROM __THIS__")
@@ -46,7 +47,7 @@ def ngram_pipeline(text_col: str = "text", label_col: str = "label", weight_col:
     idf = IDF(inputCol="_tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, family="binomial", regParam=reg,
                             maxIter=max_iter, **({"weightCol": weight_col} if weight_col else {}))
-    return Pipeline(stages=[tok, grams, both, tf, idf, lr])
+    return Pipeline(stages=[whole, tok, grams, both, tf, idf, lr])
 
 
 def embedding_features(df: DataFrame, vec_col: str = "embedding", out: str = "features") -> DataFrame:
