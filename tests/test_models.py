@@ -107,6 +107,19 @@ def test_stream_score_scores_null_texts_as_empty_ones(spark, tmp_path):
     assert len({got[i].score for i in range(80) if not texts[i % 5]}) == 1 and got[0].score > got[1].score
 
 
+def test_stream_score_reads_a_single_file_beside_other_layouts(spark, tmp_path):
+    """A table that is one file, in a directory where another table is partitioned and a folder holds a file of the same name."""
+    docs = pd.DataFrame({"doc_id": range(30), "source": "s", "lang": "en", "text": ["claim tax", "hello you", "tax you"] * 10})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    (tmp_path / "older").mkdir()
+    docs.to_parquet(tmp_path / "older" / "documents.parquet")
+    pd.DataFrame({"doc_id": range(30), "quality": [1, 0, 0] * 10}).to_parquet(tmp_path / "labels.parquet")
+    spark.range(9).withColumn("k", F.col("id") % 3).write.partitionBy("k").parquet(f"{tmp_path}/events.parquet")
+    got = REGISTRY["stream_score"].run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "source", "score", "prediction"]
+    assert sorted(r.doc_id for r in got.collect()) == list(range(30))
+
+
 def test_watermark_drops_late_rows_in_append_mode(spark):
     """In append mode a row arriving after its window was closed by the watermark is dropped,
     and a window still open at the end of the input is held back."""

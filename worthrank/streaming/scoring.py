@@ -20,8 +20,8 @@ from worthrank.session import scratch_path
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table of the test-data directory as a stream source (schema from the files). The table is a folder
-    of part files, which is the stream's folder then, or a single file, which is picked from the directory: a
-    stream's path must be a folder."""
+    of part files, which is the stream's folder then, or a single file: a stream's path must be a folder or a
+    pattern, and the pattern here is met by that file alone, so no other table's folder is listed."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
@@ -29,7 +29,7 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(at):
         return r.parquet(path)
-    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return r.parquet(path.removesuffix("t") + "[t]")
 
 
 def run_to_files(stream: DataFrame, name: str, output_mode: str = "append") -> str:
